@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from quantloom.llm import mixing, packing, tokens, urls
+from quantloom.llm import fingerprints, langid, mixing, packing, substrings, tokens, urls
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": langid.op2_language_id,
+        "op5_order_minhash": fingerprints.op5_order_minhash,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_token_counts": tokens.op7_token_counts,
+        "op8_substring_dedup": substrings.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
         "op10_url_filters": urls.op10_url_filters,
     }

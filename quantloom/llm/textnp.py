@@ -69,15 +69,15 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``most`` bytes of text, or one row."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``most`` bytes of text and ``rows`` rows, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
         off, _ = strings(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            end = max(at + 1, min(int(np.searchsorted(off, off[at] + most, "right")) - 1, at + rows))
             yield batch.slice(at, end - at)
             at = end
 
@@ -121,6 +121,26 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return g
 
 
+def long_grams(h: np.ndarray, k: int) -> np.ndarray:
+    """As ``grams``, by doubling: about 2 log2(k) passes."""
+
+    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = min(len(a), len(b))
+        return mix(a[:n] * U(0xA24BAED4963EE407) + b[:n])
+
+    if len(h) < k:
+        return np.zeros(0, U)
+    power, n, out, covered = h, 1, None, 0
+    while True:
+        if k & n:
+            out = power if out is None else join(out, power[covered:])
+            covered += n
+        n *= 2
+        if n > k:
+            return out[: len(h) - k + 1]
+        power = join(power, power[n // 2 :])
+
+
 def gram_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions in the word list, text index) of all k-word windows that lie within one text."""
     n = np.diff(first)
