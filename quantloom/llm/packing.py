@@ -91,18 +91,19 @@ def cut(docs: DataFrame, tokenizer: str, *, size: int, end_id: int, doc_id: str,
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer), np.array([end_id], "<u4")
         for b in chunks(batches, "text"):
             which, start, length, crc, total = [], [], [], [], []
-            for i, ids in enumerate(enc.encode(b.column("text").to_pylist())):
-                ids += end
-                n = len(ids) // 4
+            flat, edge = enc.encode(b.column("text"))
+            for i in range(b.num_rows):
+                ids = np.append(flat[edge[i] : edge[i + 1]], end)
+                n = len(ids)
                 for s in range(0, n, size):
                     e = min(s + size, n)
                     which.append(i)
                     start.append(s)
                     length.append(e - s)
-                    crc.append(zlib.crc32(memoryview(ids)[4 * s : 4 * e]))
+                    crc.append(zlib.crc32(ids[s:e]))
                     total.append(n)
             arrays = [b.column("doc_id").take(pa.array(which, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])

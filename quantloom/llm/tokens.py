@@ -18,68 +18,135 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.textnp import chunks
+from quantloom.llm.textnp import Powers, chunks, strings, word_hashes, words
 from quantloom.llm.workspace import Workspace
 
 #: Pieces remembered by one Python worker; beyond it the memory is emptied and filled anew.
-PIECES = 300_000
-_PIECE = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]")
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+PIECES = 400_000
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_LEADS = np.zeros(256, bool)  # first bytes of those characters
+_LEADS[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+
+
+def _rank_encoder(spec: dict, path: str):
+    """An encoder for single pieces that shares the .json file's vocabulary, or None.
+
+    tiktoken merges by rank; that is the merge order of the .json file exactly if its i-th merge
+    makes the i-th id after the single bytes, which is checked here together with every rank.
+    """
+    beside = path.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(beside):
+        return None
+    import base64
+
+    import tiktoken
+
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte-level alphabet: these bytes stand for themselves,
+    letters = dict(zip(map(chr, visible), visible))
+    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}  # the others for 256 and on
+    vocab = spec["model"]["vocab"]
+    with open(beside, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    added = {x["content"] for x in spec.get("added_tokens", [])}
+    own = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in added}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    if own != ranks or any(vocab["".join(m)] != 256 + i for i, m in enumerate(merges)):
+        return None
+    import public_tokenizers
+
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class Encoder:
-    """Packed little-endian 32-bit ids of texts, as tokenizers (.json) or sentencepiece (.model) gives them."""
+    """Ids of texts, as tokenizers (.json) or sentencepiece (.model) gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
-        self.pieces: dict[str, bytes] = {}
-        self.special: re.Pattern | None = None
+        self.pieces: dict[bytes, bytes] = {}
+        self.pows = Powers()
+        self.special: list[str] = []
+        self.by_piece = False
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.by_piece = False
-            self.whole = lambda texts: [np.asarray(x, "<u4").tobytes() for x in model.encode(texts, num_threads=1, add_bos=False, add_eos=False)]
+            self.whole = lambda texts: model.encode(texts, num_threads=1, add_bos=False, add_eos=False)
             return
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_padding()
         tok.no_truncation()
-        spec = json.loads(open(path, encoding="utf-8").read())
+        self.whole = lambda texts: [x.ids for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.whole = lambda texts: [np.asarray(x.ids, "<u4").tobytes() for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.special = [x["content"] for x in spec.get("added_tokens", [])]
+        one = _rank_encoder(spec, path) if self.by_piece else None
+        self.some = (lambda texts: [one(t) for t in texts]) if one else self.whole
+
+    def _odd(self, column: pa.Array, off: np.ndarray, data: np.ndarray) -> list[int]:
+        """Texts that must go to the library whole."""
+        which = np.zeros(len(off) - 1, bool)
+        at = np.flatnonzero(_LEADS[data])
+        for i in np.unique(np.searchsorted(off, at, "right") - 1):
+            which[i] = bool(_ODD.search(data[off[i] : off[i + 1]].tobytes().decode()))
+        for t in self.special:
+            which |= pc.fill_null(pc.match_substring(column, t), False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(which).tolist()
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's ids begin and the total); null as empty."""
+        off, data = strings(column)
+        n = len(off) - 1
         if not self.by_piece:
-            return self.whole(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        odd: list[int] = []
-        for i, t in enumerate(texts):
-            if _ODD.search(t) or (self.special and self.special.search(t)):
-                odd.append(i)
-            else:
-                cut[i] = _PIECE.findall(t)
+            got = self.whole([t or "" for t in column.to_pylist()]) if n else []
+            return np.array([i for x in got for i in x], "<u4"), np.cumsum([0, *map(len, got)])
+        begin, end, first = words(off, data)
+        # a word takes one blank before it; what is left of the white space before it is one piece if its last
+        # character went with the word, else two; white space at the end of a text is one piece
+        doc = np.searchsorted(off, begin, "right") - 1
+        gap = np.maximum(off[doc], np.append(0, end[:-1])) if len(begin) else begin
+        blank = (begin > gap) & (data[np.maximum(begin - 1, 0)] == 32) if len(begin) else np.zeros(0, bool)
+        more = begin - gap >= 2
+        alone = (begin > gap) & ~blank
+        has = first[1:] > first[:-1]
+        tail = off[:-1].copy()
+        tail[has] = end[first[1:][has] - 1]
+        open_end = tail < off[1:]
+        s = np.concatenate([begin - blank, gap[more], begin[alone] - 1, tail[open_end]])
+        e = np.concatenate([end, begin[more] - 1, begin[alone], off[1:][open_end]])
+        order = np.argsort(s)
+        s, e = s[order], e[order]
+        h = word_hashes(data, s, e, self.pows, False)
+        _, index, inverse = np.unique(h, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        distinct = [raw[a:b] for a, b in zip(s[index].tolist(), e[index].tolist())]
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         known = self.pieces
-        new = list({p for ps in cut.values() for p in ps if p not in known})
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self.whole(new[at : at + 4096])))
-        for i, ps in cut.items():
-            out[i] = b"".join([known[p] for p in ps])
-        if odd:
-            for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-                out[i] = ids
-        return out
+        new = [p for p in distinct if p not in known]
+        known.update(zip(new, (np.array(x, "<u4").tobytes() for x in self.some([p.decode() for p in new]))))
+        ids = [known[p] for p in distinct]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        count = size[inverse]
+        total = np.append(0, np.cumsum(count))
+        take = np.repeat(start[inverse] - total[:-1], count) + np.arange(total[-1])
+        out, edge = pool[take], total[np.searchsorted(s, off)]
+        if odd := self._odd(column, off, data):
+            parts = [out[edge[i] : edge[i + 1]] for i in range(n)]
+            for i, x in zip(odd, self.whole([column[i].as_py() for i in odd])):
+                parts[i] = np.array(x, "<u4")
+            return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        return out, edge
 
 
 def encoder(path: str) -> Encoder:
@@ -131,8 +198,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, doc_id: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in chunks(batches, "text"):
-            ids = enc.encode(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["digest", "n_tokens"])
+            _, edge = enc.encode(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(np.diff(edge))], names=["digest", "n_tokens"])
 
     known = stored()
     missing = keyed.select("digest", "text")
