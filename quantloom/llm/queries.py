@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quantloom.llm import fingerprints, langid, mixing, packing, substrings, tokens, urls
+from quantloom.llm import fingerprints, langid, mixing, nearduplicates, packing, substrings, tokens, urls
 
 
 def queries() -> dict:
     return {
+        "op1_near_duplicates": nearduplicates.op1_near_duplicates,
         "op2_language_id": langid.op2_language_id,
         "op5_order_minhash": fingerprints.op5_order_minhash,
         "op6_source_mixing": mixing.op6_source_mixing,
