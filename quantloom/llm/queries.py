@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quantloom.llm import fingerprints, langid, mixing, nearduplicates, packing, substrings, tokens, urls
+from quantloom.llm import fingerprints, langid, mixing, nearduplicates, neighbours, packing, pii, substrings, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op1_near_duplicates": nearduplicates.op1_near_duplicates,
         "op2_language_id": langid.op2_language_id,
+        "op3_nearest_neighbours": neighbours.op3_nearest_neighbours,
+        "op4_pii_pseudonyms": pii.op4_pii_pseudonyms,
         "op5_order_minhash": fingerprints.op5_order_minhash,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_token_counts": tokens.op7_token_counts,
