@@ -12,7 +12,7 @@ Finding every component does not take every pair:
    verifies one leader a round, the one it meets in most bands, so copies collapse in a few rounds
    and in linear work.
 3. What is still in several components within a bucket is compared in full, in cells of bounded
-   size: members outside the leader's component against all members. Only pairs that pass the
+   size: members outside the bucket's largest component against all members. Only pairs that pass the
    estimate and join different components are verified.
 No partner is capped, and buckets of any size are split into cells.
 
@@ -36,7 +36,7 @@ from quantloom.llm.workspace import Workspace
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 #: Most members on either side of a comparison cell.
-CELL_MINOR, CELL_ALL = 256, 1024
+CELL_MINOR, CELL_ALL = 1024, 1024
 STAR_ROUNDS = 3
 
 
@@ -252,7 +252,8 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
 def _cells(ws: Workspace, members: DataFrame, comp: DataFrame, small: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links across components that star rounds left open, found in cells of bounded size."""
     now = members.join(comp, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
-    lead = now.groupBy("g").agg(F.min_by("component", F.xxhash64("component")).alias("lead"), F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g", "lead", "c")
+    sizes = now.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
+    lead = sizes.groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("lead"), F.sum("n").alias("c"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("g", "lead", "c")
     open_ = now.join(lead, "g").withColumn("minor", F.col("component") != F.col("lead"))
     minors = open_.groupBy("g").agg(F.sum(F.col("minor").cast("long")).alias("minors"))
     part = lambda n, most: F.ceil(F.col(n) / F.lit(most)).cast("int")
