@@ -216,7 +216,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
 
     kept_too = ", kept_text string" if with_text else ""
-    passed = ws.save(joined.mapInArrow(first_pass, f"doc_id long, key long, n_words long, kept_sha256 string, text string, marks binary{kept_too}"), "passed")
+    passed = ws.save(joined.mapInArrow(first_pass, f"doc_id long, key long, n_words long, kept_sha256 string, text string, marks binary{kept_too}"), "passed", release=True)
     affected = passed.where(F.col("text").isNotNull())
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
