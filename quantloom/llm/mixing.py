@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-A source's target is met with whole epochs plus a subset of its documents. The subset is fitted on
-the histogram of exact document sizes: an even share of every size first, then large leftovers
+Every document is available ``most_epochs`` times. How many copies of each exact document size are
+taken is fitted on the histogram of sizes: an even share of every size first, then large leftovers
 until the open budget is small, then bounded-knapsack dynamic programming for the rest. Documents
-of one size are interchangeable for the budget, so which of them are taken follows a seeded hash.
+of one size are interchangeable for the budget: all get the whole part of copies / documents, and
+a seeded hash selects those that get one more.
 
 Defined results: null text has size 0; documents of size 0 take no words; null is a source of its
 own and sorts last; a table without words gets targets of 0; repeated rows are separate documents
@@ -93,7 +94,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
 
 
 def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1),
-                share: float = 1.5, most_epochs: float = 2.0, seed: int = 0, split_rows: int = 50_000) -> DataFrame:
+                share: float = 1.5, most_epochs: int = 2, seed: int = 0, split_rows: int = 50_000) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
     Weights are dealt to the sources in code-point order, repeating. Two shuffles of
@@ -114,17 +115,15 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     plan = spark.createDataFrame([(k, t, g) for (k, t), g in zip(totals, goal)], "skey string, source_size long, target double")
 
     def fit(key, pdf):
-        t, g = int(pdf.source_size.iloc[0]), float(pdf.target.iloc[0])
-        epochs = int(g // t) if t else 0
         pdf = pdf.sort_values("size", ignore_index=True)
-        pdf["epochs"] = epochs
-        pdf["extra"] = fit_counts(pdf["size"].to_numpy(), pdf["n"].to_numpy(), round(g - epochs * t)) if t and epochs < most_epochs else 0
-        return pdf[["skey", "size", "n", "source_size", "target", "epochs", "extra"]]
+        copies = pdf["n"].to_numpy() * most_epochs
+        pdf["copies"] = fit_counts(pdf["size"].to_numpy(), copies, round(float(pdf.target.iloc[0])))
+        return pdf[["skey", "size", "n", "source_size", "target", "copies"]]
 
-    fitted = hist.join(plan, "skey").groupBy("skey").applyInPandas(fit, "skey string, size long, n long, source_size long, target double, epochs long, extra long")
+    fitted = hist.join(plan, "skey").groupBy("skey").applyInPandas(fit, "skey string, size long, n long, source_size long, target double, copies long")
     order = [F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id")]
     ranked = rank_within(base.join(fitted, ["skey", "size"]), ["skey", "size"], "n", order, split_rows=split_rows)
-    taken = (F.col("epochs") + (F.col("rank") < F.col("extra")).cast("long")) * F.col("size")
+    taken = (F.floor(F.col("copies") / F.col("n")) + (F.col("rank") < F.col("copies") % F.col("n")).cast("long")) * F.col("size")
     return ranked.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 

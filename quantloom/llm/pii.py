@@ -229,11 +229,11 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", reverse: bool
     t = F.col(text)
     kept = docs.select(*[c for c in docs.columns if c not in ("n_pseudonyms", "pii_kinds")])
     found = F.when(t.rlike(_HINT), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)))
-    step = kept.withColumn("_found", found).withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", convert)))
-    rebuilt = F.array_join(F.zip_with(F.split(t, CANDIDATE, -1), F.transform("_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    found_kinds = F.filter(F.transform("_new", lambda x: x["kind"]), lambda x: x.isNotNull())
+    step = kept.withColumn("__pii_found", found).withColumn("__pii_new", F.when(F.size("__pii_found") > 0, F.transform("__pii_found", convert)))
+    rebuilt = F.array_join(F.zip_with(F.split(t, CANDIDATE, -1), F.transform("__pii_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    found_kinds = F.filter(F.transform("__pii_new", lambda x: x["kind"]), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
-    out = step.withColumns({text: F.when(F.col("_new").isNotNull(), rebuilt).otherwise(t), "pii_kinds": F.coalesce(found_kinds, none)})
+    out = step.withColumns({text: F.when(F.col("__pii_new").isNotNull(), rebuilt).otherwise(t), "pii_kinds": F.coalesce(found_kinds, none)})
     return out.select(*kept.columns, F.size("pii_kinds").alias("n_pseudonyms"), "pii_kinds")
 
 

@@ -84,8 +84,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", def
         hits = fits.groupBy("u").agg(best.alias("best")).select("u", "best.rule", "best.rule_verdict")
     host, path = split_url(F.col(url))
     kept = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
-    out = kept.join(hits, F.col(url) == F.col("u"), "left")
-    return out.select(*kept.columns, host.alias("host"), path.alias("path"), "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    hits = hits.select(F.col("u").alias("__url"), F.col("rule").alias("__rule"), F.col("rule_verdict").alias("__verdict"))
+    out = kept.join(hits, F.col(url) == F.col("__url"), "left")
+    return out.select(*kept.columns, host.alias("host"), path.alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit(default)).alias("verdict"))
 
 
 RULES: list[Rule] = [
