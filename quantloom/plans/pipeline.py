@@ -1,14 +1,16 @@
 """Planning of many indicators over one table: one shuffle on the symbol.
 
 Column indicators become window expressions over the shared specification, which Spark runs on one
-exchange and one sort. All recurrences and state machines go into a single grouped map that follows
-on the same partitioning. Only the columns that something needs reach Python.
+exchange and one sort. All recurrences and state machines go into a single Arrow pass that follows on the
+same partitioning and order. Only the columns that something needs reach Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -55,22 +57,50 @@ def add_indicators(df: DataFrame, wanted: dict[str, Indicator], *, c: Bars = Bar
 
 
 def _grouped(df: DataFrame, wanted: dict[str, SeriesIndicator], c: Bars) -> DataFrame:
+    """All recurrences in one pass over Arrow batches that hold many symbols.
+
+    The bar number is a window over the shared specification: it makes Spark cluster and sort the
+    rows (or reuse what column indicators already need), it marks where symbols begin, and it
+    proves the order, which is checked. Memory holds the bars of one symbol at a time.
+    """
     added = [n for a, i in wanted.items() for n in i.names(a)]
     schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in added]])
-    needs = sorted({x for i in wanted.values() for x in i.needs})
-    source = {x: getattr(c, x, x) for x in needs}
-    order = [c.ts, c.seq]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        bars = {x: pdf[s].to_numpy(np.float64, na_value=np.nan) for x, s in source.items()}
-        new = {}
-        for alias, i in wanted.items():
-            got = i.series(bars)
-            for suffix, name in zip(i.outputs, i.names(alias)):
-                y = pd.array(got[suffix], dtype="Float64")
-                y[np.isnan(got[suffix])] = pd.NA
-                new[name] = y
-        return pd.concat([pdf, pd.DataFrame(new)], axis=1)
-
-    return df.groupBy(c.symbol).applyInPandas(run, schema)
+    source = {x: getattr(c, x, x) for x in sorted({x for i in wanted.values() for x in i.needs})}
+
+    def extended(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        columns = {x: b.column(s).cast(pa.float64()).to_numpy(zero_copy_only=False) for x, s in source.items()}
+        new: dict[str, list[np.ndarray]] = {n: [] for n in added}
+        for s, e in zip(starts, [*starts[1:], b.num_rows]):
+            bars = {x: v[s:e] for x, v in columns.items()}
+            for alias, i in wanted.items():
+                got = i.series(bars)
+                for suffix, name in zip(i.outputs, i.names(alias)):
+                    new[name].append(got[suffix])
+        arrays = [np.concatenate(new[n]) for n in added]
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(y, pa.float64(), mask=np.isnan(y)) for y in arrays]], names=[*b.schema.names[:-1], *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rn = b.column(b.num_columns - 1).to_numpy()
+            if ((rn != 1) & (rn != np.append(last, rn[:-1]) + 1)).any():
+                raise RuntimeError("bars did not arrive in order")
+            last = int(rn[-1])
+            starts = np.flatnonzero(rn == 1)
+            if not len(starts):
+                held.append(b)
+                continue
+            if starts[0]:
+                held.append(b.slice(0, starts[0]))
+            if held:
+                yield extended(pa.concat_batches(held), np.array([0]))
+            if len(starts) > 1:
+                yield extended(b.slice(starts[0], starts[-1] - starts[0]), starts[:-1] - starts[0])
+            held = [b.slice(starts[-1])]
+        if held:
+            yield extended(pa.concat_batches(held), np.array([0]))
+
+    return df.withColumn("_bar", F.row_number().over(c.window())).mapInArrow(run, schema)
