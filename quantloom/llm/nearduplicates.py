@@ -202,6 +202,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         pick = met.groupBy("id").agg(F.max_by("b", F.struct("n", F.xxhash64(F.lit(r), "b"))).alias("b")).select(F.col("id").alias("a"), "b")
         pairs = beside(pick, small).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(near, "a long, b long")
         new = ws.save(beside(pairs, sets).select("a", "b", "words_a", "words_b").mapInArrow(verify, "a long, b long"), "links")
+        if links is not None and new.isEmpty():
+            break  # the cells take it from here
         links = new if links is None else links.unionAll(new)
         comp = components(ws, links)
     links = links.unionAll(_cells(ws, members, comp, small, sets, num, den))
