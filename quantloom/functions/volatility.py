@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quantloom.functions.indicator import ColumnIndicator, SeriesIndicator
 from quantloom.functions.trend import sma
 from quantloom.numeric import check_period, ieee_div, warm
 from quantloom.operators.recurrence import ema, wilder_mean
+from quantloom.schema import Bars
 
 
 def true_range(h: np.ndarray, l: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -22,6 +24,12 @@ def true_range(h: np.ndarray, l: np.ndarray, c: np.ndarray) -> np.ndarray:
     return tr
 
 
+def true_range_column(c: Bars = Bars()) -> Column:
+    """The true range as a column; the first bar's is high - low."""
+    h, l, was = c.col("high"), c.col("low"), F.lag(c.col("close")).over(c.window())
+    return F.greatest(h - l, F.abs(h - was), F.abs(l - was))
+
+
 @dataclass(frozen=True)
 class Atr(SeriesIndicator):
     n: int = 14

@@ -36,6 +36,11 @@ class _Bundle(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("bundle", StructType([StructField("data", BinaryType())]), self.ttl_ms)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Feeds a symbol's history to the steppers without output."""
+        for _ in self.handleInputRows(key, iter([initialState]), timerValues):
+            pass
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         c = self.c
         if self.state.exists():
@@ -70,12 +75,14 @@ class _Bundle(StatefulProcessor):
     def close(self) -> None: ...
 
 
-def live_indicators(bars: DataFrame, wanted: dict[str, Indicator], *, ttl_ms: int | None = None, c: Bars = Bars()) -> DataFrame:
+def live_indicators(bars: DataFrame, wanted: dict[str, Indicator], *, history: DataFrame | None = None, ttl_ms: int | None = None, c: Bars = Bars()) -> DataFrame:
     """Indicators over a stream of bars, state per symbol. ``late`` counts the symbol's dropped bars.
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). Put a session
-    into the symbol to start afresh; ``ttl_ms`` forgets symbols that stopped.
+    into the symbol to start afresh; ``ttl_ms`` forgets symbols that stopped. ``history`` (a batch
+    frame of bars) warms the state up before the stream's first bar.
     """
     columns = list(c.names)
     schema = StructType([*[bars.schema[x] for x in columns], *[StructField(n, DoubleType()) for a, i in wanted.items() for n in i.names(a)], StructField("late", LongType())])
-    return bars.select(*columns).groupBy(c.symbol).transformWithStateInPandas(_Bundle(wanted, c, columns, ttl_ms), schema, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None")
+    before = None if history is None else history.select(*columns).groupBy(c.symbol)
+    return bars.select(*columns).groupBy(c.symbol).transformWithStateInPandas(_Bundle(wanted, c, columns, ttl_ms), schema, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None", initialState=before)

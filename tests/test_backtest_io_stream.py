@@ -132,6 +132,24 @@ def test_stream_equals_batch(spark, tmp_path):
             assert got[n].isna().tolist() == want[n].isna().tolist() and (got[n] - want[n]).abs().max() < 1e-9, n
 
 
+def test_history_warms_the_stream_up(spark, tmp_path):
+    df = frame(spark, walk("a", 40, 6))
+    wanted = {"ema": T.Ema(4), "rsi": M.Rsi(5)}
+    df.where("ts >= 30").coalesce(1).write.parquet(f"{tmp_path}/src")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/src")
+    q = live_indicators(stream, wanted, history=df.where("ts < 30")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("ts").toPandas()
+    want = add_indicators(df, wanted).where("ts >= 30").orderBy("ts").toPandas()
+    assert len(got) == 10 and (got.ema - want.ema).abs().max() < 1e-9 and (got.rsi - want.rsi).abs().max() < 1e-9
+
+
+def test_true_range_column(spark):
+    df = frame(spark, walk("a", 30, 6)).withColumn("tr", V.true_range_column())
+    g = df.orderBy("ts").toPandas()
+    assert (g.tr - V.true_range(g.high.to_numpy(), g.low.to_numpy(), g.close.to_numpy())).abs().max() < 1e-12
+
+
 def test_live_bars_equal_resampled(spark, tmp_path):
     ev = spark.read.parquet(f"{SF}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
     ev.coalesce(1).write.parquet(f"{tmp_path}/ev")
