@@ -110,6 +110,8 @@ def fit(langs: list[str], counts: np.ndarray, per_lang: int = 4, rounds: int = 1
 def train(docs: DataFrame, *, use: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, dims: int = DIMS) -> Model | None:
     """Fits on at most ``sample_per_lang`` rows of each language, those with the smallest id hashes."""
     keyed = docs.where(use & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"))
+    if keyed.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = keyed.withColumn("r", rank).where(F.col("r") <= sample_per_lang).select("doc_id", "lang").distinct()
 
@@ -129,8 +131,6 @@ def train(docs: DataFrame, *, use: Column, doc_id: str = "doc_id", text: str = "
     table = got.mapInArrow(features, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang string, at binary, n binary").toPandas()
     if not len(table):
         return None
-    if table.lang.nunique() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     table = table.sort_values(["lang", "doc_id", "at"], ignore_index=True)
     x = np.zeros((len(table), dims), np.float32)
     for i, (at, n) in enumerate(zip(table["at"], table["n"])):
