@@ -94,7 +94,7 @@ def enriched(df: DataFrame, wanted: dict[str, Indicator], *, date: str = "date",
 
 
 def write_csv(df: DataFrame, path: str, *, single_file: bool = False, mode: str = "errorifexists", c: Bars = Bars()) -> None:
-    """Writes an enriched table in (ts, seq) order, one folder per symbol where there are several.
+    """Writes an enriched table; files follow one another in (symbol, ts, seq) order.
 
     ``single_file`` gathers the rows in one task; leave it off beyond what one task can write.
     """
