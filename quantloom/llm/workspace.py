@@ -7,11 +7,11 @@ Where that setting is absent (tests on a local master) a folder below /tmp is us
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: list[tuple[object, str]] = []
 
 
@@ -34,24 +34,22 @@ class Workspace:
         self.n = 0
         _MADE.append((spark, self.path))
 
-    def save(self, df: DataFrame, name: str, *partition_by: str, release: bool = False) -> DataFrame:
+    def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the table read back (same columns, no lineage).
 
-        ``release`` also frees the shuffle files that only the finished write needed. Spark deletes
-        them when the driver's garbage collector finds their plan gone, so it is asked to run.
+        Spark removes the write's shuffle files when it ends, since nothing can read them again;
+        else they stay on the executors until the driver's garbage collector meets their plan.
         """
         self.n += 1
-        schema = df.schema
         at = f"{self.path}/{self.n:02d}-{name}"
-        w = df.write
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(at)
-        if release:
-            del df, w
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(at)
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(at)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
