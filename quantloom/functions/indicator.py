@@ -22,6 +22,7 @@ class Indicator:
     """Base class. ``outputs`` are name suffixes; a single output has the suffix ''."""
 
     outputs = ("",)
+    types = ("double",)  # of the outputs; one entry stands for all
 
     @property
     def name(self) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.functions.indicator import Indicator
 from quantloom.numeric import ge, gt, le, lt
 from quantloom.schema import Bars
 
@@ -119,3 +120,24 @@ class Divergence:
         short = F.coalesce(F.col("_hi") & far(h) & (x > h["p"]) & (F.col("_o") < h["o"]), F.lit(False))
         long = F.coalesce(F.col("_lo") & far(l) & (x < l["p"]) & (F.col("_o") > l["o"]), F.lit(False))
         return df.withColumn("_event", F.when(full, F.when(short, F.lit(SHORT)).when(long, F.lit(LONG)).otherwise(F.lit(HOLD)))).select(*keep, F.col("_event").alias(alias))
+
+
+@dataclass(frozen=True)
+class LiveSignal(Indicator):
+    """A signal for streams, where a window cannot look back: its state holds the bar before.
+
+    ``kind`` is cross_up, cross_down, threshold_above, threshold_below, breakout, both, either or
+    inverse. ``sources`` are bar fields ("close") or (indicator, output suffix[, bars of delay]);
+    the three combinators take signals in ``legs`` instead.
+    """
+
+    kind: str
+    sources: tuple = ()
+    level: float = 0.0
+    legs: tuple = ()
+    types = ("string",)
+
+    def __post_init__(self):
+        need = {"cross_up": (2, 0), "cross_down": (2, 0), "threshold_above": (1, 0), "threshold_below": (1, 0), "breakout": (3, 0), "both": (0, 2), "either": (0, 2), "inverse": (0, 1)}
+        if need.get(self.kind) != (len(self.sources), len(self.legs)):
+            raise ValueError(f"{self.kind} does not take {len(self.sources)} sources and {len(self.legs)} legs")

@@ -30,6 +30,11 @@ def true_range_column(c: Bars = Bars()) -> Column:
     return F.greatest(h - l, F.abs(h - was), F.abs(l - was))
 
 
+def standard_deviation(x: Column, mean: Column | None = None) -> Column:
+    """Population deviation as an aggregate, around the mean or around a given one."""
+    return F.stddev_pop(x) if mean is None else F.sqrt(F.avg((x - mean) * (x - mean)))
+
+
 @dataclass(frozen=True)
 class Atr(SeriesIndicator):
     n: int = 14

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructField, StructType
 
 from quantloom.functions.indicator import Indicator
 from quantloom.schema import Bars
@@ -62,14 +62,14 @@ class _Bundle(StatefulProcessor):
                 got = s.next(bar)
                 for o in self.wanted[alias].outputs:
                     y = None if got is None else got[o]
-                    row.append(None if y is None or math.isnan(y) else y)
+                    row.append(None if y is None or (isinstance(y, float) and math.isnan(y)) else y)
             out.append((*row, late))
         self.state.update((pickle.dumps(({a: freeze(s) for a, s in steppers.items()}, last, late)),))
         names = [*self.columns, *[n for a, i in self.wanted.items() for n in i.names(a)], "late"]
         frame = pd.DataFrame(out, columns=names)
         for a, i in self.wanted.items():
             for n in i.names(a):
-                frame[n] = frame[n].astype("Float64")
+                frame[n] = frame[n].astype("Float64" if i.types[0] == "double" else "object")
         yield frame
 
     def close(self) -> None: ...
@@ -83,6 +83,6 @@ def live_indicators(bars: DataFrame, wanted: dict[str, Indicator], *, history: D
     frame of bars) warms the state up before the stream's first bar.
     """
     columns = list(c.names)
-    schema = StructType([*[bars.schema[x] for x in columns], *[StructField(n, DoubleType()) for a, i in wanted.items() for n in i.names(a)], StructField("late", LongType())])
+    schema = StructType([*[bars.schema[x] for x in columns], *[StructField(n, DoubleType() if i.types[0] == "double" else StringType()) for a, i in wanted.items() for n in i.names(a)], StructField("late", LongType())])
     before = None if history is None else history.select(*columns).groupBy(c.symbol)
     return bars.select(*columns).groupBy(c.symbol).transformWithStateInPandas(_Bundle(wanted, c, columns, ttl_ms), schema, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None", initialState=before)

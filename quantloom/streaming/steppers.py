@@ -13,6 +13,7 @@ from quantloom.functions import trend as T
 from quantloom.functions import volatility as V
 from quantloom.functions import volume as U
 from quantloom.functions.indicator import STEPPER
+from quantloom.functions.signals import LiveSignal
 
 
 class Stepper:
@@ -404,6 +405,56 @@ class VwapStep(Stepper):
         return {"": _tp(bar) if self.v == 0 else self.pv / self.v}
 
 
+class SignalStep(Stepper):
+    """Signals: None until two bars have all inputs, then an event."""
+
+    def clear(self):
+        self.inner = [x[0].start() for x in self.spec.sources if not isinstance(x, str)]
+        self.legs = [x.start() for x in self.spec.legs]
+        self.delayed: dict = {}
+        self.was = None
+
+    def _value(self, at: int, source, got):
+        y = None if got is None else got[source[1]]
+        if len(source) > 2 and source[2]:
+            line = self.delayed.setdefault(at, [])
+            line.append(y)
+            return line.pop(0) if len(line) > source[2] else None
+        return y
+
+    def step(self, bar):
+        s = self.spec
+        if s.legs:
+            return {"": self._combined([x.next(bar) for x in self.legs])}
+        inner = iter([x.next(bar) for x in self.inner])
+        now = [bar[x] if isinstance(x, str) else self._value(i, x, next(inner)) for i, x in enumerate(s.sources)]
+        was, self.was = self.was, now
+        if was is None or None in was or None in now:
+            return {"": None}
+        return {"": self._event(s, was, now)}
+
+    @staticmethod
+    def _event(s, was, now):
+        if s.kind == "breakout":
+            inside = was[2] <= was[0] <= was[1]
+            return "LONG" if inside and now[0] > now[1] else "SHORT" if inside and now[0] < now[2] else "HOLD"
+        level = s.level if len(now) == 1 else None
+        (a, b), (x, y) = (was[0], level if level is not None else was[1]), (now[0], level if level is not None else now[1])
+        if s.kind in ("cross_up", "threshold_above"):
+            return "LONG" if a <= b and x > y else "HOLD"
+        return "SHORT" if a >= b and x < y else "HOLD"
+
+    def _combined(self, got):
+        e = [None if g is None else g[""] for g in got]
+        if self.spec.kind == "inverse":
+            return {"LONG": "SHORT", "SHORT": "LONG"}.get(e[0], e[0])
+        if self.spec.kind == "either":
+            return next((x for x in ("LONG", "SHORT", "EXIT", "HOLD") if x in e), None)
+        if e[0] == e[1] and e[0] in ("LONG", "SHORT"):
+            return e[0]
+        return "EXIT" if "EXIT" in e else None if None in e else "HOLD"
+
+
 def stepper(spec) -> Stepper:
     n = getattr(spec, "n", 0)
     rolling = {
@@ -424,7 +475,7 @@ def stepper(spec) -> Stepper:
         return Rolling(spec, spec.least_bars, spec.least_bars - 1, _stochastic)
     single = {
         T.Ema: EmaStep, T.Dema: ChainStep, T.Tema: ChainStep, T.Macd: MacdStep, T.Adx: AdxStep, T.ParabolicSar: SarStep, T.HeikinAshi: HeikinAshiStep,
-        M.Rsi: RsiStep, V.Atr: AtrStep, V.Keltner: KeltnerStep, V.KeltnerPrice: KeltnerPriceStep, U.Obv: ObvStep, U.Adl: AdlStep, U.Vwap: VwapStep,
+        M.Rsi: RsiStep, V.Atr: AtrStep, V.Keltner: KeltnerStep, V.KeltnerPrice: KeltnerPriceStep, U.Obv: ObvStep, U.Adl: AdlStep, U.Vwap: VwapStep, LiveSignal: SignalStep,
     }
     if kind in single:
         return single[kind](spec)
@@ -433,7 +484,7 @@ def stepper(spec) -> Stepper:
 
 def freeze(s: Stepper) -> dict:
     """The state as plain data, without classes of this package."""
-    plain = lambda v: v.__dict__ if isinstance(v, (Smooth, Wilder)) else v
+    plain = lambda v: v.__dict__ if isinstance(v, (Smooth, Wilder)) else freeze(v) if isinstance(v, Stepper) else v
     return {k: [plain(x) for x in v] if isinstance(v, list) else plain(v) for k, v in s.__dict__.items() if k not in ("spec", "of")}
 
 
@@ -443,7 +494,7 @@ def thaw(s: Stepper, data: dict) -> Stepper:
         own = getattr(s, k, None)
         if isinstance(own, list):
             for x, d in zip(own, v):
-                x.__dict__.update(d)
+                thaw(x, d) if isinstance(x, Stepper) else x.__dict__.update(d)
         elif isinstance(own, (Smooth, Wilder)):
             own.__dict__.update(v)
         else:

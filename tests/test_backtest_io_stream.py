@@ -9,11 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import momentum as M
+from quantloom.functions import signals as S
 from quantloom.functions import trend as T
 from quantloom.functions import volatility as V
 from quantloom.functions import volume as U
 from quantloom.operators import backtest as B
 from quantloom.plans.pipeline import add_indicators
+from quantloom.schema import Bars
 from quantloom.sources import bars as IO
 from quantloom.streaming.live import live_bars, live_indicators
 from tests.test_engine import COLS, closes, frame, walk
@@ -28,7 +30,7 @@ def ramp(spark, actions, prices=None):
     return df.join(a, "ts")
 
 
-L, S, X, H = B.ENTER_LONG, B.ENTER_SHORT, B.EXIT, B.HOLD
+L, SH, X, H = B.ENTER_LONG, B.ENTER_SHORT, B.EXIT, B.HOLD
 
 
 def test_buy_and_hold(spark):
@@ -40,7 +42,7 @@ def test_buy_and_hold(spark):
 
 def test_fees_slippage_and_flip(spark):
     c = B.Config(cash=1000, fee=0.01, slippage=0.1)
-    r = B.run(ramp(spark, [L, H, S, H, X], [10, 10, 20, 20, 10]), quantity=B.Quantity("fixed", 2.0), config=c)
+    r = B.run(ramp(spark, [L, H, SH, H, X], [10, 10, 20, 20, 10]), quantity=B.Quantity("fixed", 2.0), config=c)
     t = r.trades.orderBy("trade").collect()
     assert [x.side for x in t] == ["LONG", "SHORT"]
     assert t[0].pnl == pytest.approx(2 * (18 - 11) - 0.01 * 2 * (11 + 18)) and t[1].pnl == pytest.approx(2 * (18 - 11) - 0.01 * 2 * (18 + 11))
@@ -48,7 +50,7 @@ def test_fees_slippage_and_flip(spark):
 
 
 def test_short_valuation(spark):
-    df = ramp(spark, [S, H, H], [10, 10, 5])
+    df = ramp(spark, [SH, H, H], [10, 10, 5])
     q = B.Quantity("fixed", 1.0)
     assert [x.equity for x in B.run(df, quantity=q, config=B.Config(cash=100)).equity.orderBy("bar").collect()] == [100, 100, 105]
     assert [x.equity for x in B.run(df, quantity=q, config=B.Config(cash=100, short_mtm="reference")).equity.orderBy("bar").collect()] == [120, 120, 125]
@@ -150,6 +152,36 @@ def test_true_range_column(spark):
     assert (g.tr - V.true_range(g.high.to_numpy(), g.low.to_numpy(), g.close.to_numpy())).abs().max() < 1e-12
 
 
+LIVE = {
+    "up": S.LiveSignal("cross_up", ((T.Sma(3), ""), (T.Sma(8), ""))), "down": S.LiveSignal("cross_down", ((T.Sma(3), ""), (T.Sma(8), ""))),
+    "over": S.LiveSignal("threshold_above", ((M.Rsi(5), ""),), 60.0), "under": S.LiveSignal("threshold_below", ((M.Rsi(5), ""),), 40.0),
+    "out": S.LiveSignal("breakout", ("close", (V.Donchian(5), "upper", 1), (V.Donchian(5), "lower", 1))),
+}
+LIVE |= {"and": S.LiveSignal("both", legs=(LIVE["up"], LIVE["over"])), "or": S.LiveSignal("either", legs=(LIVE["up"], LIVE["down"])), "not": S.LiveSignal("inverse", legs=(LIVE["up"],))}
+
+
+def test_live_signals_equal_batch(spark, tmp_path):
+    df = frame(spark, walk("a", 120, 9) + walk("b", 60, 10))
+    src = f"{tmp_path}/src"
+    for k in range(3):
+        df.where(f"ts BETWEEN {40 * k} AND {40 * k + 39}").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    q = live_indicators(stream, LIVE).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    got = spark.read.parquet(f"{tmp_path}/out").toPandas().sort_values(["symbol", "ts"], ignore_index=True)
+    w = add_indicators(df, {"f": T.Sma(3), "s": T.Sma(8), "r": M.Rsi(5), "d": V.Donchian(5)})
+    w = w.withColumns({"du": F.lag("d_upper").over(Bars().window()), "dl": F.lag("d_lower").over(Bars().window())})
+    w = w.withColumns({"up": S.cross_up("f", "s"), "down": S.cross_down("f", "s"), "over": S.threshold_above("r", 60), "under": S.threshold_below("r", 40), "out": S.breakout("close", "du", "dl")})
+    w = w.withColumns({"and": S.both(F.col("up"), F.col("over")), "or": S.either(F.col("up"), F.col("down")), "not": S.inverse(F.col("up"))})
+    want = w.toPandas().sort_values(["symbol", "ts"], ignore_index=True)
+    assert len(got) == len(want)
+    for n in LIVE:
+        assert got[n].where(got[n].notna(), None).tolist() == want[n].where(want[n].notna(), None).tolist(), n
+        assert got[n].nunique() > 1 or n == "and"
+    with pytest.raises(ValueError):
+        S.LiveSignal("cross_up", ("close",))
+
+
 def test_live_bars_equal_resampled(spark, tmp_path):
     ev = spark.read.parquet(f"{SF}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
     ev.coalesce(1).write.parquet(f"{tmp_path}/ev")
