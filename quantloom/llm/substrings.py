@@ -98,8 +98,8 @@ class _Gather:
         return out
 
 
-def _answers(earliest: bool) -> Callable:
-    """The reducer: per bucket, finds the positions to mark and returns them by document."""
+def _answers(earliest: bool, buckets: int) -> Callable:
+    """The reducer: per bucket, finds the positions to mark and returns them by part of the documents."""
 
     def settle(rows: list[tuple]) -> tuple:
         got = [_unpack(*r) for r in rows]
@@ -116,14 +116,21 @@ def _answers(earliest: bool) -> Callable:
             mark[head[mark]] = True
         return keys[mark], pos[mark]
 
-    def by_document(keys: np.ndarray, pos: np.ndarray) -> pa.RecordBatch | None:
+    def by_part(keys: np.ndarray, pos: np.ndarray) -> pa.RecordBatch | None:
+        """One row per part of the documents: its marked keys, positions per key, positions."""
         if not len(keys):
             return None
-        order = np.argsort(keys, kind="stable")
-        keys, pos = keys[order], pos[order].astype(np.uint32)
-        edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        ends = np.append(edge[1:], len(keys))
-        return pa.RecordBatch.from_arrays([pa.array(keys[edge]), pa.array([pos[s:e].tobytes() for s, e in zip(edge, ends)], pa.binary())], names=["key", "pos"])
+        part = keys % buckets
+        order = np.lexsort((keys, part))
+        part, keys, pos = part[order], keys[order], pos[order].astype(np.uint32)
+        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        count = np.diff(np.append(head, len(keys))).astype(np.uint32)
+        rows = []
+        for i in np.split(np.arange(len(head)), np.flatnonzero(np.diff(part[head])) + 1):
+            s, e = head[i[0]], head[i[-1]] + count[i[-1]]
+            rows.append((int(part[s]), keys[head[i]].tobytes(), count[i].tobytes(), pos[s:e].tobytes()))
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "keys", "counts", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -131,30 +138,53 @@ def _answers(earliest: bool) -> Callable:
         for b in batches:
             for bucket, known, *rest in zip(*(b.column(c).to_pylist() for c in ("bucket", "known", "docs", "at", "pos", "hash"))):
                 if held and bucket != at:
-                    if (out := by_document(*settle(held))) is not None:
+                    if (out := by_part(*settle(held))) is not None:
                         yield out
                     held = []
                 at = bucket
                 if known:
                     keys, _, pos, _ = _unpack(*rest)
-                    if (out := by_document(keys, pos)) is not None:
+                    if (out := by_part(keys, pos)) is not None:
                         yield out
                 else:
                     held.append(tuple(rest))
-        if held and (out := by_document(*settle(held))) is not None:
+        if held and (out := by_part(*settle(held))) is not None:
             yield out
 
     return run
 
 
-def _marks(messages: DataFrame, buckets: int, earliest: bool) -> DataFrame:
-    """(key, [positions]) of every document with marked positions."""
-    dealt = messages.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known")
-    return dealt.mapInArrow(_answers(earliest), "key long, pos binary").groupBy("key").agg(F.collect_list("pos").alias("marks"))
+def _meet(rows: DataFrame, messages: DataFrame, buckets: int, earliest: bool, use: Callable, schema: str) -> DataFrame:
+    """``use(batch, marks)`` over the rows (with a column key), where ``marks`` maps the keys of marked
+    rows to their positions. Answers come packed, one row per part and message bucket, ahead of the
+    part's rows; memory holds the answers of one part."""
+    answers = messages.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known").mapInArrow(_answers(earliest, buckets), "part int, keys binary, counts binary, pos binary")
+    packed, own = ["keys", "counts", "pos"], rows.schema
+    left = answers.select("part", F.lit(0).alias("kind"), *packed, *[F.lit(None).cast(f.dataType).alias(f.name) for f in own])
+    right = rows.select(F.pmod("key", F.lit(buckets)).cast("int").alias("part"), F.lit(1).alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in packed], *own.names)
+    dealt = left.unionAll(right).repartition(buckets, "part").sortWithinPartitions("part", "kind")
 
-
-def _positions(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, marks = None, {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
+            edge = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), b.num_rows]
+            for s, e in zip(edge[:-1], edge[1:]):
+                if part[s] != at:
+                    at, marks = part[s], {}
+                if kind[s]:
+                    for c in chunks(iter([b.slice(s, e - s)]), "text"):
+                        yield use(c, marks)
+                    continue
+                for keys, counts, pos in zip(*(b.column(c).slice(s, e - s).to_pylist() for c in packed)):
+                    pos = np.frombuffer(pos, np.uint32)
+                    ends = np.cumsum(np.frombuffer(counts, np.uint32).astype(np.int64)).tolist()
+                    for k, i, j in zip(np.frombuffer(keys, np.int64).tolist(), [0, *ends], ends):
+                        marks.setdefault(k, []).append(pos[i:j])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def _windows(marks: np.ndarray, n: int, window: int, anchor: int) -> np.ndarray:
@@ -196,27 +226,24 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         if out := g.flush():
             yield _batch(out)
 
-    shared = _marks(rows.select("doc_id", "text", "key").mapInArrow(anchors, _ASK), buckets, False)
-    joined = rows.join(shared, "key", "left").select("doc_id", "text", "key", "marks")
-
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_pass(b: pa.RecordBatch, marked: dict) -> pa.RecordBatch:
         """Settles texts without shared anchors; the others go on with their marks."""
-        for b in chunks(batches, "text"):
-            n, sha, texts, marks, kept = [], [], [], [], []
-            for t, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist()):
-                w = t.encode().split()
-                n.append(len(w))
-                clean = not m
-                joined_words = b" ".join(w)
-                sha.append(hashlib.sha256(joined_words).hexdigest() if clean else None)
-                kept.append(joined_words.decode() if clean else None)
-                texts.append(None if clean else t)
-                marks.append(None if clean else np.unique(_positions(m)).astype(np.uint32).tobytes())
-            cols = {"doc_id": b.column("doc_id"), "key": b.column("key"), "n_words": pa.array(n, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "text": pa.array(texts, pa.string()), "marks": pa.array(marks, pa.binary())}
-            yield pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
+        n, sha, texts, marks, kept = [], [], [], [], []
+        for t, k in zip(b.column("text").to_pylist(), b.column("key").to_pylist()):
+            w = t.encode().split()
+            m = marked.get(k)
+            joined_words = b" ".join(w)
+            n.append(len(w))
+            sha.append(None if m else hashlib.sha256(joined_words).hexdigest())
+            kept.append(None if m else joined_words.decode())
+            texts.append(t if m else None)
+            marks.append(np.unique(np.concatenate(m)).tobytes() if m else None)
+        cols = {"doc_id": b.column("doc_id"), "key": b.column("key"), "n_words": pa.array(n, pa.int64()), "kept_sha256": pa.array(sha, pa.string()), "text": pa.array(texts, pa.string()), "marks": pa.array(marks, pa.binary())}
+        return pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
 
     kept_too = ", kept_text string" if with_text else ""
-    passed = ws.save(joined.mapInArrow(first_pass, f"doc_id long, key long, n_words long, kept_sha256 string, text string, marks binary{kept_too}"), "passed")
+    first = _meet(rows, rows.mapInArrow(anchors, _ASK), buckets, False, first_pass, f"doc_id long, key long, n_words long, kept_sha256 string, text string, marks binary{kept_too}")
+    passed = ws.save(first, "passed")
     affected = passed.where(F.col("text").isNotNull())
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,31 +261,25 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         if out := g.flush():
             yield _batch(out)
 
-    later = _marks(affected.mapInArrow(candidates, _ASK), buckets, True)
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text"):
-            gone, kept, sha = [], [], []
-            for t, m in zip(b.column("text").to_pylist(), b.column("marks").to_pylist()):
-                w = t.encode().split()
-                if m:
-                    d = np.zeros(len(w) + 1, np.int32)
-                    at = _positions(m)
-                    np.add.at(d, at, 1)
-                    np.add.at(d, at + window, -1)
-                    keep = np.cumsum(d[:-1]) == 0
-                    w2 = [x for x, k in zip(w, keep.tolist()) if k]
-                else:
-                    w2 = w
-                body = b" ".join(w2)
-                gone.append(len(w) - len(w2))
-                kept.append(body.decode())
-                sha.append(hashlib.sha256(body).hexdigest())
-            cols = {"doc_id": b.column("doc_id"), "n_words": b.column("n_words"), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            yield pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
-
-    own = affected.select("doc_id", "key", "n_words", "text").join(later, "key", "left").select("doc_id", "n_words", "text", "marks")
-    cut = own.mapInArrow(remove, f"doc_id long, n_words long, n_removed long, kept_sha256 string{kept_too}")
+    def remove(b: pa.RecordBatch, marked: dict) -> pa.RecordBatch:
+        gone, kept, sha = [], [], []
+        for t, key in zip(b.column("text").to_pylist(), b.column("key").to_pylist()):
+            w = w2 = t.encode().split()
+            if m := marked.get(key):
+                d = np.zeros(len(w) + 1, np.int32)
+                at = np.concatenate(m).astype(np.int64)
+                np.add.at(d, at, 1)
+                np.add.at(d, at + window, -1)
+                w2 = [x for x, k in zip(w, (np.cumsum(d[:-1]) == 0).tolist()) if k]
+            body = b" ".join(w2)
+            gone.append(len(w) - len(w2))
+            kept.append(body.decode())
+            sha.append(hashlib.sha256(body).hexdigest())
+        cols = {"doc_id": b.column("doc_id"), "n_words": b.column("n_words"), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+        return pa.RecordBatch.from_pydict(cols | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
+
+    asked = affected.mapInArrow(candidates, _ASK)
+    cut = _meet(affected.select("doc_id", "key", "n_words", "text"), asked, buckets, True, remove, f"doc_id long, n_words long, n_removed long, kept_sha256 string{kept_too}")
     whole = passed.where(F.col("text").isNull()).withColumn("n_removed", F.lit(0).cast("long")).select(*cut.columns)
     return whole.unionAll(cut)
 
