@@ -3,7 +3,12 @@
 Texts become L2-normalised vectors of hashed byte 1- to 3-grams of their letters (lower case),
 weighted by log term frequency and learned inverse document frequency. Each language has several
 centroids from spherical k-means; a text gets the language of the centroid with the largest
-cosine. A text whose distance 1 - cosine to every centroid exceeds ``reject_distance`` is rejected.
+cosine. A text is rejected if its distance 1 - cosine to every centroid exceeds ``reject_distance``,
+or if its cosine is below the floor of the language found. Floors are learned: ``MARGIN`` of a low
+quantile of the training texts' scores, each scored without its own share in its centroid. The
+cosine of a short text is small by nature, so below ``FULL_GRAMS`` distinct n-grams floors shrink
+with the square root of their number; a few words of an unlearned language
+or a few characters over and over may stay.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; with
 no labelled rows every text is ``und``; ties go to the first language in code-point order; repeated
@@ -30,6 +35,8 @@ DIMS = 4096
 SAMPLE_PER_LANG = 800
 #: Languages that can be learned; more are refused.
 MAX_LANGS = 500
+#: Floors of the score: quantile of the training scores, part of it, distinct n-grams of a full-size text.
+LOW_QUANTILE, MARGIN, FULL_GRAMS = 0.05, 0.4, 250
 _LETTERS = np.arange(256)
 _LETTERS = np.where((_LETTERS >= 128) | ((_LETTERS >= 97) & (_LETTERS <= 122)), _LETTERS, 32).astype(np.uint32)
 
@@ -74,21 +81,39 @@ class Model:
     idf: np.ndarray  # dims
     centroids: np.ndarray  # unit rows
     langs: list[str]  # of each centroid
+    floors: np.ndarray  # of each centroid's language, for a text of full size
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         return _unit(np.log1p(counts) * self.idf)
 
-    def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, floor of the score) of every text."""
         cos = self.vectors(counts) @ self.centroids.T
         best = cos.argmax(1)
-        return [self.langs[i] for i in best], np.clip(cos[np.arange(len(cos)), best], 0, 1).astype(np.float64)
+        return [self.langs[i] for i in best], np.clip(cos[np.arange(len(cos)), best], 0, 1).astype(np.float64), self.floors[best] * full_size(counts)
+
+
+def full_size(counts: np.ndarray) -> np.ndarray:
+    """What a text's size leaves of the score that a long text of its language has: 1 from FULL_GRAMS on."""
+    return np.sqrt(np.minimum((counts > 0).sum(1), FULL_GRAMS) / FULL_GRAMS)
+
+
+def floor_of(own: np.ndarray, cents: np.ndarray, size: np.ndarray) -> float:
+    """The floor learned from a language's unit vectors; a text does not vouch for itself."""
+    cos = own @ cents.T
+    at, i = cos.argmax(1), np.arange(len(own))
+    total = np.array([own[at == j].sum(0) for j in range(len(cents))])
+    dot = (own * total[at]).sum(1)
+    rest = (total * total).sum(1)[at] - 2 * dot + 1
+    cos[i, at] = np.where(rest > 1e-3, (dot - 1) / np.sqrt(np.maximum(rest, 1e-3)), 0)
+    return MARGIN * float(np.quantile(np.clip(cos.max(1) / np.maximum(size, 1e-3), 0, 1), LOW_QUANTILE))
 
 
 def fit(langs: list[str], counts: np.ndarray, per_lang: int = 4, rounds: int = 12, seed: int = 7) -> Model:
     df = (counts > 0).sum(0)
     idf = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
     x = _unit(np.log1p(counts) * idf)
-    names, cents = [], []
+    names, cents, floors, size = [], [], [], full_size(counts)
     labels = np.array(langs, dtype=object)
     for lang in sorted(set(langs)):
         own = x[labels == lang]
@@ -104,7 +129,8 @@ def fit(langs: list[str], counts: np.ndarray, per_lang: int = 4, rounds: int = 1
             c = _unit(np.array([own[at == j].sum(0) if (at == j).any() else c[j] for j in range(k)]))
         cents.append(c)
         names += [lang] * k
-    return Model(idf, np.concatenate(cents).astype(np.float32), names)
+        floors += [floor_of(own, c, size[labels == lang])] * k
+    return Model(idf, np.concatenate(cents).astype(np.float32), names, np.array(floors))
 
 
 def train(docs: DataFrame, *, use: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, dims: int = DIMS) -> Model | None:
@@ -148,11 +174,11 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", reject
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, text, rows=512):
             col = b.column(text)
-            langs, score = model.predict(gram_counts(col, dims))
+            langs, score, floor = model.predict(gram_counts(col, dims))
             letters = has_letter(col)
             score = np.where(letters, score, 0.0)
             pred = [x if ok else "und" for x, ok in zip(langs, letters)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(~letters | (score < 1 - reject_distance))], names=[*b.schema.names, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(~letters | (score < np.maximum(1 - reject_distance, floor)))], names=[*b.schema.names, *new])
 
     schema = StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return rows.mapInArrow(run, schema)

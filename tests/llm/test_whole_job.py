@@ -1,0 +1,21 @@
+"""What the stages must not leave out."""
+
+import random
+
+import corpus_pipeline as P
+
+SF = "/root/testdata/sf0.001"
+RNG = random.Random(1)
+UNLIKE = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    *["".join(RNG.choice(a) for _ in range(800)) for a in ("abcdefghijklmnopqrstuvwxyz ", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")],
+]
+
+
+def test_language_stage_drops_what_is_unlike(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    junk = spark.createDataFrame([(10**9 + i, t, None, "junk", len(t)) for i, t in enumerate(UNLIKE)], docs.schema)
+    got = {r.doc_id for r in P.language_id(spark, docs.unionAll(junk), SF).collect()}
+    assert got == {r.doc_id for r in docs.where("text RLIKE '\\\\p{L}'").collect()}
