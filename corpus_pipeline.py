@@ -41,9 +41,11 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes 90 % of all words at the target weights, no document twice."""
-    taken = mixing.mix_sources(docs, share=0.9, most_epochs=1).where("taken > 0").select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(*docs.columns)
+    """Takes 90 % of all words at the target weights, no document twice. Ids are joined back; rows
+    without an id come through the mix whole."""
+    taken = Workspace(spark, "mix").save(mixing.mix_sources(docs, share=0.9, most_epochs=1, carry=True).where("taken > 0").select("doc_id", "row"), "taken")
+    stay = docs.join(taken.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
+    return stay.select(*docs.columns).unionAll(taken.where("doc_id IS NULL").select("row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,9 +94,12 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
 
 
 def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1),
-                share: float = 1.5, most_epochs: int = 2, seed: int = 0, split_rows: int = 50_000) -> DataFrame:
+                share: float = 1.5, most_epochs: int = 2, seed: int = 0, split_rows: int = 50_000, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
+    With ``carry`` also row: the input row where the id is null, as no join finds it again. Rows
+    without an id are then dealt by their content.
+
     Weights are dealt to the sources in code-point order, repeating. Two shuffles of
     (id, source, size): one to meet the fitted counts, one to rank hashes within a size.
     """
@@ -104,6 +107,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     base = docs.select(
         F.col(doc_id).alias("doc_id"), F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source))).alias("skey"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+        *([F.when(F.col(doc_id).isNull(), F.struct(*docs.columns)).alias("row")] if carry else []),
     )
     hist = base.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
     totals = hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("t")).limit(MAX_SOURCES + 1).collect()
@@ -121,10 +125,10 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         return pdf[["skey", "size", "n", "source_size", "target", "copies"]]
 
     fitted = hist.join(plan, "skey").groupBy("skey").applyInPandas(fit, "skey string, size long, n long, source_size long, target double, copies long")
-    order = [F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id")]
+    order = [F.xxhash64(F.lit(seed), F.col("doc_id"), *([F.col("row")] if carry else [])), F.col("doc_id")]  # nulls leave the hash as it is
     ranked = rank_within(base.join(fitted, ["skey", "size"]), ["skey", "size"], "n", order, split_rows=split_rows)
     taken = (F.floor(F.col("copies") / F.col("n")) + (F.col("rank") < F.col("copies") % F.col("n")).cast("long")) * F.col("size")
-    return ranked.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return ranked.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["row"] if carry else []))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

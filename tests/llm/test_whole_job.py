@@ -1,6 +1,9 @@
 """What the stages must not leave out."""
 
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -19,3 +22,14 @@ def test_language_stage_drops_what_is_unlike(spark):
     junk = spark.createDataFrame([(10**9 + i, t, None, "junk", len(t)) for i, t in enumerate(UNLIKE)], docs.schema)
     got = {r.doc_id for r in P.language_id(spark, docs.unionAll(junk), SF).collect()}
     assert got == {r.doc_id for r in docs.where("text RLIKE '\\\\p{L}'").collect()}
+
+
+def test_mix_stage_keeps_rows_without_id(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text RLIKE '\\\\p{L}'").dropDuplicates(["text"])
+    bare = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")))
+    words = lambda rows: sum(len(r.text.split()) for r in rows)
+    before, after = bare.collect(), P.mix(spark, bare, SF).collect()
+    assert Counter(after) <= Counter(before) and any(r.doc_id is None for r in after)
+    assert abs(words(after) / words(before) - 0.9) < 0.02
+    with_id = lambda rows: {r.doc_id for r in rows if r.doc_id is not None}
+    assert len(with_id(after)) == sum(r.doc_id is not None for r in after)
