@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
-One pattern finds candidates; each is validated (Luhn, calendar, octets, numbering-plan and IBAN
+One pattern finds a candidate at every place where one can begin; each is validated (Luhn, calendar, octets, numbering-plan and IBAN
 rules) and permuted by a keyed Feistel network within the set of valid values of its format. A
 pseudonym is therefore again a valid value of the same form, equal values have equal pseudonyms
 in all documents, different values of a format stay different, and ``reverse`` with the key
@@ -16,7 +16,11 @@ dd/mm/yyyy or mm/dd/yyyy; from 1900 on, 90,000 days), IBANs (check digits recomp
 addresses, access keys, ``password=`` and ``token =`` values. Separators stay in place.
 
 Defined results: null text stays null with 0 found; candidates that fail validation stay as they
-are; matches are found left to right without overlap in the input; other columns are untouched. A date
+are and hide nothing: the search goes on at the next place, also within them. Valid matches are
+taken left to right without overlap in the input; other columns are untouched. Of a card candidate
+the usual groupings are tried first (4-4-4-4, 4-6-5, 4-6-4, 4-4-4-4-3, no separators); digits in other
+groups count as a card at the start of a run of digits, or at its end in groups of one or of four
+and more (else rows of numbers would pass by chance), if no value of a usual form is among them. Of an IBAN candidate the longest valid part is taken. A date
 with slashes is read day first where both readings exist, so the pseudonym of a month-first date can
 read as another date when it is reversed.
 """
@@ -32,14 +36,20 @@ FIRST_DAY, DAYS_SIDE = "1900-01-01", 300
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _ADDRESS = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
 _ISO = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
-_DAY_FIRST = r"(?<![\w./])\d{2}([./])\d{2}\1\d{4}(?![\w/]|\.\d)"
-_PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])"
+_DAY_FIRST = r"(?<![\w./])\d{2}(?<sep>[./])\d{2}\k<sep>\d{4}(?![\w/]|\.\d)"
+_PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])"
 _WORLD = r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)"
 _SOCIAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-_CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
+_FOURS = r"\d{4}(?<by>[ -])\d{4}\k<by>\d{4}\k<by>\d{4}(?![\w-])"
+#: Before four groups of four, a year or other number that no card begins with is not the first group.
+_CARD = r"(?<![\w-])(?!(?:[01789]\d|20)\d\d[ -]\d{4}(?<on>[ -])\d{4}\k<on>\d{4}\k<on>\d{4}(?![\w-]))(?:(?<!\d )\d(?:[ -]?\d){12,18}(?![\w-])|(?=\d{4,}(?:[ -]\d{4,})*(?![\w-])(?! \d))\d(?:[ -]?\d){12,18}(?![\w-])(?! \d)|\d(?: \d){12,18}(?![\w-])(?! \d)|\d{13,19}(?![\w-])|\d{4}(?<as>[ -])(?:\d{4}\k<as>\d{4}\k<as>\d{4}(?:\k<as>\d{3})?|\d{6}\k<as>\d{4,5})(?![\w-]))"
+#: What a card candidate may begin with, in the order in which it is tried; the last one is all of it.
+_CARD_FORMS = (_FOURS, r"\d{4}(?<by>[ -])\d{6}\k<by>\d{4,5}(?![\w-])", r"\d{4}(?<by>[ -])\d{4}\k<by>\d{4}\k<by>\d{4}\k<by>\d{3}(?![\w-])", r"\d{13,19}(?![\w-])", r".+$")
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 _ACCESS = r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)"
 _SECRET = r"(?i:password|passwd|secret|token|api_key)\s?[=:]\s?[\x22']?[A-Za-z0-9_/+.-]{8,}"
+#: Values of a usual form within a card candidate of other groups.
+_USUAL = "|".join((_ISO, _PHONE, _SOCIAL, rf"(?<![\w-]){_FOURS}", r"(?<=[ -])\d{13,19}(?![\w-])"))
 CANDIDATE = "|".join((_EMAIL, _ACCESS, _SECRET, _ADDRESS, _ISO, _DAY_FIRST, _PHONE, _SOCIAL, _WORLD, _CARD, _IBAN))
 #: A text without any of these holds no candidate.
 _HINT = r"[0-9]{2}|@|[=:]"
@@ -113,6 +123,28 @@ def _card(m: Column, key: str, reverse: bool) -> Column:
     return _bind(permute_digits(F.substring(_digits(m), F.lit(1), F.length(_digits(m)) - 1), key, "card", reverse), lambda body: _refill(m, with_check(body)))
 
 
+def _first(values: list[Column], fits) -> Column:
+    """The first that fits; null if none does."""
+    return F.get(F.filter(F.array(*values), lambda x: (x != "") & fits(x)), F.lit(0))
+
+
+def _card_in(m: Column) -> Column:
+    usual = m.rlike(_USUAL)
+    forms = [F.regexp_extract(m, f"^{rx}", 0) for rx in _CARD_FORMS[:-1]]
+    luhn = lambda x: (F.pmod(luhn_sum(_digits(x)), F.lit(10)) == 0)
+    return F.when(m.rlike("^[0-9][0-9 -]+$") & F.length(_digits(m)).between(13, 19), _first([*forms, F.when(~usual, m).otherwise("")], luhn))
+
+
+def _iban_in(m: Column) -> Column:
+    def fits(x: Column) -> Column:
+        plain = F.regexp_replace(x, " ", "")
+        body = F.substring(plain, F.lit(5), F.length(plain))
+        return (F.length(_digits(body)) >= 2) & F.length(plain).between(15, 34) & (_mod97(F.concat(body, F.substring(plain, 1, 4))) == 1)
+
+    groups = [F.regexp_extract(m, rf"^[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{tail}(?!\w)", 0) for n in range(7, 1, -1) for tail in ("(?: ?[A-Z0-9]{1,3})", "")]
+    return F.when(m.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]+)+$"), _first(groups, fits))
+
+
 def _phone(m: Column, key: str, reverse: bool) -> Column:
     """Area and exchange codes start with 2 to 9: 800 * 800 * 10,000 numbers."""
     d = F.substring(_digits(m), F.length(_digits(m)) - 9, F.lit(10))
@@ -182,8 +214,8 @@ def _dates() -> list[tuple[str, str]]:
     return [(r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{2}/", "dd/MM/yyyy"), (r"^\d{2}/", "MM/dd/yyyy")]
 
 
-def kinds(m: Column, key: str, reverse: bool) -> list[tuple[str, Column, Column]]:
-    """(name, test, pseudonym) in the order in which they are tried."""
+def kinds(m: Column, key: str, reverse: bool) -> list[tuple]:
+    """(name, test, pseudonym, and the matched length where it may be less than all of m) in the order in which they are tried."""
     whole = lambda rx: m.rlike(f"^(?:{rx})$")
     d = _digits(m)
     ip = whole(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}")
@@ -199,15 +231,13 @@ def kinds(m: Column, key: str, reverse: bool) -> list[tuple[str, Column, Column]
         out.append(("date", fits & _day_number(day).between(0, DAYS_SIDE * DAYS_SIDE - 1), _date(m, form, key, reverse)))
     phone = whole(r"(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}")
     social = whole(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
-    iban_form = whole(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]+)+")
-    plain = F.regexp_replace(m, " ", "")
-    iban = iban_form & (F.length(_digits(F.substring(plain, F.lit(5), F.length(plain)))) >= 2) & F.length(plain).between(15, 34) & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
+    card, iban = _card_in(m), _iban_in(m)
     return out + [
         ("phone", phone, _phone(m, key, reverse)),
         ("social", social, _social(m, key, reverse)),
         ("phone", m.startswith("+") & F.length(d).between(8, 15), _world(m, key, reverse)),
-        ("card", m.rlike("^[0-9]") & whole(r"[0-9 -]+") & F.length(d).between(13, 19) & (F.pmod(luhn_sum(d), F.lit(10)) == 0), _card(m, key, reverse)),
-        ("iban", iban, _iban(m, key, reverse)),
+        ("card", card.isNotNull(), _bind(card, lambda x: _card(x, key, reverse)), F.length(card)),
+        ("iban", iban.isNotNull(), _bind(iban, lambda x: _iban(x, key, reverse)), F.length(iban)),
     ]
 
 
@@ -221,19 +251,32 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", reverse: bool
 
     def convert(m: Column) -> Column:
         case = None
-        for name, test, new in kinds(m, key, reverse):
-            value = F.struct(F.lit(name).alias("kind"), new.alias("new"))
+        for name, test, new, *n in kinds(m, key, reverse):
+            value = F.struct(F.lit(name).alias("kind"), new.alias("new"), (n[0] if n else F.length(m)).alias("n"))
             case = F.when(test, value) if case is None else case.when(test, value)
-        return case.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new")))
-
-    t = F.col(text)
+        return case.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new"), F.length(m).alias("n")))
+
+    def take(acc: Column, x: Column) -> Column:
+        """``over`` is how far the last match reaches into what follows; x is a candidate and the text up to the next one."""
+        part, found = x["part"], x["found"]
+        size, over = F.length(part), acc["over"]
+        free = (over == 0) & found["kind"].isNotNull()
+        gone = F.when(free, found["n"]).otherwise(over)
+        text = F.concat(F.when(free, found["new"]).otherwise(F.lit("")), F.substring(part, gone + 1, size))
+        kind = F.when(free, F.array(found["kind"])).otherwise(none)
+        return F.struct(F.greatest(gone - size, F.lit(0)).alias("over"), F.concat(acc["parts"], F.array(text)).alias("parts"), F.concat(acc["kinds"], kind).alias("kinds"))
+
+    t, none = F.col(text), F.array().cast("array<string>")
+    lead = F.concat(F.lit("\n"), t)  # what stands before the first candidate is then never empty
     kept = docs.select(*[c for c in docs.columns if c not in ("n_pseudonyms", "pii_kinds")])
-    found = F.when(t.rlike(_HINT), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)))
+    found = F.when(t.rlike(_HINT), F.regexp_extract_all(lead, F.lit(f"(?=({CANDIDATE}))"), F.lit(1)))
     step = kept.withColumn("__pii_found", found).withColumn("__pii_new", F.when(F.size("__pii_found") > 0, F.transform("__pii_found", convert)))
-    rebuilt = F.array_join(F.zip_with(F.split(t, CANDIDATE, -1), F.transform("__pii_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    found_kinds = F.filter(F.transform("__pii_new", lambda x: x["kind"]), lambda x: x.isNotNull())
-    none = F.array().cast("array<string>")
-    out = step.withColumns({text: F.when(F.col("__pii_new").isNotNull(), rebuilt).otherwise(t), "pii_kinds": F.coalesce(found_kinds, none)})
+    step = step.withColumn("__pii_new", F.when(F.exists("__pii_new", lambda x: x["kind"].isNotNull()), F.col("__pii_new")))
+    parts = F.split(lead, f"(?={CANDIDATE})", -1)
+    begin = F.struct(F.lit(0).alias("over"), F.array(F.substring(parts[0], F.lit(2), F.length(parts[0]))).alias("parts"), none.alias("kinds"))
+    pairs = F.zip_with(F.slice(parts, F.lit(2), F.size("__pii_new")), F.col("__pii_new"), lambda a, b: F.struct(a.alias("part"), b.alias("found")))
+    step = step.withColumn("__pii_out", F.when(F.col("__pii_new").isNotNull(), F.aggregate(pairs, begin, take, lambda acc: F.struct(F.array_join(acc["parts"], "").alias("text"), acc["kinds"].alias("kinds")))))
+    out = step.withColumns({text: F.when(F.col("__pii_out").isNotNull(), F.col("__pii_out")["text"]).otherwise(t), "pii_kinds": F.coalesce(F.col("__pii_out")["kinds"], none)})
     return out.select(*kept.columns, F.size("pii_kinds").alias("n_pseudonyms"), "pii_kinds")
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from quantloom.llm import pii
 
 SF = "/root/testdata/sf0.001"
 RNG = random.Random(1)
@@ -33,3 +34,26 @@ def test_mix_stage_keeps_rows_without_id(spark):
     assert abs(words(after) / words(before) - 0.9) < 0.02
     with_id = lambda rows: {r.doc_id for r in rows if r.doc_id is not None}
     assert len(with_id(after)) == sum(r.doc_id is not None for r in after)
+
+
+#: (text, what must go, kinds, what must stay)
+BEHIND_NUMBERS = [
+    ("order 5 4111 1111 1111 1111 paid", "4111", ["card"], "order 5 "), ("in 2024 4111 1111 1111 1111", "4111", ["card"], "in 2024 "), ("5 4111111111111111", "4111", ["card"], "5 "),
+    ("12345 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "4 1 1 1", ["card"], "12345 "), ("5 41111111 11111111", "4111", ["card"], "5 "), ("7 3782 822463 10005", "3782", ["card"], "7 "), ("4111 1111 1111 1111 12/29", "4111", ["card"], " 12/29"), ("pay 4111 1111 1111 1111 123", "4111", ["card"], " 123"),
+    ("48271 123-45-6789", "123-45-6789", ["social"], "48271 "), ("2024 555-223-4567", "555-223-4567", ["phone"], "2024 "), ("777 555 223 4567", "555 223 4567", ["phone"], "777 "),
+    ("12345 2024-02-29", "2024-02-29", ["date"], "12345 "), ("12345 29.02.2024", "29.02.2024", ["date"], "12345 "), ("12345 78.118.65.158", "78.118.65.158", ["address"], "12345 "),
+    ("12345 +49 30 1234567", "1234567", ["phone"], "12345 "), ("ref AB12 4111 1111 1111 1111", "4111", ["card"], "ref AB12 "), ("AT61 1904 3002 3457 3201 2024", "1904", ["iban"], " 2024"),
+    ("9 DE89 3704 0044 0532 0130 00", "3704", ["iban"], "9 DE"), ("4111 1111 1111 1111", "4111", ["card"], ""), ("4111 1111 1111 1111 555-223-4567", "4111", ["card", "phone"], " "),
+]
+
+
+def test_values_behind_other_numbers(spark):
+    df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(BEHIND_NUMBERS)], "doc_id long, text string")
+    once = pii.pseudonymise(df, "secret")
+    for r in once.collect():
+        text, gone, kinds, stays = BEHIND_NUMBERS[r.doc_id]
+        assert gone not in r.text and r.pii_kinds == kinds and stays in r.text and (kinds == ["address"] or len(r.text) == len(text)), (text, r)
+    back = {r.doc_id: r.text for r in pii.pseudonymise(once.select("doc_id", "text"), "secret", reverse=True).collect()}
+    assert [back[i] for i in range(len(back))] == [x[0] for x in BEHIND_NUMBERS]
+    clean = ["order 5 4111 1111 1111 1112 paid", "12345 000-12-3456", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21", "2024 155-123-4567"]
+    assert [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in clean], "text string").coalesce(1), "k").collect()] == clean
