@@ -52,7 +52,7 @@ _SECRET = r"(?i:password|passwd|secret|token|api_key)\s?[=:]\s?[\x22']?[A-Za-z0-
 _USUAL = "|".join((_ISO, _PHONE, _SOCIAL, rf"(?<![\w-]){_FOURS}", r"(?<=[ -])\d{13,19}(?![\w-])"))
 CANDIDATE = "|".join((_EMAIL, _ACCESS, _SECRET, _ADDRESS, _ISO, _DAY_FIRST, _PHONE, _SOCIAL, _WORLD, _CARD, _IBAN))
 #: A text without any of these holds no candidate.
-_HINT = r"[0-9]{2}|@|[=:]"
+_HINT = r"[0-9][ -]?[0-9]|@|[=:]|AKIA|\+[1-9]"
 
 
 def _keyed(key: str, *parts: Column) -> Column:
