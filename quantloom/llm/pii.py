@@ -38,7 +38,7 @@ _ADDRESS = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
 _ISO = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
 _DAY_FIRST = r"(?<![\w./])\d{2}(?<sep>[./])\d{2}\k<sep>\d{4}(?![\w/]|\.\d)"
 _PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])"
-_WORLD = r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\w)"
+_WORLD = r"(?<![\w+])\+[1-9](?:[ .-]?\(?\d\)?){7,14}(?!\w)"
 _SOCIAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _FOURS = r"\d{4}(?<by>[ -])\d{4}\k<by>\d{4}\k<by>\d{4}(?![\w-])"
 #: Before four groups of four, a year or other number that no card begins with is not the first group.
