@@ -1,4 +1,5 @@
-"""Indicators, signals and backtests on Structured Streaming, with the results of the batch form."""
+"""Indicators and signals on Structured Streaming, with the results of the batch form. Backtests and
+divergence have no streaming form."""
 
 from __future__ import annotations
 
