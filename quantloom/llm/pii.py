@@ -15,7 +15,8 @@ telephone numbers, social security numbers, IPv4 addresses, dates (yyyy-mm-dd, d
 dd/mm/yyyy or mm/dd/yyyy; from 1900 on, 90,000 days), IBANs (check digits recomputed), mail
 addresses, access keys, ``password=`` and ``token =`` values. Separators stay in place.
 
-Defined results: null text stays null with 0 found; candidates that fail validation stay as they
+Defined results: a text of any length is read whole; a mail host goes on to its last label that
+begins with two letters, whatever its length; null text stays null with 0 found; candidates that fail validation stay as they
 are and hide nothing: the search goes on at the next place, also within them. Valid matches are
 taken left to right without overlap in the input; other columns are untouched. Of a card candidate
 the usual groupings are tried first (4-4-4-4, 4-6-5, 4-6-4, 4-4-4-4-3, no separators); digits in other
@@ -32,8 +33,11 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 FIRST_DAY, DAYS_SIDE = "1900-01-01", 300
+STEP, _PAIRS = 128, "__pii_pairs"
 
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# A group that repeats without bound is possessive throughout: Java then loops over it, where it would
+# recurse for every repetition otherwise, so that a text of any length needs the same stack.
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+\.(?=[A-Za-z]{2})[A-Za-z0-9-]++)++"
 _ADDRESS = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
 _ISO = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
 _DAY_FIRST = r"(?<![\w./])\d{2}(?<sep>[./])\d{2}\k<sep>\d{4}(?![\w/]|\.\d)"
@@ -42,7 +46,7 @@ _WORLD = r"(?<![\w+])\+[1-9](?:[ .-]?\(?\d\)?){7,14}(?!\w)"
 _SOCIAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 _FOURS = r"\d{4}(?<by>[ -])\d{4}\k<by>\d{4}\k<by>\d{4}(?![\w-])"
 #: Before four groups of four, a year or other number that no card begins with is not the first group.
-_CARD = r"(?<![\w-])(?!(?:[01789]\d|20)\d\d[ -]\d{4}(?<on>[ -])\d{4}\k<on>\d{4}\k<on>\d{4}(?![\w-]))(?:(?<!\d )\d(?:[ -]?\d){12,18}(?![\w-])|(?=\d{4,}(?:[ -]\d{4,})*(?![\w-])(?! \d))\d(?:[ -]?\d){12,18}(?![\w-])(?! \d)|\d(?: \d){12,18}(?![\w-])(?! \d)|\d{13,19}(?![\w-])|\d{4}(?<as>[ -])(?:\d{4}\k<as>\d{4}\k<as>\d{4}(?:\k<as>\d{3})?|\d{6}\k<as>\d{4,5})(?![\w-]))"
+_CARD = r"(?<![\w-])(?!(?:[01789]\d|20)\d\d[ -]\d{4}(?<on>[ -])\d{4}\k<on>\d{4}\k<on>\d{4}(?![\w-]))(?:(?<!\d )\d(?:[ -]?\d){12,18}(?![\w-])|(?=\d{4,}+(?:[ -]\d{4,}+){0,4}+(?![\w-])(?! \d))\d(?:[ -]?\d){12,18}(?![\w-])(?! \d)|\d(?: \d){12,18}(?![\w-])(?! \d)|\d{13,19}(?![\w-])|\d{4}(?<as>[ -])(?:\d{4}\k<as>\d{4}\k<as>\d{4}(?:\k<as>\d{3})?|\d{6}\k<as>\d{4,5})(?![\w-]))"
 #: What a card candidate may begin with, in the order in which it is tried; the last one is all of it.
 _CARD_FORMS = (_FOURS, r"\d{4}(?<by>[ -])\d{6}\k<by>\d{4,5}(?![\w-])", r"\d{4}(?<by>[ -])\d{4}\k<by>\d{4}\k<by>\d{4}\k<by>\d{3}(?![\w-])", r"\d{13,19}(?![\w-])", r".+$")
 _IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
@@ -241,13 +245,16 @@ def kinds(m: Column, key: str, reverse: bool) -> list[tuple]:
     ]
 
 
-def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", reverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", reverse: bool = False, replace_only: bool = False) -> DataFrame:
     """Replaces ``text`` and adds n_pseudonyms and pii_kinds (names of the kinds found, in text order).
 
     A projection: no shuffle, no state. ``reverse`` restores numbers and dates made with the key.
+    ``replace_only`` adds no columns; without it a table that has them already is refused.
     """
     if not key:
         raise ValueError("a key is needed")
+    if not replace_only and (clash := {"n_pseudonyms", "pii_kinds"} & set(docs.columns)):
+        raise ValueError(f"the table has {', '.join(sorted(clash))} already; rename them or use replace_only")
 
     def convert(m: Column) -> Column:
         case = None
@@ -266,18 +273,29 @@ def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", reverse: bool
         kind = F.when(free, F.array(found["kind"])).otherwise(none)
         return F.struct(F.greatest(gone - size, F.lit(0)).alias("over"), F.concat(acc["parts"], F.array(text)).alias("parts"), F.concat(acc["kinds"], kind).alias("kinds"))
 
+    def take_block(acc: Column, block: Column) -> Column:
+        """``STEP`` candidates at a time, since every step copies what its block has so far."""
+        begin = F.struct(acc["over"].alias("over"), none.alias("parts"), none.alias("kinds"))
+        got = F.aggregate(F.slice(F.col(_PAIRS), block * STEP + 1, F.lit(STEP)), begin, take, lambda x: F.struct(x["over"].alias("over"), F.array_join(x["parts"], "").alias("text"), x["kinds"].alias("kinds")))
+        return _bind(got, lambda x: F.struct(x["over"].alias("over"), F.concat(acc["parts"], F.array(x["text"])).alias("parts"), F.concat(acc["kinds"], F.array(x["kinds"])).alias("kinds")))
+
     t, none = F.col(text), F.array().cast("array<string>")
     lead = F.concat(F.lit("\n"), t)  # what stands before the first candidate is then never empty
-    kept = docs.select(*[c for c in docs.columns if c not in ("n_pseudonyms", "pii_kinds")])
     found = F.when(t.rlike(_HINT), F.regexp_extract_all(lead, F.lit(f"(?=({CANDIDATE}))"), F.lit(1)))
-    step = kept.withColumn("__pii_found", found).withColumn("__pii_new", F.when(F.size("__pii_found") > 0, F.transform("__pii_found", convert)))
+    step = docs.withColumn("__pii_found", found).withColumn("__pii_new", F.when(F.size("__pii_found") > 0, F.transform("__pii_found", convert)))
     step = step.withColumn("__pii_new", F.when(F.exists("__pii_new", lambda x: x["kind"].isNotNull()), F.col("__pii_new")))
-    parts = F.split(lead, f"(?={CANDIDATE})", -1)
-    begin = F.struct(F.lit(0).alias("over"), F.array(F.substring(parts[0], F.lit(2), F.length(parts[0]))).alias("parts"), none.alias("kinds"))
-    pairs = F.zip_with(F.slice(parts, F.lit(2), F.size("__pii_new")), F.col("__pii_new"), lambda a, b: F.struct(a.alias("part"), b.alias("found")))
-    step = step.withColumn("__pii_out", F.when(F.col("__pii_new").isNotNull(), F.aggregate(pairs, begin, take, lambda acc: F.struct(F.array_join(acc["parts"], "").alias("text"), acc["kinds"].alias("kinds")))))
-    out = step.withColumns({text: F.when(F.col("__pii_out").isNotNull(), F.col("__pii_out")["text"]).otherwise(t), "pii_kinds": F.coalesce(F.col("__pii_out")["kinds"], none)})
-    return out.select(*kept.columns, F.size("pii_kinds").alias("n_pseudonyms"), "pii_kinds")
+    step = step.withColumn("__pii_parts", F.when(F.col("__pii_new").isNotNull(), F.split(lead, f"(?={CANDIDATE})", -1)))
+    parts = F.col("__pii_parts")
+    step = step.withColumn(_PAIRS, F.zip_with(F.slice(parts, F.lit(2), F.size("__pii_new")), F.col("__pii_new"), lambda a, b: F.struct(a.alias("part"), b.alias("found"))))
+    begin = F.struct(F.lit(0).alias("over"), F.array(F.substring(parts[0], F.lit(2), F.length(parts[0]))).alias("parts"), F.array(none).alias("kinds"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(_PAIRS) - 1) / STEP).cast("int"))
+    step = step.withColumn("__pii_out", F.when(F.col("__pii_new").isNotNull(), F.aggregate(blocks, begin, take_block, lambda acc: F.struct(F.array_join(acc["parts"], "").alias("text"), F.flatten(acc["kinds"]).alias("kinds")))))
+    kinds_found = F.coalesce(F.col("__pii_out")["kinds"], none)
+    out = step.select(*[(F.when(F.col("__pii_out").isNotNull(), F.col("__pii_out")["text"]).otherwise(t).alias(text) if c == text else F.col(c)) for c in docs.columns],
+                      kinds_found.alias("__pii_kinds"))
+    if replace_only:
+        return out.drop("__pii_kinds")
+    return out.select(*docs.columns, F.size("__pii_kinds").alias("n_pseudonyms"), F.col("__pii_kinds").alias("pii_kinds"))
 
 
 #: The query's key. A deployment passes its own secret.
