@@ -18,13 +18,17 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quantloom.llm.ranking import rank_within
+from quantloom.llm.workspace import Workspace
 
-#: Targets are worked out on the driver from one row per source; more sources than this are refused.
-MAX_SOURCES = 100_000
+#: Up to so many sources the driver works out the targets; more are shared out on Spark.
+DRIVER_SOURCES = 100_000
 #: Open budget left to the dynamic programme; what is above it goes to whole documents first.
 DP_BUDGET = 1 << 16
+#: Up to so many (source, size) counts are broadcast; more meet the documents in a join.
+BROADCAST_COUNTS = 200_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most: Sequence[float]) -> list[float]:
@@ -33,7 +37,7 @@ def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most:
     out, free, left = [0.0] * n, list(range(n)), float(budget)
     while free:
         total = sum(weights[i] for i in free)
-        full = [i for i in free if left * weights[i] / total > most[i]]
+        full = {i for i in free if left * weights[i] / total > most[i]}
         if not full:
             for i in free:
                 out[i] = left * weights[i] / total
@@ -41,10 +45,38 @@ def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most:
         for i in full:
             out[i] = float(most[i])
         left -= sum(most[i] for i in full)
-        free = [i for i in free if i not in set(full)]
+        free = [i for i in free if i not in full]
     return out
 
 
+def targets_on_spark(ws: Workspace, totals: DataFrame, weights: Sequence[float], share: float, most_epochs: int) -> DataFrame:
+    """As ``targets`` for a table (skey, t) of any length: the sources are numbered in their order by
+    range, and each round that fills some of them is an aggregate."""
+    spark = totals.sparkSession
+    ranged = ws.save(totals.withColumn("late", F.col("skey") == "n").repartitionByRange("late", "skey").withColumn("p", F.spark_partition_id()), "sources")
+    within = F.row_number().over(Window.partitionBy("p").orderBy("late", "skey")) - 1
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    starts = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n")).select("p", before.alias("start"))
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("i") % len(weights)).cast("int"))
+    rows = ranged.withColumn("own", within).join(F.broadcast(starts), "p").withColumn("i", F.col("own") + F.col("start"))
+    rows = ws.save(rows.select("skey", "t", weight.alias("w"), (F.col("t") * most_epochs).cast("double").alias("most")), "sources")
+    left = share * (rows.agg(F.sum("t")).first()[0] or 0)
+    level, full = F.lit(0.0), F.lit(False)
+    while True:
+        total = rows.where(~full).agg(F.sum("w")).first()[0]
+        if total is None:
+            break
+        level = F.lit(float(left)) * F.col("w") / F.lit(float(total))
+        more = ~full & (level > F.col("most"))
+        filled = rows.where(more).agg(F.sum("most")).first()[0]
+        if filled is None:
+            break
+        left -= filled
+        rows = ws.save(rows.withColumn("done", full | more), "sources")
+        full = F.col("done")
+    return rows.select("skey", F.col("t").alias("source_size"), F.when(full, F.col("most")).otherwise(level).alias("target"))
+
+
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
     """How many documents of each size to take so that their sizes sum to ``budget`` or just below."""
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
@@ -93,30 +125,33 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
     return take
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1),
-                share: float = 1.5, most_epochs: int = 2, seed: int = 0, split_rows: int = 50_000, carry: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
+                most_epochs: int = 2, seed: int = 0, split_rows: int = 50_000, carry: bool = False, driver_sources: int = DRIVER_SOURCES, broadcast_counts: int = BROADCAST_COUNTS) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken.
 
-    With ``carry`` also row: the input row where the id is null, as no join finds it again. Rows
-    without an id are then dealt by their content.
+    With ``carry`` also row: the input row with all its columns, whatever their names. Documents are
+    then chosen by a hash of the whole row, so ids may be null or repeat.
 
-    Weights are dealt to the sources in code-point order, repeating. Two shuffles of
-    (id, source, size): one to meet the fitted counts, one to rank hashes within a size.
+    Weights are dealt to the sources in code-point order, repeating. Words are counted once; the
+    counts (id, source, size) are written, and only they are shuffled: rows meet the fitted counts by
+    broadcast, or in a join whose hot groups are split, and rank by hash in parts of hot groups.
     """
-    spark = docs.sparkSession
-    base = docs.select(
-        F.col(doc_id).alias("doc_id"), F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source))).alias("skey"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        *([F.when(F.col(doc_id).isNull(), F.struct(*docs.columns)).alias("row")] if carry else []),
-    )
-    hist = base.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
-    totals = hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = sorted(((r["skey"], int(r["t"])) for r in totals), key=lambda x: (x[0] == "n", x[0]))
-    sizes = [t for _, t in totals]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * sum(sizes), [most_epochs * t for t in sizes])
-    plan = spark.createDataFrame([(k, t, g) for (k, t), g in zip(totals, goal)], "skey string, source_size long, target double")
+    spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "mixing")
+    skey = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    base = docs.select(F.col(doc_id).alias("doc_id"), skey.alias("skey"), size.alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    if not carry:
+        base = ws.save(base, "sizes")
+    hist = ws.save(base.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
+    by_source = hist.groupBy("skey").agg(F.sum(F.col("size") * F.col("n")).alias("t"))
+    totals = by_source.limit(driver_sources + 1).collect()
+    if len(totals) > driver_sources:
+        plan = targets_on_spark(ws, by_source, weights, share, most_epochs)
+    else:
+        totals = sorted(((r["skey"], int(r["t"])) for r in totals), key=lambda x: (x[0] == "n", x[0]))
+        sizes = [t for _, t in totals]
+        goal = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * sum(sizes), [most_epochs * t for t in sizes])
+        plan = spark.createDataFrame([(k, t, g) for (k, t), g in zip(totals, goal)], "skey string, source_size long, target double")
 
     def fit(key, pdf):
         pdf = pdf.sort_values("size", ignore_index=True)
@@ -124,8 +159,11 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         pdf["copies"] = fit_counts(pdf["size"].to_numpy(), copies, round(float(pdf.target.iloc[0])))
         return pdf[["skey", "size", "n", "source_size", "target", "copies"]]
 
-    fitted = hist.join(plan, "skey").groupBy("skey").applyInPandas(fit, "skey string, size long, n long, source_size long, target double, copies long")
-    order = [F.xxhash64(F.lit(seed), F.col("doc_id"), *([F.col("row")] if carry else [])), F.col("doc_id")]  # nulls leave the hash as it is
+    fitted = ws.save(hist.join(plan, "skey").groupBy("skey").applyInPandas(fit, "skey string, size long, n long, source_size long, target double, copies long"), "fitted")
+    if fitted.count() <= broadcast_counts:
+        fitted = F.broadcast(fitted)
+    own = F.xxhash64(F.lit(seed), F.col("doc_id"), *([F.to_json("row", {"ignoreNullFields": "false"})] if carry else []))
+    order = [own, F.col("doc_id")]
     ranked = rank_within(base.join(fitted, ["skey", "size"]), ["skey", "size"], "n", order, split_rows=split_rows)
     taken = (F.floor(F.col("copies") / F.col("n")) + (F.col("rank") < F.col("copies") % F.col("n")).cast("long")) * F.col("size")
     return ranked.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["row"] if carry else []))

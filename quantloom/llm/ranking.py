@@ -12,8 +12,9 @@ def rank_within(df: DataFrame, keys: list[str], count: str, order: list[Column],
 
     ``count`` names a column with the size of the row's group. A group above ``split_rows`` is cut
     by hash into parts of about that size; parts are ranked apart and shifted by the rows of the
-    parts before, so no task sorts a whole hot group. The order is by part, then by ``order``.
-    Rows that agree in ``order`` rank in any order among themselves.
+    parts before, so no task sorts a whole hot group: rows are dealt by group and part, whatever
+    dealt them before. The order is by part, then by ``order``. Rows that agree in ``order`` rank in
+    any order among themselves.
     """
     parts = F.ceil(F.col(count) / F.lit(split_rows)).cast("int")
     df = df.withColumn("_part", F.when(F.col(count) > split_rows, F.pmod(F.xxhash64(F.lit("part"), *order), parts)).otherwise(F.lit(0)).cast("int"))
@@ -21,5 +22,5 @@ def rank_within(df: DataFrame, keys: list[str], count: str, order: list[Column],
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
-    ranked = df.withColumn("_own", own).join(shift, [*keys, "_part"], "left")
+    ranked = df.repartition(*keys, "_part").withColumn("_own", own).join(shift, [*keys, "_part"], "left")
     return ranked.withColumn(out, (F.col("_own") + F.coalesce("_shift", F.lit(0))).cast("long")).drop("_own", "_shift", "_part")

@@ -6,7 +6,8 @@ as themselves, so byte runs and code-point runs are the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,23 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 CHUNK_BYTES = 1 << 20
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over a partition's batches, after which the worker gives its free memory back. Workers
+    wait for further tasks; else they keep the most that any earlier task needed."""
+
+    def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not the GNU C library
+                pass
+
+    return partition
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> U(30))
