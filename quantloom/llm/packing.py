@@ -21,15 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.ranking import rank_within
-from quantloom.llm.textnp import chunks
+from quantloom.llm.textnp import chunks, lean
 from quantloom.llm.tokens import default_tokenizer, encoder
 from quantloom.llm.workspace import Workspace
 
-Pattern = tuple[int, ...]
+#: Lengths that share one sequence, as runs (length, how many) in the order in which they are placed.
+Pattern = tuple[tuple[int, int], ...]
 
 
 def plan_patterns(hist: dict[int, int], size: int) -> dict[Pattern, int]:
-    """How often each pattern (lengths that share one sequence) occurs."""
+    """How often each pattern occurs. A length ends with at most two patterns more than there were
+    before it, so there are at most 2 * size of them, each of at most sqrt(2 * size) runs."""
     by_used: dict[int, dict[Pattern, int]] = defaultdict(dict)
     done: dict[Pattern, int] = defaultdict(int)
 
@@ -47,22 +49,22 @@ def plan_patterns(hist: dict[int, int], size: int) -> dict[Pattern, int]:
                 each = 1 + (size - length) // length  # a run of equal lengths opens packs that already hold several
                 full, odd = divmod(left, each)
                 if full:
-                    put((length,) * each, full, each * length)
+                    put(((length, each),), full, each * length)
                 if odd:
-                    put((length,) * odd, 1, odd * length)
+                    put(((length, odd),), 1, odd * length)
                 break
             packs = by_used[used]
             p, n = packs.popitem()
             fit = (size - used) // length
             if n * fit <= left:  # every such pack takes as many as fit
-                put(p + (length,) * fit, n, used + fit * length)
+                put((*p, (length, fit)), n, used + fit * length)
                 left -= n * fit
                 continue
             full, odd = divmod(left, fit)
             if full:
-                put(p + (length,) * fit, full, used + fit * length)
+                put((*p, (length, fit)), full, used + fit * length)
             if odd:
-                put(p + (length,) * odd, 1, used + odd * length)
+                put((*p, (length, odd)), 1, used + odd * length)
             if n - full - bool(odd):
                 put(p, n - full - bool(odd), used)
             left = 0
@@ -73,15 +75,16 @@ def plan_patterns(hist: dict[int, int], size: int) -> dict[Pattern, int]:
 
 
 def slots(patterns: dict[Pattern, int]) -> np.ndarray:
-    """Rows (length, first rank, rows, first sequence, offset), ordered by length and rank."""
+    """Rows (length, first rank, packs, first sequence, offset), ordered by length and rank: a row's
+    ranks fill the run's first place in all packs of a pattern, then its second, and so on."""
     at: dict[int, int] = defaultdict(int)
     out, sequence = [], 0
     for p in sorted(patterns, reverse=True):
         n, offset = patterns[p], 0
-        for length in p:
+        for length, many in p:
             out.append((length, at[length], n, sequence, offset))
-            at[length] += n
-            offset += length
+            at[length] += n * many
+            offset += length * many
         sequence += n
     a = np.array(out, np.int64).reshape(-1, 5)
     return a[np.lexsort((a[:, 1], a[:, 0]))]
@@ -109,14 +112,15 @@ def cut(docs: DataFrame, tokenizer: str, *, size: int, end_id: int, doc_id: str,
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(lean(pieces), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", seed: int = 0, split_rows: int = 50_000) -> DataFrame:
     """One row per piece, with sequence_id and offset.
 
     Texts are tokenised where they are read and never shuffled; ranks move 6 numbers a piece. The
-    histogram that reaches the driver has at most ``size`` rows, the slot table a bounded multiple.
+    histogram that reaches the driver has at most ``size`` rows; the slot table that tasks get has at
+    most 2 * size * sqrt(2 * size) (10 MB for 2,048, were all lengths that unlike; kilobytes as a rule).
     """
     spark = docs.sparkSession
     got = Workspace(spark, "packing").save(cut(docs, tokenizer, size=size, end_id=end_id, doc_id=doc_id, text=text), "pieces")
@@ -129,13 +133,15 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 1,
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             length, rank = (b.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            row = table[np.searchsorted(key, length << 44 | rank, "right") - 1] if len(length) else table[:0]
+            row = table[np.searchsorted(key, length << 44 | rank, "right") - 1]
             own = [b.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(row[:, 3] + (rank - row[:, 1]) % row[:, 2]), pa.array(row[:, 4] + (rank - row[:, 1]) // row[:, 2] * length)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return ranked.select(*cols, "rank").mapInArrow(place, ", ".join(f"{c} long" for c in [*cols, "sequence_id", "offset"]))
+    return ranked.select(*cols, "rank").mapInArrow(lean(place), ", ".join(f"{c} long" for c in [*cols, "sequence_id", "offset"]))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
