@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,13 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from quantloom.llm.textnp import chunks, strings
+from quantloom.llm.textnp import chunks, lean, strings
+from quantloom.llm.workspace import Workspace
 
-DIMS = 4096
+DIMS, ROWS = 4096, 256
 #: Bound of the labelled sample that the classifier is fitted on: rows of one language.
 SAMPLE_PER_LANG = 800
-#: Languages that can be learned; more are refused.
-MAX_LANGS = 500
+#: Languages whose centroids a pass over the texts compares at once; more take more passes.
+LANGS_AT_ONCE = 500
+#: Up to so many languages their row counts are broadcast; more meet the rows in a join.
+BROADCAST_LANGS = 10_000
 #: Floors of the score: quantile of the training scores, part of it, distinct n-grams of a full-size text.
 LOW_QUANTILE, MARGIN, FULL_GRAMS = 0.05, 0.4, 250
 _LETTERS = np.arange(256)
@@ -76,21 +80,38 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return _unit(np.log1p(counts) * idf)
+
+
 @dataclass
-class Model:
-    idf: np.ndarray  # dims
+class Block:
+    """Centroids of some languages, in order of the languages."""
+
     centroids: np.ndarray  # unit rows
     langs: list[str]  # of each centroid
     floors: np.ndarray  # of each centroid's language, for a text of full size
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(np.log1p(counts) * self.idf)
-
-    def predict(self, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, score, floor of the score) of every text."""
-        cos = self.vectors(counts) @ self.centroids.T
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the best centroid, score, floor for a full-size text) of every vector."""
+        cos = x @ self.centroids.T
         best = cos.argmax(1)
-        return [self.langs[i] for i in best], np.clip(cos[np.arange(len(cos)), best], 0, 1).astype(np.float64), self.floors[best] * full_size(counts)
+        return best, np.clip(cos[np.arange(len(cos)), best], 0, 1).astype(np.float64), self.floors[best]
+
+
+@dataclass
+class Model:
+    """``table``: lang, at (0 to the language's centroids), vector (float32), floor, on shared storage."""
+
+    idf: np.ndarray
+    langs: list[str]
+    table: DataFrame
+
+    def blocks(self, at_once: int) -> Iterator[Block]:
+        for i in range(0, len(self.langs), at_once):
+            rows = self.table.where(F.col("lang").between(self.langs[i], self.langs[min(i + at_once, len(self.langs)) - 1])).collect()
+            rows.sort(key=lambda r: (r["lang"], r["at"]))
+            yield Block(np.stack([np.frombuffer(r["vector"], np.float32) for r in rows]), [r["lang"] for r in rows], np.array([r["floor"] for r in rows]))
 
 
 def full_size(counts: np.ndarray) -> np.ndarray:
@@ -109,79 +130,108 @@ def floor_of(own: np.ndarray, cents: np.ndarray, size: np.ndarray) -> float:
     return MARGIN * float(np.quantile(np.clip(cos.max(1) / np.maximum(size, 1e-3), 0, 1), LOW_QUANTILE))
 
 
-def fit(langs: list[str], counts: np.ndarray, per_lang: int = 4, rounds: int = 12, seed: int = 7) -> Model:
-    df = (counts > 0).sum(0)
-    idf = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
-    x = _unit(np.log1p(counts) * idf)
-    names, cents, floors, size = [], [], [], full_size(counts)
-    labels = np.array(langs, dtype=object)
-    for lang in sorted(set(langs)):
-        own = x[labels == lang]
-        k = min(per_lang, len(own))
-        rng = np.random.default_rng(seed)
-        c = [own.sum(0)]  # the mean direction first, then far-off texts
-        while len(c) < k:
-            d = np.clip(1 - (own @ _unit(np.array(c)).T).max(1), 0, None).astype(float)
-            c.append(own[rng.choice(len(own), p=d / d.sum())] if d.sum() > 0 else own[0])
-        c = _unit(np.array(c))
-        for _ in range(rounds):
-            at = (own @ c.T).argmax(1)
-            c = _unit(np.array([own[at == j].sum(0) if (at == j).any() else c[j] for j in range(k)]))
-        cents.append(c)
-        names += [lang] * k
-        floors += [floor_of(own, c, size[labels == lang])] * k
-    return Model(idf, np.concatenate(cents).astype(np.float32), names, np.array(floors))
+def fit(own: np.ndarray, size: np.ndarray, centroids: int = 4, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(centroids, floor) of one language by spherical k-means over its unit vectors."""
+    k = min(centroids, len(own))
+    rng = np.random.default_rng(seed)
+    c = [own.sum(0)]  # the mean direction first, then far-off texts
+    while len(c) < k:
+        d = np.clip(1 - (own @ _unit(np.array(c)).T).max(1), 0, None).astype(float)
+        c.append(own[rng.choice(len(own), p=d / d.sum())] if d.sum() > 0 else own[0])
+    c = _unit(np.array(c))
+    for _ in range(rounds):
+        at = (own @ c.T).argmax(1)
+        c = _unit(np.array([own[at == j].sum(0) if (at == j).any() else c[j] for j in range(k)]))
+    return c.astype(np.float32), floor_of(own, c, size)
+
+
+def sample(docs: DataFrame, ws: Workspace, *, use: Column, doc_id: str, text: str, lang: str, sample_per_lang: int) -> DataFrame:
+    """(lang, doc_id, text) of the ``sample_per_lang`` labelled rows of each language with the smallest id hashes.
+
+    Counts come first; then only rows below a hash threshold that leaves about twice the sample are
+    shuffled and ranked, so a task gets the same number of rows at any size of the corpus."""
+    keyed = docs.where(use & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    counts = ws.save(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "counts")
+    if counts.count() <= BROADCAST_LANGS:
+        counts = F.broadcast(counts)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = keyed.join(counts, "lang").where(share * F.col("n") <= 2 * sample_per_lang + 50)
+    near = few.withColumn("share", share)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("share", "doc_id", F.xxhash64("text")))
+    return near.withColumn("r", rank).where(F.col("r") <= sample_per_lang).select("lang", "doc_id", "text")
 
 
 def train(docs: DataFrame, *, use: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, dims: int = DIMS) -> Model | None:
-    """Fits on at most ``sample_per_lang`` rows of each language, those with the smallest id hashes."""
-    keyed = docs.where(use & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"))
-    if keyed.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = keyed.withColumn("r", rank).where(F.col("r") <= sample_per_lang).select("doc_id", "lang").distinct()
+    """Fits each language in a task of its own; the driver gets the document frequencies of the n-grams
+    (``dims`` numbers) and the languages' names."""
+    ws = Workspace(docs.sparkSession, "langid")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", rows=512):
-            x = gram_counts(b.column("text"), dims)
-            x = x[has_letter(b.column("text"))]
+        for b in chunks(batches, "text", rows=ROWS):
             keep = b.filter(pa.array(has_letter(b.column("text"))))
+            x = gram_counts(keep.column("text"), dims)
             at = [np.flatnonzero(r) for r in x]
-            yield pa.RecordBatch.from_arrays(
-                [keep.column("doc_id"), keep.column("lang"), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([r[i].astype("<f4").tobytes() for r, i in zip(x, at)], pa.binary())],
-                names=["doc_id", "lang", "at", "n"])
-
-    ids = chosen.withColumnRenamed("lang", "l").withColumnRenamed("doc_id", "d")  # at most sample_per_lang * MAX_LANGS rows
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = texts.join(F.broadcast(ids), (F.col("doc_id") == F.col("d")) & (F.col("lang") == F.col("l"))).select("doc_id", "lang", "text")
-    table = got.mapInArrow(features, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang string, at binary, n binary").toPandas()
-    if not len(table):
-        return None
-    table = table.sort_values(["lang", "doc_id", "at"], ignore_index=True)
-    x = np.zeros((len(table), dims), np.float32)
-    for i, (at, n) in enumerate(zip(table["at"], table["n"])):
-        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
-    return fit(list(table.lang), x)
-
+            yield pa.RecordBatch.from_arrays([keep.column("lang"), keep.column("doc_id"), pa.array([i.tolist() for i in at], pa.list_(pa.int32())), pa.array([r[i].astype("<f4").tobytes() for r, i in zip(x, at)], pa.binary())], names=["lang", "doc_id", "at", "n"])
 
-def identify(docs: DataFrame, model: Model | None, *, text: str = "text", reject_distance: float = 0.97, dims: int = DIMS) -> DataFrame:
-    """Adds lang_pred, score and rejected to every row; texts stay where they are."""
-    new = ("lang_pred", "score", "rejected")
-    rows = docs.select(*[c for c in docs.columns if c not in new])
+    chosen = sample(docs, ws, use=use, doc_id=doc_id, text=text, lang=lang, sample_per_lang=sample_per_lang)
+    table = ws.save(chosen.mapInArrow(lean(features), f"lang string, doc_id {docs.schema[doc_id].dataType.simpleString()}, at array<int>, n binary"), "features")
+    rows = table.count()
+    if not rows:
+        return None
+    df = np.zeros(dims)
+    for r in table.select(F.explode("at").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect():
+        df[r["i"]] = r["n"]
+    idf = (np.log((1 + rows) / (1 + df)) + 1).astype(np.float32)
+
+    def fit_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(order=[tuple(a) for a in pdf["at"]]).sort_values(["doc_id", "order"], ignore_index=True)
+        counts = np.zeros((len(pdf), dims), np.float32)
+        for i, (at, n) in enumerate(zip(pdf["at"], pdf["n"])):
+            counts[i, at] = np.frombuffer(n, "<f4")
+        c, floor = fit(vectors(counts, idf), full_size(counts))
+        return pd.DataFrame({"lang": key[0], "at": range(len(c)), "vector": [r.tobytes() for r in c], "floor": floor})
+
+    fitted = ws.save(table.groupBy("lang").applyInPandas(fit_one, "lang string, at int, vector binary, floor double"), "centroids")
+    return Model(idf, sorted(r["lang"] for r in fitted.select("lang").distinct().collect()), fitted)
+
+
+def identify(docs: DataFrame, model: Model | None, *, text: str = "text", reject_distance: float = 0.97, dims: int = DIMS, at_once: int = LANGS_AT_ONCE, prefix: str = "") -> DataFrame:
+    """Adds lang_pred, score and rejected (each with ``prefix``) to every row; texts stay where they are.
+
+    Columns of these names that the table has already are refused. Beyond ``at_once`` languages each
+    pass over the table meets the centroids of so many, and keeps what is nearest so far."""
+    new = [f"{prefix}{c}" for c in ("lang_pred", "score", "rejected")]
+    if clash := set(new) & set(docs.columns):
+        raise ValueError(f"the table has {', '.join(sorted(clash))} already; use another prefix")
     if model is None:
-        return rows.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, text, rows=512):
-            col = b.column(text)
-            langs, score, floor = model.predict(gram_counts(col, dims))
-            letters = has_letter(col)
-            score = np.where(letters, score, 0.0)
-            pred = [x if ok else "und" for x, ok in zip(langs, letters)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(~letters | (score < np.maximum(1 - reject_distance, floor)))], names=[*b.schema.names, *new])
-
-    schema = StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return rows.mapInArrow(run, schema)
+        return docs.select("*", F.lit("und").alias(new[0]), F.lit(0.0).alias(new[1]), F.lit(True).alias(new[2]))
+    idf, n, names = model.idf, len(docs.columns), [*docs.columns, *new]
+    schema = StructType(list(docs.schema.fields)).add(new[0], "string").add(new[1], "double").add(new[2], "boolean")
+
+    def against(block: Block, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in chunks(batches, text, rows=ROWS):
+                letters = has_letter(b.column(text))
+                counts = gram_counts(b.column(text), dims)
+                best, score, floor = block.predict(vectors(counts, idf))
+                score = np.where(letters, score, 0.0)
+                pred = [block.langs[i] if ok else "und" for i, ok in zip(best.tolist(), letters)]
+                out = ~letters | (score < np.maximum(1 - reject_distance, floor * full_size(counts)))
+                if not first:
+                    was = b.column(n + 1).to_numpy()
+                    stay = ~letters | (was >= score)
+                    pred = [old if s else p for old, p, s in zip(b.column(n).to_pylist(), pred, stay)]
+                    score, out = np.where(stay, was, score), np.where(stay, b.column(n + 2).to_numpy(zero_copy_only=False), out)
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(pred, pa.string()), pa.array(score), pa.array(out.astype(bool))], names=names)
+
+        return lean(run)
+
+    got = docs
+    for i, block in enumerate(model.blocks(at_once)):
+        if i:
+            got = Workspace(docs.sparkSession, "langid").save(got, "so-far")
+        got = got.mapInArrow(against(block, i == 0), schema)
+    return got
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
