@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from quantloom.llm.workspace import Workspace
 
 
-def components(ws: Workspace, links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(ws: Workspace, links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b); a component is named by its smallest id.
 
-    Every round is written to the shared folder. Rounds grow with the logarithm of the longest
-    path; a node with very many links is only ever a join key whose partition can be split.
+    Every round is written to the shared folder; they end when nothing changes, and grow with the
+    logarithm of the longest path. A node with very many links is only ever a join key whose partition can be split.
     """
     edges = ws.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,6 +27,4 @@ def components(ws: Workspace, links: DataFrame, max_rounds: int = 60) -> DataFra
         if tuple(now) == mark:
             break
         mark = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -7,18 +7,20 @@ collision-corrected Jaccard estimate thins them, and links count only when the f
 them. The result is the connected components of all confirmed links.
 
 Finding every component does not take every pair:
-1. Equal sets are one class, found by a 128-bit digest; one representative goes on.
-2. Star rounds: in each band bucket members meet a hashed leader of another component. A document
+1. Equal sets are one class, found by a 128-bit digest. Classes are the nodes of the graph, and have
+   numbers of their own; one row stands for the texts of a class.
+2. Star rounds: in each band bucket members meet a hashed leader of another component. A class
    verifies one leader a round, the one it meets in most bands, so copies collapse in a few rounds
    and in linear work.
 3. What is still in several components within a bucket is compared in full, in cells of bounded
    size: members outside the bucket's largest component against all members. Only pairs that pass the
-   estimate and join different components are verified.
+   estimate and join different components are verified, in parts whose sets are bounded together.
 No partner is capped, and buckets of any size are split into cells.
 
 Defined results: null or wordless text has no shingles, is linked with nothing and is kept; with
-fewer than k words the whole sequence is one shingle; rows that share an id are one node of the
-graph where that id stands for its class; a null id is kept and has a null component.
+fewer than k words the whole sequence is one shingle. Every row is judged by its own text: rows that
+share an id but not their sets are separate nodes, rows of one class are together whatever their
+ids. A null id is kept; its component is named by the smallest id that is not null, if there is one.
 """
 
 from __future__ import annotations
@@ -31,12 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.components import components
-from quantloom.llm.textnp import Powers, U, chunks, gram_starts, grams, mix, strings, word_hashes, words
+from quantloom.llm.textnp import Powers, U, chunks, grams, lean, mix, strings, word_hashes, words
 from quantloom.llm.workspace import Workspace
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
+_LAST = 2**63 - 1  # in place of a null id
 #: Most members on either side of a comparison cell.
 CELL_MINOR, CELL_ALL = 1024, 1024
+#: Most shingle hashes that one part of a cell holds for verification (a larger pair is a part of its own).
+PART_HASHES = 4_000_000
 STAR_ROUNDS = 3
 
 
@@ -127,29 +132,37 @@ def _set(x: bytes) -> np.ndarray:
     return np.frombuffer(x, U)
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_id, component_id, kept.
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit words that name each set, as int64 rows."""
+    d = np.array([[s.sum(dtype=U) ^ U(len(s)), mix(s).sum(dtype=U)] if len(s) else [0, 0] for s in sets], U).reshape(-1, 2)
+    d[:, 0] = mix(d[:, 0])
+    return d.view(np.int64)
 
-    Linked are documents with den * |intersection| >= num * |union|. ``class_id`` is the smallest
-    id with the same set, ``component_id`` the smallest id that links lead to.
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100, star_rounds: int = STAR_ROUNDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, class_id, component_id, kept, and the columns in ``carry``.
+
+    Linked are texts with den * |intersection| >= num * |union|. ``class_id`` is the smallest id with
+    the same set, ``component_id`` the smallest id that links lead to. ``group`` names the component
+    by a number, for rows of any id; it is null for texts without words.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "nearduplicates")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ws = Workspace(docs.sparkSession, "nearduplicates")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("th"), F.struct(F.lit(0).alias("_"), *carry).alias("carried"))
+    carried = rows.schema["carried"].dataType.simpleString()
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
         for b in chunks(batches, "text"):
             sets = shingle_sets(b.column("text"), k, pows)
-            n = np.array([len(s) for s in sets], np.int64)
-            d = np.array([[s.sum(dtype=U), mix(s).sum(dtype=U)] if len(s) else [0, 0] for s in sets], U)
-            d[:, 0] = mix(d[:, 0] ^ n.astype(U))
-            sig = sketch(sets)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(d[:, 0].view(np.int64)), pa.array(d[:, 1].copy().view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n", "d1", "d2", "sig"])
+            d = digests(sets)
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array([s.tobytes() for s in sketch(sets)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), b.column("carried"), *own], names=["doc_id", "th", "carried", "n", "d1", "d2", "sig"])
 
-    sigs = ws.save(rows.mapInArrow(sketches, "doc_id long, n long, d1 long, d2 long, sig binary"), "sketches")
-    linkable = sigs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = ws.save(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    sigs = ws.save(rows.mapInArrow(lean(sketches), f"doc_id long, th long, carried {carried}, n long, d1 long, d2 long, sig binary"), "sketches")
+    row = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), "th")
+    classes = sigs.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min(row).alias("row"), F.min("n").alias("n"), F.first("sig").alias("sig"))
+    classes = ws.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,19 +172,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             ids = np.broadcast_to(b.column("id").to_numpy()[:, None], key.shape)
             yield pa.RecordBatch.from_arrays([pa.array(key[there]), pa.array(ids[there])], names=["g", "id"])
 
-    banded = classes.select("id", "sig").mapInArrow(bands, "g long, id long")
+    banded = classes.select("id", "sig").mapInArrow(lean(bands), "g long, id long")
     shared = banded.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("g", "c")
     members = ws.save(banded.join(shared, "g"), "members")
-    wanted = members.select("id").distinct()
+    wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select(F.col("row.id").alias("key"), F.col("row.th").alias("th"), "id", "d1", "d2")
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
         for b in chunks(batches, "text"):
             sets = shingle_sets(b.column("text"), k, pows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "words"])
+            ok = (digests(sets) == np.stack([b.column(c).to_numpy() for c in ("d1", "d2")], 1)).all(1)
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(ok)), pa.array([s.tobytes() for s, o in zip(sets, ok) if o], pa.binary())], names=["id", "words"])
 
-    by_id = rows.where("doc_id IS NOT NULL").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = ws.save(by_id.mapInArrow(full_sets, "id long, words binary"), "sets")
+    texts = rows.select(F.coalesce("doc_id", F.lit(_LAST)).alias("key"), "th", "text").groupBy("key", "th").agg(F.first("text").alias("text"))
+    sets = ws.save(texts.join(wanted, ["key", "th"]).select("id", "d1", "d2", "text").mapInArrow(lean(full_sets), "id long, words binary"), "sets")
     small = classes.select("id", "n", "sig")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,19 +214,32 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         lead = now.groupBy("g").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(r), "id")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("g", "lead")
         met = now.join(lead, "g").where(F.col("component") != F.col("lead.component")).groupBy("id", F.col("lead.id").alias("b")).agg(F.count(F.lit(1)).alias("n"))
         pick = met.groupBy("id").agg(F.max_by("b", F.struct("n", F.xxhash64(F.lit(r), "b"))).alias("b")).select(F.col("id").alias("a"), "b")
-        pairs = beside(pick, small).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(near, "a long, b long")
-        new = ws.save(beside(pairs, sets).select("a", "b", "words_a", "words_b").mapInArrow(verify, "a long, b long"), "links")
+        pairs = beside(pick, small).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(lean(near), "a long, b long")
+        new = ws.save(beside(pairs, sets).select("a", "b", "words_a", "words_b").mapInArrow(lean(verify), "a long, b long"), "links")
         if links is not None and new.isEmpty():
             break  # the cells take it from here
         links = new if links is None else links.unionAll(new)
         comp = components(ws, links)
     links = links.unionAll(_cells(ws, members, comp, small, sets, num, den))
     comp = components(ws, links)
-    reps = classes.select("d1", "d2", F.col("id").alias("class_id")).join(comp.withColumnRenamed("id", "class_id"), "class_id", "left")
-    out = sigs.select("doc_id", "n", "d1", "d2").join(reps, ["d1", "d2"], "left")
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    label = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "class_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), label.alias("component_id"), F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept"))
+    rooted = classes.select("id", "d1", "d2", "class_id").join(comp, "id", "left").select("d1", "d2", "class_id", F.coalesce("component", "id").alias("group"))
+    named = rooted.join(rooted.groupBy("group").agg(F.min("class_id").alias("least")), "group")
+    out = sigs.select("doc_id", "n", "d1", "d2", "carried").join(named, ["d1", "d2"], "left")
+    alone = F.col("n") == 0
+    label = F.when(alone, F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), label.alias("component_id"),
+                      F.coalesce(F.col("doc_id") == label, F.lit(True)).alias("kept"), F.when(~alone, F.col("group")).alias("group"), *[F.col(f"carried.`{c}`").alias(c) for c in carry])
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
+    """The rows of ``docs`` with one of each group of near duplicates: that with the smallest id, nulls
+    last, then with the smallest digest of the whole row. Rows equal in all columns are one."""
+    whole = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.lit(1), whole).alias("r1"), F.xxhash64(F.lit(2), whole).alias("r2"))
+    found = near_duplicates(rows.select("doc_id", "text", "r1", "r2"), k=k, carry=("r1", "r2"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+    stay = found.groupBy("group", *[F.when(F.col("group").isNull(), F.col(c)).alias(f"own_{c}") for c in ("r1", "r2")]).agg(F.min(order).alias("row")).select("row.r1", "row.r2")
+    return rows.groupBy("r1", "r2").agg(F.first("row").alias("row")).join(stay, ["r1", "r2"], "left_semi").select("row.*")
 
 
 class _Forest:
@@ -251,6 +278,26 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def _parts(who: list[int], partners: list[list[int]], weight: dict[int, int], most: int = PART_HASHES) -> Iterator[dict[int, list[int]]]:
+    """The pairs dealt into parts (member to partners) whose members weigh at most ``most`` together."""
+    of: dict[int, list[int]] = {}
+    have: set[int] = set()
+    load = 0
+    for x, ps in zip(who, partners):
+        at_once = [ps] if load + sum(weight[i] for i in {x, *ps} - have) <= most else [[p] for p in ps]
+        for some in at_once:
+            more = sum(weight[i] for i in {x, *some} - have)
+            if of and load + more > most:
+                yield of
+                of, have, load = {}, set(), 0
+                more = sum(weight[i] for i in {x, *some})
+            of.setdefault(x, []).extend(some)
+            have |= {x, *some}
+            load += more
+    if of:
+        yield of
+
+
 def _cells(ws: Workspace, members: DataFrame, comp: DataFrame, small: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links across components that star rounds left open, found in cells of bounded size."""
     now = members.join(comp, "id", "left").select("g", "id", F.coalesce("component", "id").alias("component"))
@@ -292,18 +339,19 @@ def _cells(ws: Workspace, members: DataFrame, comp: DataFrame, small: DataFrame,
                 est, used = estimate(sig[x][None, :], sig[c], nx, n[c])
                 c = c[passes(est, used, nx, n[c], num, den)]
                 if len(c):
-                    who.append(ids[x])
-                    partners.append(np.unique(ids[c]).tobytes())
-            if who:
-                need = np.unique(np.concatenate([np.array(who, np.int64), *(np.frombuffer(p, np.int64) for p in partners)]))
-                of = dict(zip(who, partners))
-                back = dict(zip(ids.tolist(), com.tolist()))
-                k = [np.full(len(need), t.column(c)[0].as_py(), np.int64) for c in key]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, k), pa.array(need), pa.array([back[i] for i in need.tolist()], pa.int64()), pa.array([of.get(i) for i in need.tolist()], pa.binary())], names=[*key, "id", "component", "partners"])
+                    who.append(int(ids[x]))
+                    partners.append(np.unique(ids[c]).tolist())
+            back, weight = dict(zip(ids.tolist(), com.tolist())), dict(zip(ids.tolist(), n.tolist()))
+            k = [t.column(c)[0].as_py() for c in key]
+            for no, of in enumerate(_parts(who, partners, weight)):
+                need = sorted(set(of).union(*of.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(len(need), x, np.int64)) for x in (*k, no)), pa.array(need, pa.int64()), pa.array([back[i] for i in need], pa.int64()), pa.array([np.array(of[i], np.int64).tobytes() if i in of else None for i in need], pa.binary())],
+                    names=[*key, "part", "id", "component", "partners"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Verifies the pairs of a cell that still join different components."""
-        for t in _groups(batches, key):
+        for t in _groups(batches, [*key, "part"]):
             sets_of = dict(zip(t.column("id").to_pylist(), t.column("words").to_pylist()))
             com = dict(zip(t.column("id").to_pylist(), t.column("component").to_pylist()))
             forest, a, b = _Forest(), [], []
@@ -320,11 +368,11 @@ def _cells(ws: Workspace, members: DataFrame, comp: DataFrame, small: DataFrame,
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     full = cells.join(small, "id").select(*key, "left", "id", "component", "n", "sig")
-    screened = full.repartition(*key).sortWithinPartitions(*key).mapInArrow(screen, "g long, i long, j long, id long, component long, partners binary")
+    screened = full.repartition(*key).sortWithinPartitions(*key).mapInArrow(lean(screen), "g long, i long, j long, part long, id long, component long, partners binary")
     screened = ws.save(screened, "screened")
-    ready = screened.join(sets, "id").select(*key, "id", "component", "partners", "words")
-    return ws.save(ready.repartition(*key).sortWithinPartitions(*key).mapInArrow(settle, "a long, b long"), "links")
+    ready = screened.join(sets, "id").select(*key, "part", "id", "component", "partners", "words")
+    return ws.save(ready.repartition(*key, "part").sortWithinPartitions(*key, "part").mapInArrow(lean(settle), "a long, b long"), "links")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=4)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), k=4).drop("group")
