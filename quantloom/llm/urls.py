@@ -62,8 +62,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", def
     """Adds host, path, rule (host + path, or null) and verdict to ``pages``.
 
     The verdict depends on the URL alone, so distinct URLs are judged once and joined back; only
-    URLs that fit a rule take part in that join.
+    URLs that fit a rule take part in that join. A table that has such columns already is refused.
     """
+    if clash := {"host", "path", "rule", "verdict"} & set(pages.columns):
+        raise ValueError(f"the table has {', '.join(sorted(clash))} already; rename them first")
     spark = pages.sparkSession
     lengths = sorted({len(p) for _, _, p in rules})
     table = rule_table(spark, rules, prefix_bytes)
@@ -83,10 +85,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", def
             F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict"))
         hits = fits.groupBy("u").agg(best.alias("best")).select("u", "best.rule", "best.rule_verdict")
     host, path = split_url(F.col(url))
-    kept = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
     hits = hits.select(F.col("u").alias("__url"), F.col("rule").alias("__rule"), F.col("rule_verdict").alias("__verdict"))
-    out = kept.join(hits, F.col(url) == F.col("__url"), "left")
-    return out.select(*kept.columns, host.alias("host"), path.alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit(default)).alias("verdict"))
+    out = pages.join(hits, F.col(url) == F.col("__url"), "left")
+    return out.select(*pages.columns, host.alias("host"), path.alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.lit(default)).alias("verdict"))
 
 
 RULES: list[Rule] = [
