@@ -2,7 +2,9 @@
 
 Every stage gets what its predecessor kept, written as Parquet to the shared folder and read back.
 All stages but the last return the columns of ``documents``; the last one returns packed pieces.
-SQL cannot express the stages (n-gram centroids, sketches, keyed permutations, a tokenizer), so
+Stages work on rows: ids may be null or repeat, extra columns of any name come through unchanged,
+empty tables give empty tables, and results do not depend on how the rows are partitioned. SQL
+cannot express the stages (n-gram centroids, sketches, keyed permutations, a tokenizer), so
 ``ORACLE_SQL`` is None and tests compare each stage with a brute-force version.
 """
 
@@ -14,42 +16,40 @@ from pyspark.sql import functions as F
 from quantloom.llm import langid, mixing, nearduplicates, packing, pii, tokens
 from quantloom.llm.workspace import Workspace
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KEY = "quantloom pipeline key"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language identification rejects: null texts, texts without letters,
-    texts unlike every learned language. The classifier learns from the labelled documents."""
+    texts unlike every learned language. The classifier learns from the labelled documents that have
+    an id; without any, no language is known and every document goes."""
     model = langid.train(docs, use=F.col("doc_id").isNotNull())
-    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    return langid.identify(docs, model, prefix="__langid_").where(~F.col("__langid_rejected")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five words, similarity 0.8); of rows
-    that share an id one stays, rows without an id all stay."""
-    found = nearduplicates.near_duplicates(docs.select("doc_id", "text"), k=5)
-    keep = found.where("kept AND doc_id IS NOT NULL").select("doc_id")
-    stay = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionAll(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Keeps one document of each group of near duplicates (five words, similarity 0.8): the one
+    with the smallest id, of equal ids (or none) the one with the smallest row digest. Documents
+    without words are near nothing and stay, repeated rows of them once."""
+    return nearduplicates.one_of_each(docs, k=5)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts; n_chars follows the new text."""
-    out = pii.pseudonymise(docs, KEY)
-    return out.withColumn("n_chars", F.when(F.col("n_pseudonyms") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    """Replaces personal data in the texts; n_chars follows a text that changed. Null texts stay null,
+    and every row stays."""
+    out = pii.pseudonymise(docs.select(F.struct(*docs.columns).alias("row"), "text"), KEY)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_pseudonyms") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes 90 % of all words at the target weights, no document twice. Ids are joined back; rows
-    without an id come through the mix whole."""
-    taken = Workspace(spark, "mix").save(mixing.mix_sources(docs, share=0.9, most_epochs=1, carry=True).where("taken > 0").select("doc_id", "row"), "taken")
-    stay = docs.join(taken.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
-    return stay.select(*docs.columns).unionAll(taken.where("doc_id IS NULL").select("row.*"))
+    """Takes 90 % of all words at the target weights, no row twice. Documents without words take no
+    part in the mix and go."""
+    return mixing.mix_sources(docs, share=0.9, most_epochs=1, carry=True).where("taken > 0").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2,048 tokens."""
+    """The pieces of all documents in sequences of 2,048 tokens; a null or empty text is its end id."""
     return packing.pack(docs.select("doc_id", "text"), tokens.default_tokenizer())
 
 
