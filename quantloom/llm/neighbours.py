@@ -3,10 +3,18 @@
 Nearness is the largest inner product. Vectors scaled to norm at most 1 get one more component
 sqrt(1 - |x|^2), queries are unit vectors with a zero there; Euclidean order is then inner-product
 order, and the p-stable hash floor((a.x + b) / w) with Gaussian a applies. Each table has
-``hashes`` such functions. A query visits its own bucket and the ``probes`` perturbed ones of each
-table (offsets -1, 0, 1) in estimated success order: ascending sum of squared distances to the
-crossed borders. Candidates of all tables are merged and reranked by exact inner products in double
-precision.
+``hashes`` such functions. A query visits its own bucket and perturbed ones of each table (offsets
+-1, 0, 1) in estimated success order: ascending sum of squared distances to the crossed borders.
+Candidates of all tables are merged and reranked by exact inner products in double precision.
+
+How far a query goes is estimated twice. A first look at ``first`` buckets of one table gives it an
+upper bound of its k-th distance d. A point that near moves by N(0, (d / w)^2) in each function, so
+its bucket's score exceeds (d / w)^2 times a quantile of chi-squared with chance ``miss`` in each
+table. The query stops there, and at its ``probes`` first buckets in any case. Where neighbours are
+much nearer than other points few buckets are left; without such structure the budget decides.
+
+Only points of visited buckets are multiplied with the query, each once: what an earlier table or
+the first look has met is left out by its buckets there, before any product.
 
 Work is dealt by region, the first two hash values of a table, so a query goes to at most nine
 regions of a table; a region above ``region_rows`` points is split and its queries are sent to all
@@ -22,7 +30,9 @@ vectors are one.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +40,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.llm.textnp import lean
 from quantloom.llm.workspace import Workspace
 
-TABLES, HASHES, WIDTH, PROBES = 2, 8, 2.2, 1200
+TABLES, HASHES, WIDTH, PROBES = 2, 8, 2.2, 1000
+FIRST, MISS = 6, 0.1
 REGION_ROWS = 20_000
 
 
@@ -65,9 +77,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", tables: int = TABLES, hashes: int = HASHES,
-            width: float = WIDTH, probes: int = PROBES, region_rows: int = REGION_ROWS, seed: int = 11) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of the k nearest found for every row where ``is_query``."""
+def costs(names: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Perturbation scores (queries x buckets) of buckets, infinite beyond one step in a function."""
+    base = np.floor(z)
+    f = z - base
+    step = names[None, :, :] - base.astype(np.int32)[:, None, :]
+    return np.where(step == -1, f[:, None, :] ** 2, np.where(step == 1, (1 - f[:, None, :]) ** 2, np.where(step == 0, 0.0, np.inf))).sum(2)
+
+
+def chi_squared(dof: int, tail: float) -> float:
+    """The value that chi-squared exceeds with chance ``tail`` (Wilson and Hilferty)."""
+    z = NormalDist().inv_cdf(1 - tail)
+    return dof * (1 - 2 / (9 * dof) + z * math.sqrt(2 / (9 * dof))) ** 3
+
+
+def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH,
+            probes: int = PROBES, first: int = FIRST, miss: float = MISS, region_rows: int = REGION_ROWS, seed: int = 11, with_work: bool = False) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of the k nearest found for every row where ``is_query``.
+
+    With ``with_work`` instead: qid, looked (inner products worked out), one row per distinct query."""
     spark = table.sparkSession
     ws = Workspace(spark, "neighbours")
     v = F.col(vector).cast("array<double>")
@@ -76,9 +104,10 @@ def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "v
     rows = rows.withColumn("vh", F.xxhash64("v"))
     rank = F.row_number().over(Window.partitionBy("vh", "v").orderBy("id"))
     few = rows.select("vh", "v", "id").distinct().withColumn("r", rank).where(F.col("r") <= k + 1)
-    points = ws.save(few.groupBy("vh", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", F.size("v").alias("dim"), "ids", F.col("ids")[0].alias("pid")), "points")
+    points = ws.save(few.groupBy("vh", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("v", F.size("v").alias("dim"), "ids"), "points")
     norms = {r["dim"]: r["m"] for r in points.groupBy("dim").agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("m")).collect()}
     asked = ws.save(rows.where("q").groupBy("vh", "v").agg(F.min("id").alias("qid")).select("v", F.size("v").alias("dim"), "qid"), "asked")
+    far = chi_squared(hashes, miss)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,48 +116,57 @@ def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "v
                 own = b.filter(pa.array(dims == d))
                 x = _matrix(own.column("v")) / norms[int(d)]
                 x = np.hstack([x, np.sqrt(np.clip(1 - (x * x).sum(1, keepdims=True), 0, None))])
+                z = np.stack([np.floor(hashed(x, t, hashes, width, seed)).astype(np.int32) for t in range(tables)], 1)
+                buckets = pa.array([r.tobytes() for r in z], pa.binary())
                 for t in range(tables):
-                    z = np.floor(hashed(x, t, hashes, width, seed)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([own.column("dim"), pa.array(np.full(len(z), t, np.int32)), pa.array(z[:, 0]), pa.array(z[:, 1]), pa.array([r.tobytes() for r in z], pa.binary()), own.column("v"), own.column("ids")], names=["dim", "t", "c0", "c1", "bucket", "v", "ids"])
+                    yield pa.RecordBatch.from_arrays([own.column("dim"), pa.array(np.full(len(z), t, np.int32)), pa.array(z[:, t, 0].copy()), pa.array(z[:, t, 1].copy()), buckets, own.column("v"), own.column("ids")], names=["dim", "t", "c0", "c1", "buckets", "v", "ids"])
 
     region = ["dim", "t", "c0", "c1"]
-    placed = points.select("dim", "v", "ids").mapInArrow(place, "dim int, t int, c0 int, c1 int, bucket binary, v array<double>, ids array<long>")
+    placed = ws.save(points.mapInArrow(lean(place), "dim int, t int, c0 int, c1 int, buckets binary, v array<double>, ids array<long>"), "placed")
     parts = ws.save(placed.groupBy(*region).agg(F.ceil(F.count(F.lit(1)) / region_rows).cast("int").alias("parts")), "regions")
 
+    def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        x = _matrix(column)
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.hstack([x / n, np.zeros((len(x), 1))]), n[:, 0]
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries to their regions, with the largest score that they visit in each table (``most``),
+        and the largest that their first look has visited in table 0 (``seen``)."""
         for b in batches:
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims):
                 own = b.filter(pa.array(dims == d))
-                x = _matrix(own.column("v"))
-                x = np.hstack([x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros((len(x), 1))])
-                for t in range(tables):
-                    z = hashed(x, t, hashes, width, seed)
-                    most, base = thresholds(z, probes), np.floor(z).astype(np.int32)
-                    f = z - base
+                q, length = unit(own.column("v"))
+                kth = own.column("kth").to_numpy(zero_copy_only=False).astype(float)
+                again = bool(own.column("again")[0].as_py())
+                z = [hashed(q, t, hashes, width, seed) for t in range(tables if again else 1)]
+                most = np.stack([thresholds(x, probes if again else first) for x in z], 1)
+                seen = thresholds(z[0], first) if again else np.full(len(q), -1.0)
+                if again:
+                    gap = np.clip(2 - 2 * kth / (norms[int(d)] * length), 0, None)  # squared distance of what is k-th so far
+                    most = np.fmin(most, (gap / width**2 * far)[:, None])
+                for t, x in enumerate(z):
+                    base = np.floor(x).astype(np.int32)
                     for s0, s1 in itertools.product((-1, 0, 1), repeat=2):
-                        cost = sum({-1: f[:, j] ** 2, 0: 0 * f[:, j], 1: (1 - f[:, j]) ** 2}[s] for j, s in enumerate((s0, s1)))
-                        go = cost <= most
+                        at = base[:, :2] + np.array([s0, s1], np.int32)
+                        f = x[:, :2] - base[:, :2]
+                        go = sum({-1: f[:, j] ** 2, 0: 0 * f[:, j], 1: (1 - f[:, j]) ** 2}[s] for j, s in enumerate((s0, s1))) <= most[:, t]
                         if go.any():
-                            n = int(go.sum())
                             keep = pa.array(go)
-                            yield pa.RecordBatch.from_arrays([own.column("dim").filter(keep), pa.array(np.full(n, t, np.int32)), pa.array(base[go, 0] + np.int32(s0)), pa.array(base[go, 1] + np.int32(s1)), own.column("qid").filter(keep), own.column("v").filter(keep), pa.array(most[go])], names=[*region, "qid", "v", "most"])
+                            yield pa.RecordBatch.from_arrays([own.column("dim").filter(keep), pa.array(np.full(int(go.sum()), t, np.int32)), pa.array(at[go, 0].copy()), pa.array(at[go, 1].copy()), own.column("qid").filter(keep), own.column("v").filter(keep), pa.array([r.tobytes() for r in most[go]], pa.binary()), pa.array(seen[go])], names=[*region, "qid", "v", "most", "seen"])
 
-    routed = asked.select("dim", "v", "qid").mapInArrow(route, "dim int, t int, c0 int, c1 int, qid long, v array<double>, most double")
-    left = placed.join(parts, region).select(*region, F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "bucket", "ids", F.lit(None).cast("long").alias("qid"), F.lit(None).cast("double").alias("most"), "v")
-    right = routed.join(parts, region).select(*region, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("bucket"), F.lit(None).cast("array<long>").alias("ids"), "qid", "most", "v")
     cell = [*region, "part"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, pend, index = None, [], None
 
-        def build() -> tuple:
+        def build(t: int) -> tuple:
             vec = np.concatenate([_matrix(b.column("v")) for b in pend])
-            z = np.stack([np.frombuffer(x, np.int32) for b in pend for x in b.column("bucket").to_pylist()])
-            names, inverse = np.unique(z, axis=0, return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
+            z = np.stack([np.frombuffer(x, np.int32) for b in pend for x in b.column("buckets").to_pylist()]).reshape(len(vec), tables, hashes)
+            names, inverse = np.unique(z[:, t], axis=0, return_inverse=True)
             ids = [x for b in pend for x in b.column("ids").to_pylist()]
-            return vec[order], names, inverse.ravel()[order], [ids[i] for i in order], np.array([ids[i][0] for i in order])
+            return vec, names, inverse.ravel(), z, ids, np.array([x[0] for x in ids])
 
         for b in batches:
             if not b.num_rows:
@@ -144,39 +182,55 @@ def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "v
                     continue
                 if not pend:
                     continue
-                index = index or build()
-                vec, names, which, ids, first = index
-                table_no = int(key[1])
+                t = int(key[1])
+                index = index or build(t)
+                vec, names, which, z, ids, least = index
                 each = max(1, min(128, 200_000 // len(names)))
                 for at in range(0, run.num_rows, each):
                     part = run.slice(at, each)
-                    q = _matrix(part.column("v"))
-                    unit = np.hstack([q / np.sqrt((q * q).sum(1, keepdims=True)), np.zeros((len(q), 1))])
-                    z = hashed(unit, table_no, hashes, width, seed)
-                    f = z - np.floor(z)
-                    step = names[None, :, :] - np.floor(z).astype(np.int32)[:, None, :]
-                    cost = np.where(step == -1, f[:, None, :] ** 2, np.where(step == 1, (1 - f[:, None, :]) ** 2, np.where(step == 0, 0.0, np.inf))).sum(2)
-                    probe = (cost <= part.column("most").to_numpy()[:, None])[:, which]
-                    dots = np.where(probe, q @ vec.T, -np.inf)
-                    qs, found, scores = [], [], []
-                    take = min(k + 8, dots.shape[1])
-                    top = np.argpartition(-dots, take - 1, axis=1)[:, :take]
+                    q, seen = _matrix(part.column("v")), part.column("seen").to_numpy()
+                    most = [np.frombuffer(x, float) for x in part.column("most").to_pylist()]
+                    own = [hashed(unit(part.column("v"))[0], j, hashes, width, seed) for j in range(t + 1)]
+                    cost = costs(names, own[t])
+                    qs, found, scores, looked = [], [], [], []
                     for i, qid in enumerate(part.column("qid").to_pylist()):
-                        c = top[i][np.isfinite(dots[i, top[i]])]
-                        if len(c) == take:  # equal values at the border are all looked at
-                            c = np.flatnonzero(dots[i] >= dots[i, c].min() - 1e-12)
+                        visit = (cost[i] <= most[i][t]) & ~((cost[i] <= seen[i]) if t == 0 else False)
+                        c = np.flatnonzero(visit[which])
+                        for j in range(t):  # met in an earlier table, or in the first look
+                            c = c[costs(z[c, j], own[j][i : i + 1])[0] > max(most[i][j], seen[i] if j == 0 else -1.0)]
+                        if with_work:
+                            qs.append(qid)
+                            found.append([])
+                            scores.append(None)
+                            looked.append(len(c))
                         if not len(c):
                             continue
+                        dots = vec[c] @ q[i]
+                        if len(c) > k + 8:  # equal values at the border are all looked at
+                            edge_at = np.partition(dots, len(c) - k - 1)[len(c) - k - 1]
+                            c = c[dots >= edge_at - 1e-9 * max(1.0, abs(edge_at))]
                         exact = (vec[c] * q[i]).sum(1)
-                        for j in np.lexsort((first[c], -exact))[: k + 1]:
+                        for j in np.lexsort((least[c], -exact))[: k + 1]:
                             qs.append(qid)
                             found.append(ids[c[j]])
                             scores.append(float(exact[j]))
-                    yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.float64())], names=["qid", "ids", "score"])
-
-    cols = [*cell, "kind", "bucket", "ids", "qid", "most", "v"]
-    dealt = left.select(*cols).unionAll(right.select(*cols)).repartition(*cell).sortWithinPartitions(*cell, "kind")
-    got = dealt.mapInArrow(search, "qid long, ids array<long>, score double")
+                            looked.append(0)
+                    yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.float64()), pa.array(looked, pa.int64())], names=["qid", "ids", "score", "looked"])
+
+    def look(queries: DataFrame, own: DataFrame, name: str) -> DataFrame:
+        routed = queries.select("dim", "v", "qid", "kth", "again").mapInArrow(lean(route), "dim int, t int, c0 int, c1 int, qid long, v array<double>, most binary, seen double")
+        left = own.join(parts, region).select(*region, F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "buckets", "ids", F.lit(None).cast("long").alias("qid"), F.lit(None).cast("binary").alias("most"), F.lit(None).cast("double").alias("seen"), "v")
+        right = routed.join(parts, region).select(*region, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("buckets"), F.lit(None).cast("array<long>").alias("ids"), "qid", "most", "seen", "v")
+        cols = [*cell, "kind", "buckets", "ids", "qid", "most", "seen", "v"]
+        dealt = left.select(*cols).unionAll(right.select(*cols)).repartition(*cell).sortWithinPartitions(*cell, "kind")
+        return ws.save(dealt.mapInArrow(lean(search), "qid long, ids array<long>, score double, looked long"), name)
+
+    start = look(asked.withColumns({"kth": F.lit(None).cast("double"), "again": F.lit(False)}), placed.where("t = 0"), "first-look")
+    order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
+    kth = start.where("score IS NOT NULL").withColumn("r", order).where(F.col("r") == k + 1).select("qid", F.col("score").alias("kth"))  # the query's own vector is among them
+    got = start.unionAll(look(asked.join(kth, "qid", "left").withColumn("again", F.lit(True)), placed, "found"))
+    if with_work:
+        return got.groupBy("qid").agg(F.sum("looked").alias("looked"))
     got = got.groupBy("qid", F.col("ids")[0].alias("pid")).agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))
     top = got.withColumn("r", best).where(F.col("r") <= k + 1).select("qid", "score", F.explode("ids").alias("vec_id"))
