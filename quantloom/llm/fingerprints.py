@@ -8,7 +8,8 @@ permutations, so cost does not grow with the signature.
 
 Defined results: null text is empty; a text shorter than k is a single k-mer; empty texts have the
 fingerprint of zeros, alike (1.0) to each other and to nothing else; equal texts have equal
-fingerprints; null ids sort first; rows that share an id are ordered by text.
+fingerprints; null ids sort first; rows that share an id are ordered by a hash of the text, then
+the text.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.textnp import U, chunks, long_grams, mix
+from quantloom.llm.textnp import U, chunks, lean, long_grams, mix
+from quantloom.llm.workspace import small_table
 
 K, SIZE, TUPLE = 16, 64, 2
 _LEAST = -(2**63)
@@ -97,37 +99,42 @@ def edit(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
+#: Text bytes of a block, about; there are no fewer blocks than shuffle partitions.
+BLOCK_BYTES = 128 << 20
+
+
 def fingerprint_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", blocks: int | None = None, k: int = K, size: int = SIZE, l: int = TUPLE) -> DataFrame:
     """Fingerprints of every text and of its edited text, compared with each other and the next text's.
 
-    Texts move once, into blocks of neighbouring ids. The first document of each block is also sent
-    to the block before as its look-ahead, so neighbours meet without a global order in one task.
-    The driver sees two numbers per block; a task holds one batch of texts.
+    Texts move once, into blocks of neighbouring ids, each of which is one task. The number of blocks
+    follows the bytes; an id that holds more than a block is cut by its texts' hashes. The first
+    document of each block is also sent to the block before as its look-ahead, so neighbours meet
+    without a global order in one task. The driver sees three numbers per block; a task holds one
+    batch of texts.
     """
     spark = docs.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = rows.select(F.percentile_approx("key", [i / blocks for i in range(1, blocks)] or [0.5], 10 * blocks)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
-
-    @F.pandas_udf("long")
-    def block(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), "right"))
-
-    placed = rows.withColumn("block", block("key"))
-    firsts = sorted((r["block"], r["first"]) for r in rows.select("key").withColumn("block", block("key")).groupBy("block").agg(F.min("key").alias("first")).collect())
-    first_ids = np.array([f for _, f in firsts], np.int64)
-    before = np.array([firsts[i - 1][0] for i in range(len(firsts))], np.int64)
-
-    @F.pandas_udf("long")
-    def ahead_of(key: pd.Series) -> pd.Series:
-        at = np.minimum(np.searchsorted(first_ids, key.to_numpy()), max(len(first_ids) - 1, 0))
-        return pd.Series(np.where(first_ids[at] == key.to_numpy(), before[at], -1) if len(first_ids) else np.full(len(key), -1))
-
-    both = placed.withColumn("ahead_of", ahead_of("key"))
-    both = both.withColumn("to", F.explode(F.when(F.col("ahead_of") >= 0, F.array(F.struct(F.col("block"), F.lit(False).alias("ahead")), F.struct(F.col("ahead_of").alias("block"), F.lit(True).alias("ahead"))))
-                                           .otherwise(F.array(F.struct(F.col("block"), F.lit(False).alias("ahead"))))))
-    both = both.select("doc_id", "key", "text", F.col("to.block").alias("block"), F.col("to.ahead").alias("ahead"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("key"), F.shiftrightunsigned(F.xxhash64(body), 32).alias("th"), body.alias("text"))
+    if blocks is None:
+        volume = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BLOCK_BYTES))
+    cuts = rows.select(F.percentile_approx("key", [i / blocks for i in range(1, blocks)] or [0.5], max(10_000, 4 * blocks))).first()[0] or []
+    cuts = np.sort(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def block(key: pd.Series, th: pd.Series) -> pd.Series:
+        """What lies between two cuts is a block; an id on several cuts has as many blocks, by hash."""
+        low, high = (np.searchsorted(cuts, key.to_numpy(), side) for side in ("left", "right"))
+        many = high - low
+        return pd.Series(np.where(many > 0, low + 1 + (th.to_numpy() * many >> 32), low).astype(np.int32))
+
+    least = rows.select("key", "th", block("key", "th").alias("block")).groupBy("block").agg(F.min(F.struct("key", "th")).alias("first")).collect()
+    firsts = sorted((r["block"], r["first"]["key"], r["first"]["th"]) for r in least)
+    ahead = small_table(spark, [(firsts[i][1], firsts[i][2], firsts[i - 1][0]) for i in range(len(firsts))], pa.schema([("key", pa.int64()), ("th", pa.int64()), ("to", pa.int32())]))  # one row a block; the last is followed by the first
+    own = rows.withColumn("block", block("key", "th"))
+    places = F.array(F.struct(F.col("block").alias("block"), F.lit(False).alias("ahead")))
+    both = own.join(F.broadcast(ahead), ["key", "th"], "left").withColumn("to", F.explode(F.when(F.col("to").isNull(), places).otherwise(F.concat(places, F.array(F.struct(F.col("to").alias("block"), F.lit(True).alias("ahead")))))))
+    both = both.select("doc_id", "key", "th", "text", F.col("to.block").alias("block"), F.col("to.ahead").alias("ahead"))
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
@@ -149,8 +156,8 @@ def fingerprint_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(o, y) for o, y in zip(out, types)], names=names)
 
-    dealt = both.repartition(blocks, "block").sortWithinPartitions("block", "ahead", "key", "text")
-    return dealt.select("doc_id", "text", "block", "ahead").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    dealt = both.repartitionById(blocks, "block").sortWithinPartitions("block", "ahead", "key", "th", "text")
+    return dealt.select("doc_id", "text", "block", "ahead").mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
