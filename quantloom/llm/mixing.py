@@ -16,12 +16,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quantloom.llm.ranking import rank_within
-from quantloom.llm.workspace import Workspace
+from quantloom.llm.workspace import Workspace, small_table
 
 #: Up to so many sources the driver works out the targets; more are shared out on Spark.
 DRIVER_SOURCES = 100_000
@@ -151,7 +152,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         totals = sorted(((r["skey"], int(r["t"])) for r in totals), key=lambda x: (x[0] == "n", x[0]))
         sizes = [t for _, t in totals]
         goal = targets(sizes, [weights[i % len(weights)] for i in range(len(totals))], share * sum(sizes), [most_epochs * t for t in sizes])
-        plan = spark.createDataFrame([(k, t, g) for (k, t), g in zip(totals, goal)], "skey string, source_size long, target double")
+        plan = small_table(spark, [(k, t, g) for (k, t), g in zip(totals, goal)], pa.schema([("skey", pa.string()), ("source_size", pa.int64()), ("target", pa.float64())]))
 
     def fit(key, pdf):
         pdf = pdf.sort_values("size", ignore_index=True)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.ranking import rank_within
 from quantloom.llm.textnp import chunks, lean
 from quantloom.llm.tokens import default_tokenizer, encoder
-from quantloom.llm.workspace import Workspace
+from quantloom.llm.workspace import Workspace, small_table
 
 #: Lengths that share one sequence, as runs (length, how many) in the order in which they are placed.
 Pattern = tuple[tuple[int, int], ...]
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, *, size: int = 2048, end_id: int = 1,
     got = Workspace(spark, "packing").save(cut(docs, tokenizer, size=size, end_id=end_id, doc_id=doc_id, text=text), "pieces")
     hist = {int(r["length"]): int(r["n"]) for r in got.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = slots(plan_patterns(hist, size))
-    counts = spark.createDataFrame(sorted(hist.items()), "length long, n long")
+    counts = small_table(spark, sorted(hist.items()), pa.schema([("length", pa.int64()), ("n", pa.int64())]))
     order = [F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.col("doc_id"), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")]
     ranked = rank_within(got.join(F.broadcast(counts), "length"), ["length"], "n", order, split_rows=split_rows)
     key = table[:, 0] << 44 | table[:, 1]

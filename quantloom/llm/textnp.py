@@ -18,6 +18,7 @@ _SEED = np.random.default_rng(20240611)
 _CODE = _SEED.integers(1, 2**64, size=256, dtype=U)
 _LOWER_CODE = _CODE.copy()
 _LOWER_CODE[65:91] = _CODE[97:123]
+_OTHER_CODE = _SEED.integers(1, 2**64, size=256, dtype=U)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -25,6 +26,15 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 CHUNK_BYTES = 1 << 20
 
 
+def give_back() -> None:
+    """Returns the worker's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU C library
+        pass
+
+
 def lean(run: Callable) -> Callable:
     """``run`` over a partition's batches, after which the worker gives its free memory back. Workers
     wait for further tasks; else they keep the most that any earlier task needed."""
@@ -33,11 +43,7 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # not the GNU C library
-                pass
+            give_back()
 
     return partition
 
@@ -118,13 +124,13 @@ def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return begin, end, np.searchsorted(begin, off)
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, pows: Powers, lower: bool) -> np.ndarray:
-    """64-bit hashes of the words; with ``lower`` A-Z count as a-z."""
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, pows: Powers, lower: bool, other: bool = False) -> np.ndarray:
+    """64-bit hashes of the words; with ``lower`` A-Z count as a-z. ``other`` gives a second, independent hash."""
     if not len(begin):
         return np.zeros(0, U)
     up, down = pows.get(len(data) + 1)
     total = np.zeros(len(data) + 1, U)
-    np.cumsum((_LOWER_CODE if lower else _CODE)[data] * up[: len(data)], out=total[1:])
+    np.cumsum((_OTHER_CODE if other else _LOWER_CODE if lower else _CODE)[data] * up[: len(data)], out=total[1:])
     return mix((total[end] - total[begin]) * down[begin] ^ (end - begin).astype(U) * U(0xD6E8FEB86659FD93))
 
 

@@ -22,11 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.textnp import Powers, chunks, strings, word_hashes, words
+from quantloom.llm.textnp import Powers, chunks, give_back, lean, strings, word_hashes, words
 from quantloom.llm.workspace import Workspace
 
 #: Pieces remembered by one Python worker; beyond it the memory is emptied and filled anew.
-PIECES = 400_000
+PIECES = 60_000
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 _LEADS = np.zeros(256, bool)  # first bytes of those characters
 _LEADS[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
@@ -155,6 +155,7 @@ def encoder(path: str) -> Encoder:
     made = stash.__dict__.setdefault("encoders", {})
     if path not in made:
         made[path] = Encoder(path)
+        give_back()  # reading the file takes more memory than its encoder
     return made[path]
 
 
@@ -206,7 +207,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_dir: str, *, doc_id: str
     if known is not None:
         missing = missing.join(known.select("digest"), "digest", "left_anti")
     missing = missing.groupBy("digest").agg(F.first("text").alias("text"))
-    missing.mapInArrow(encode, "digest binary, n_tokens long").withColumn("version", F.lit(version)).write.mode("append").parquet(cache_dir)
+    missing.mapInArrow(lean(encode), "digest binary, n_tokens long").withColumn("version", F.lit(version)).write.mode("append").parquet(cache_dir)
     sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return sized.join(stored(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

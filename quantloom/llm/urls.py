@@ -16,9 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.llm.workspace import small_table
+
 Rule = tuple[str, str, str]  # verdict, host, path
 
 #: Up to this many rules are broadcast; a larger list is joined by shuffling both sides.
@@ -53,7 +56,7 @@ def rule_table(spark: SparkSession, rules: Sequence[Rule], prefix_bytes: int = 4
         if seen.get((host.lower(), path)) != "block":
             seen[host.lower(), path] = verdict
     rows = [(h, p, v) for (h, p), v in sorted(seen.items())]
-    df = spark.createDataFrame(rows, "rule_host string, rule_path string, rule_verdict string")
+    df = small_table(spark, rows, pa.schema([(c, pa.string()) for c in ("rule_host", "rule_path", "rule_verdict")]))
     d = _digest(F.col("rule_host"), F.col("rule_path"))
     return df.withColumns({"digest": d, "short": F.substring(d, 1, prefix_bytes)})
 
@@ -73,7 +76,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", def
     distinct = pages.select(F.col(url).alias("u")).where(F.locate("://", "u") > 0).distinct().select("u", host.alias("h"), path.alias("p"))
     prefixes = F.filter(F.transform(F.array(*map(F.lit, lengths)), lambda n: F.when(n <= F.length("p"), F.substring(F.col("p"), F.lit(1), n))), lambda x: x.isNotNull())
     if not lengths:
-        hits = spark.createDataFrame([], "u string, rule string, rule_verdict string")
+        hits = small_table(spark, [], pa.schema([(c, pa.string()) for c in ("u", "rule", "rule_verdict")]))
     else:
         grid = distinct.select("u", F.explode(_suffixes(F.col("h"))).alias("h"), prefixes.alias("ps")).select("u", "h", F.explode("ps").alias("p"))
         grid = grid.select("u", _digest(F.col("h"), F.col("p")).alias("own")).withColumn("short", F.substring("own", 1, prefix_bytes))

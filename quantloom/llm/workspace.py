@@ -10,6 +10,7 @@ import atexit
 import threading
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -79,6 +80,13 @@ class Workspace:
             _delete(self.spark, self.path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A few rows of the driver as a DataFrame. They go by Arrow: a list would start Python workers on
+    the executors only to pickle it."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
