@@ -108,6 +108,22 @@ def test_language_id(spark, docs, none):
     assert [r.lang_pred for r in langid.identify(docs, None).limit(1).collect()] == ["und"]
 
 
+def test_nearest_looks_at_few_points_where_vectors_cluster(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    x = np.repeat(centres, 50, 0) + 0.12 * rng.normal(size=(3000, 32))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ask = F.col("vec_id") % 20 == 0
+    got = {}
+    for r in neighbours.nearest(df, is_query=ask, k=20, width=1.0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & set([i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20])) for q in got)
+    looked = [r.looked for r in neighbours.nearest(df, is_query=ask, k=20, width=1.0, with_work=True).collect()]
+    assert len(got) == len(looked) == 150 and hits / 3000 >= 0.9, hits
+    assert sum(looked) / 150 < 300, sum(looked) / 150  # a tenth of the points
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16)).astype(np.float32)
@@ -166,7 +182,7 @@ def test_feistel_is_a_permutation(spark):
 
 def test_fingerprints(docs, none):
     t = {i: x or "" for i, x in texts().items()}
-    rows = sorted([(i, t[i]) for i in t] + [(0, t[0]), (7, t[7])])
+    rows = sorted([(i, t[i]) for i in t] + [(0, t[0]), (7, t[7])])  # rows of one id here have one text
     got = sorted((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.fingerprint_with_next(docs, blocks=5).collect())
     want = []
     for at, (i, x) in enumerate(rows):
@@ -301,6 +317,9 @@ def test_substrings(docs, none):
     assert len(got) == len(make_docs())
     assert all((r.n_words, r.n_removed, r.kept_sha256, r.kept_text) == want[r.doc_id] for r in got)
     assert sum(w[1] for w in want.values()) > 500
+    for buckets in (1, 7):  # a first hash that collides all the time
+        hard = substrings.dedup_substrings(docs, hash_bits=12, buckets=buckets).collect()
+        assert len(hard) == len(make_docs()) and all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id][:3] for r in hard)
     assert substrings.dedup_substrings(none).count() == 0
 
 
