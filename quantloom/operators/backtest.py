@@ -6,15 +6,20 @@ an entry in the same direction does nothing; a position open at the end stays in
 
 from __future__ import annotations
 
+import copy
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.operators.recurrence import whole_symbols
 from quantloom.schema import Bars
 
 ENTER_LONG, ENTER_SHORT, EXIT, HOLD = "ENTER_LONG", "ENTER_SHORT", "EXIT", "HOLD"
@@ -146,92 +151,182 @@ class Strategy:
 
 @dataclass(frozen=True)
 class Result:
-    """``equity``: one row per bar. ``trades``: closed trades. ``metrics``: one row per key."""
+    """``equity``: one row per bar, with the open position. ``trades``: closed trades. ``metrics``: one
+    row per key. Each is a fold of its own over the bars, so an action on one of them runs one fold."""
 
     equity: DataFrame
     trades: DataFrame
     metrics: DataFrame
 
 
-_FIELDS = "kind string, n long, equity double, cash double, position double, side string, quantity double, entry_price double, exit_price double, entry_seq long, exit_seq long, pnl double, fees double"
+_EQUITY = "bar long, `{seq}` long, equity double, cash double, position double, entry_price double, entry_seq long, unrealised double"
+_TRADES = "trade long, side string, quantity double, entry_price double, exit_price double, entry_seq long, exit_seq long, pnl double, fees double"
+_METRICS = "final_equity double, total_return double, max_drawdown double, sharpe double, win_rate double, trade_count long, profit_factor double"
+_KINDS = (HOLD, ENTER_LONG, ENTER_SHORT, EXIT)
+
+
+@dataclass
+class Account:
+    """What a portfolio is at every bar of a symbol, and its closed trades."""
+
+    cash: np.ndarray
+    held: np.ndarray  # signed units
+    entry: np.ndarray  # NaN while flat
+    entered: np.ndarray
+    trades: list[tuple]
+
+    def equity(self, closes: np.ndarray, config: Config) -> np.ndarray:
+        value = self.held * closes
+        if config.short_mtm == "reference":
+            value = np.where(self.held < 0, -self.held * (2 * self.entry - closes), value)
+        return np.where(self.held == 0, self.cash, self.cash + value)
+
+
+def keep_account(p: Portfolio, closes: np.ndarray, seqs: np.ndarray, act: Callable[[int], Action], at: np.ndarray) -> Account:
+    """Applies ``act(i)`` at the bars ``at``; the portfolio is the same at all bars between."""
+    n = len(closes)
+    out = Account(np.empty(n), np.empty(n), np.empty(n), np.zeros(n, np.int64), p.trades)
+
+    def until(begin: int, end: int) -> None:
+        out.cash[begin:end], out.held[begin:end] = p.cash, p.side * p.quantity
+        out.entry[begin:end], out.entered[begin:end] = (p.entry, p.entered) if p.side else (np.nan, 0)
+
+    begin = 0
+    for i in at.tolist():
+        until(begin, i)
+        p.apply(act(i), float(closes[i]), int(seqs[i]))
+        begin = i
+    until(begin, n)
+    return out
+
+
+def measures(equity: np.ndarray, trades: list[tuple], config: Config) -> tuple:
+    """Final equity, returns, drawdown, Sharpe ratio and trade statistics of one backtest."""
+    peak = np.maximum.accumulate(np.append(config.cash, equity))[1:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        drop = np.where(peak > 0, (peak - equity) / peak, 0.0)
+        returns = ((equity[1:] - equity[:-1]) / equity[:-1])[equity[:-1] > 0]
+    spread = returns.std(ddof=1) if len(returns) > 1 else 0.0
+    pnl = np.array([t[6] for t in trades])
+    gain, loss = pnl[pnl > 0].sum(), pnl[pnl <= 0].sum()
+    return (
+        float(equity[-1]), float((equity[-1] - config.cash) / config.cash) if config.cash > 0 else 0.0, float(max(0.0, np.nanmax(drop, initial=0.0))),
+        float(returns.mean() / spread * math.sqrt(config.periods_per_year)) if spread > 0 else 0.0,
+        float((pnl > 0).mean()) if len(pnl) else 0.0, len(pnl), (math.inf if loss == 0 else float(gain / abs(loss))) if len(pnl) else 0.0,
+    )
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """Actions as numbers, 0 for anything that holds."""
+    out = np.zeros(len(column), np.int8)
+    for i, kind in enumerate(_KINDS[1:], 1):
+        out[pc.fill_null(pc.equal(column, kind), False).to_numpy(zero_copy_only=False)] = i
+    return out
 
 
 def run(bars: DataFrame, strategy: Strategy | None = None, *, action: str = "action", quantity: Quantity = Quantity(), config: Config = Config(), keys: tuple[str, ...] = (), c: Bars = Bars()) -> Result:
     """Backtests ``strategy``, or the declarative column ``action`` (ENTER_LONG, ENTER_SHORT, EXIT,
     anything else holds). ``keys`` are further key columns besides the symbol, e.g. a parameter id.
 
-    Each key is one task's group, read once: the fold emits bars and trades together."""
-    import copy
-
+    The fold runs over Arrow batches that hold many symbols, on the partitioning and order that the
+    window columns before it have. With an action column it steps only through bars that act."""
     key = [c.symbol, *keys]
     inputs = [*key, c.ts, c.seq, c.close] if strategy is None else [*key, *c.names[1:]]
     if strategy is None:
         inputs.append(action)
+    source = bars.select(*dict.fromkeys(inputs)).withColumn("_bar", F.row_number().over(Window.partitionBy(*key).orderBy(c.ts, c.seq)))
     types = ", ".join(f"`{k}` {bars.schema[k].dataType.simpleString()}" for k in key)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([c.ts, c.seq], kind="stable")
-        head = [pdf[k].iloc[0] for k in key]
-        p, rows = Portfolio(config), []
-        own = copy.deepcopy(strategy)
-        closes, seqs = pdf[c.close].tolist(), pdf[c.seq].tolist()
-        steps = pdf[action].tolist() if own is None else pdf.to_dict("records")
-        if own is not None:
-            own.on_start(Context(p, 0, closes[0]))
-        for i, (price, at, x) in enumerate(zip(closes, seqs, steps)):
-            a = Action(x, quantity) if own is None else own.on_candle(x, Context(p, i, price))
-            p.apply(a, price, at)
-            rows.append((*head, "bar", i, p.equity(price), p.cash, p.side * p.quantity, None, None, None, None, at, None, None, None))
-        if own is not None:
-            own.on_finish(Context(p, len(closes) - 1, closes[-1]))
-        for i, (side, q, entry, fill, entered, left, pnl, fees) in enumerate(p.trades):
-            rows.append((*head, "trade", i, None, None, None, side, q, entry, fill, entered, left, pnl, fees))
-        out = pd.DataFrame(rows, columns=[*key, *[f.split()[0] for f in _FIELDS.split(", ")]])
-        return out.astype({"n": "int64", "entry_seq": "Int64", "exit_seq": "Int64"})
-
-    both = bars.select(*inputs).groupBy(*key).applyInPandas(fold, f"{types}, {_FIELDS}")
-    equity = both.where("kind = 'bar'").select(*key, F.col("n").alias("bar"), F.col("entry_seq").alias(c.seq), "equity", "cash", "position")
-    trades = both.where("kind = 'trade'").select(*key, F.col("n").alias("trade"), "side", "quantity", "entry_price", "exit_price", "entry_seq", "exit_seq", "pnl", "fees")
-    return Result(equity, trades, metrics(both, key, config))
-
-
-def metrics(both: DataFrame, key: list[str], config: Config) -> DataFrame:
-    """Final equity, returns, drawdown, Sharpe ratio and trade statistics of every key."""
-    w = Window.partitionBy(*key).orderBy("n")
-    bar = both.where("kind = 'bar'")
-    peak = F.greatest(F.lit(config.cash), F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    was = F.lag("equity").over(w)
-    bar = bar.withColumns({"_dd": F.when(peak > 0, F.try_divide(peak - F.col("equity"), peak)).otherwise(F.lit(0.0)), "_r": F.when(was > 0, F.try_divide(F.col("equity") - was, was))})
-    per_bar = bar.groupBy(*key).agg(
-        F.max_by("equity", "n").alias("final_equity"), F.greatest(F.lit(0.0), F.max("_dd")).alias("max_drawdown"),
-        F.count("_r").alias("_n"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"),
-    )
-    pnl = F.col("pnl")
-    per_trade = both.where("kind = 'trade'").groupBy(*key).agg(
-        F.count(F.lit(1)).alias("trade_count"), F.sum((pnl > 0).cast("long")).alias("_wins"),
-        F.sum(F.when(pnl > 0, pnl).otherwise(0.0)).alias("_gain"), F.sum(F.when(pnl > 0, F.lit(0.0)).otherwise(pnl)).alias("_loss"),
-    )
-    j = per_bar.join(per_trade, key, "left")
-    n = F.coalesce("trade_count", F.lit(0))
-    total = F.when(F.lit(config.cash) > 0, (F.col("final_equity") - config.cash) / F.lit(config.cash or 1.0)).otherwise(F.lit(0.0))
-    sharpe = F.when((F.col("_n") < 2) | (F.col("_s") == 0), F.lit(0.0)).otherwise(F.try_divide(F.col("_m"), F.col("_s")) * math.sqrt(config.periods_per_year))
-    factor = F.when(n == 0, F.lit(0.0)).when(F.col("_loss") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col("_gain"), F.abs("_loss")))
-    return j.select(*key, "final_equity", total.alias("total_return"), "max_drawdown", F.coalesce(sharpe, F.lit(0.0)).alias("sharpe"),
-                    F.when(n == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("_wins"), F.col("trade_count"))).alias("win_rate"), n.alias("trade_count"), factor.alias("profit_factor"))
-
-
-#: A grid of parameters is broadcast to the bars; larger grids are refused.
-MAX_GRID = 10_000
-
-
-def sweep(bars: DataFrame, grid: list[dict], add_action, *, quantity: Quantity = Quantity(), config: Config = Config(), c: Bars = Bars()) -> DataFrame:
-    """Metrics of every symbol and parameter set; ``add_action(bars, params)`` adds the column ``action``.
-
-    All parameter sets share the bars' scan and partitioning; ``param_id`` joins the group key."""
-    if not 0 < len(grid) <= MAX_GRID:
-        raise ValueError(f"the grid needs 1 to {MAX_GRID} entries")
-    acted = [add_action(bars, g).select(c.symbol, c.ts, c.seq, c.close, "action", F.lit(i).alias("param_id")) for i, g in enumerate(grid)]
-    return run(reduce(DataFrame.unionByName, acted), quantity=quantity, config=config, keys=("param_id",), c=c).metrics
+    def accounts(b: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Account]]:
+        closes, seqs = (b.column(x).cast(t).to_numpy(zero_copy_only=False) for x, t in ((c.close, pa.float64()), (c.seq, pa.int64())))
+        codes = _codes(b.column(action)) if strategy is None else None
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows]):
+            p = Portfolio(config)
+            if strategy is None:
+                own = codes[s:e]
+                a = keep_account(p, closes[s:e], seqs[s:e], lambda i, own=own: Action(_KINDS[own[i]], quantity), np.flatnonzero(own))
+            else:
+                live, rows = copy.deepcopy(strategy), b.slice(s, e - s).drop_columns(["_bar"]).to_pylist()
+                live.on_start(Context(p, 0, rows[0][c.close]))
+                a = keep_account(p, closes[s:e], seqs[s:e], lambda i, live=live, rows=rows, p=p: live.on_candle(rows[i], Context(p, i, rows[i][c.close])), np.arange(e - s))
+                live.on_finish(Context(p, e - s - 1, rows[-1][c.close]))
+            yield s, e, closes[s:e], seqs[s:e], a
+
+    def of_key(b: pa.RecordBatch, at: list[int]) -> list[pa.Array]:
+        return [b.column(k).take(pa.array(at, pa.int64())) for k in key]
+
+    def equity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, starts in whole_symbols(batches):
+            got = list(accounts(b, starts))
+            cash, held, entry, entered = (np.concatenate([getattr(a, x) for *_, a in got]) for x in ("cash", "held", "entry", "entered"))
+            value, closes = np.concatenate([a.equity(x, config) for _, _, x, _, a in got]), np.concatenate([x for _, _, x, *_ in got])
+            flat = held == 0
+            cols = [b.column("_bar").to_numpy().astype(np.int64) - 1, np.concatenate([x for *_, x, _ in got]), value, cash, held]
+            opened = [pa.array(x, mask=flat) for x in (entry, entered, held * (closes - entry))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in key), *map(pa.array, cols), *opened], names=[*key, "bar", c.seq, "equity", "cash", "position", "entry_price", "entry_seq", "unrealised"])
+
+    def trades(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        for b, starts in whole_symbols(batches):
+            rows = [(s, i, *t) for s, *_, a in accounts(b, starts) for i, t in enumerate(a.trades)]
+            at, *cols = zip(*rows) if rows else [()] * 10
+            yield pa.RecordBatch.from_arrays([*of_key(b, list(at)), *(pa.array(x, k) for x, k in zip(cols, kinds))], names=[*key, *[f.split()[0] for f in _TRADES.split(", ")]])
+
+    def metrics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, starts in whole_symbols(batches):
+            rows = [measures(a.equity(x, config), a.trades, config) for _, _, x, _, a in accounts(b, starts)]
+            yield pa.RecordBatch.from_arrays([*of_key(b, starts.tolist()), *_metric_arrays(rows)], names=[*key, *_METRIC_NAMES])
+
+    return Result(source.mapInArrow(equity, f"{types}, {_EQUITY.format(seq=c.seq)}"), source.mapInArrow(trades, f"{types}, {_TRADES}"), source.mapInArrow(metrics, f"{types}, {_METRICS}"))
+
+
+_METRIC_NAMES = [f.split()[0] for f in _METRICS.split(", ")]
+
+
+def _metric_arrays(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(x, pa.int64() if n == "trade_count" else pa.float64()) for x, n in zip(zip(*rows), _METRIC_NAMES)]
+
+
+#: Parameter sets that share one pass over the bars.
+AT_ONCE = 32
+
+
+def sweep(bars: DataFrame, grid: list[dict], add_action, *, prepare=None, quantity: Quantity = Quantity(), config: Config = Config(), at_once: int = AT_ONCE, c: Bars = Bars()) -> DataFrame:
+    """Metrics of every symbol and parameter set (``param_id``, its place in the grid).
+
+    ``add_action(bars, params)`` adds the column ``action``; ``prepare(bars)`` may add columns that all
+    parameter sets share, such as the averages of every period. The actions of ``at_once`` sets are
+    columns side by side: one scan, exchange, sort and fold for all of them."""
+    if not grid:
+        raise ValueError("the grid is empty")
+    df = prepare(bars) if prepare else bars
+    shared, base = df, df.columns
+
+    def part(begin: int) -> DataFrame:
+        df, made = shared, []
+        for i in range(begin, min(begin + at_once, len(grid))):
+            df = add_action(df, grid[i]).withColumnRenamed("action", f"_action_{i}")
+            made.append(f"_action_{i}")
+            df = df.select(*base, *made)
+        source = df.select(c.symbol, c.ts, c.seq, c.close, *made).withColumn("_bar", F.row_number().over(c.window()))
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, starts in whole_symbols(batches):
+                closes, seqs = (b.column(x).cast(t).to_numpy(zero_copy_only=False) for x, t in ((c.close, pa.float64()), (c.seq, pa.int64())))
+                ends, rows, at, ids = [*starts[1:].tolist(), b.num_rows], [], [], []
+                for i, name in enumerate(made, begin):
+                    codes = _codes(b.column(name))
+                    for s, e in zip(starts.tolist(), ends):
+                        own = codes[s:e]
+                        a = keep_account(Portfolio(config), closes[s:e], seqs[s:e], lambda j, own=own: Action(_KINDS[own[j]], quantity), np.flatnonzero(own))
+                        rows.append(measures(a.equity(closes[s:e], config), a.trades, config))
+                        at.append(s)
+                        ids.append(i)
+                yield pa.RecordBatch.from_arrays([b.column(c.symbol).take(pa.array(at, pa.int64())), pa.array(ids, pa.int32()), *_metric_arrays(rows)], names=[c.symbol, "param_id", *_METRIC_NAMES])
+
+        return source.mapInArrow(fold, f"`{c.symbol}` {bars.schema[c.symbol].dataType.simpleString()}, param_id int, {_METRICS}")
+
+    return reduce(DataFrame.unionAll, [part(i) for i in range(0, len(grid), at_once)])
 
 
 def action_of(event: Column) -> Column:

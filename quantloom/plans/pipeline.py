@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quantloom.functions.indicator import ColumnIndicator, Indicator, SeriesIndicator
+from quantloom.operators.recurrence import whole_symbols
 from quantloom.schema import Bars
 from quantloom.streaming import steppers  # noqa: F401  registers the bar-by-bar forms
 
@@ -80,27 +81,7 @@ def _grouped(df: DataFrame, wanted: dict[str, SeriesIndicator], c: Bars) -> Data
         return pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(y, pa.float64(), mask=np.isnan(y)) for y in arrays]], names=[*b.schema.names[:-1], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rn = b.column(b.num_columns - 1).to_numpy()
-            if ((rn != 1) & (rn != np.append(last, rn[:-1]) + 1)).any():
-                raise RuntimeError("bars did not arrive in order")
-            last = int(rn[-1])
-            starts = np.flatnonzero(rn == 1)
-            if not len(starts):
-                held.append(b)
-                continue
-            if starts[0]:
-                held.append(b.slice(0, starts[0]))
-            if held:
-                yield extended(pa.concat_batches(held), np.array([0]))
-            if len(starts) > 1:
-                yield extended(b.slice(starts[0], starts[-1] - starts[0]), starts[:-1] - starts[0])
-            held = [b.slice(starts[-1])]
-        if held:
-            yield extended(pa.concat_batches(held), np.array([0]))
+        for b, starts in whole_symbols(batches):
+            yield extended(b, starts)
 
     return df.withColumn("_bar", F.row_number().over(c.window())).mapInArrow(run, schema)

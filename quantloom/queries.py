@@ -319,7 +319,10 @@ _GRID = [{"fast": 5, "slow": 20}, {"fast": 3, "slow": 10}]
 
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     bars = numbered(spark, sf).withColumn("seq", F.col("rn").cast("long"))
-    return B.sweep(bars, _GRID, _acted, config=_CONFIG).select("symbol", "param_id", "trade_count", *map(_r, _METRICS))
+    periods = sorted({n for g in _GRID for n in g.values()})
+    averages = lambda df: add_indicators(df, {f"sma_{n}": T.Sma(n) for n in periods})
+    crossing = lambda df, g: df.withColumn("action", B.action_of(S.either(*(f(f"sma_{g['fast']}", f"sma_{g['slow']}") for f in (S.cross_up, S.cross_down)))))
+    return B.sweep(bars, _GRID, crossing, prepare=averages, config=_CONFIG).select("symbol", "param_id", "trade_count", *map(_r, _METRICS))
 
 
 def _fold_sql(fast: int, slow: int) -> tuple[str, ...]:
