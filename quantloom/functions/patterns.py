@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.indicator import Indicator
 from quantloom.schema import Bars
 
 BULLISH, BEARISH, NEUTRAL = "Bullish", "Bearish", "Neutral"
@@ -22,28 +23,36 @@ class PatternConfig:
 
 
 class Candle:
-    """Geometry of the bar ``back`` bars ago."""
+    """Geometry of one bar, of columns or of numbers."""
 
-    def __init__(self, c: Bars, back: int = 0):
-        get = lambda name: F.lag(c.col(name), back).over(c.window()) if back else c.col(name)
-        self.o, self.h, self.l, self.c = (get(x) for x in ("open", "high", "low", "close"))
-        self.body = F.abs(self.c - self.o)
-        self.span = self.h - self.l
-        self.upper = self.h - F.greatest(self.o, self.c)
-        self.lower = F.least(self.o, self.c) - self.l
-        self.bull = self.c >= self.o
-        self.bear = self.c < self.o
+    def __init__(self, o, h, l, c, size=abs, high=max, low=min):
+        self.o, self.h, self.l, self.c = o, h, l, c
+        self.body = size(c - o)
+        self.span = h - l
+        self.upper = h - high(o, c)
+        self.lower = low(o, c) - l
+        self.bull = c >= o
+        self.bear = c < o
+
+
+def _lagged(c: Bars, back: int) -> Candle:
+    get = lambda name: F.lag(c.col(name), back).over(c.window()) if back else c.col(name)
+    return Candle(*(get(x) for x in ("open", "high", "low", "close")), F.abs, F.greatest, F.least)
 
 
 def tests(c: Bars = Bars(), cfg: PatternConfig = PatternConfig()) -> dict[str, Column]:
     """A boolean column per pattern; false where earlier bars are missing."""
-    x, p, q = Candle(c), Candle(c, 1), Candle(c, 2)
+    return {k: F.coalesce(v, F.lit(False)) for k, v in rules(*(_lagged(c, i) for i in range(3)), cfg).items()}
+
+
+def rules(x: Candle, p: Candle, q: Candle, cfg: PatternConfig) -> dict:
+    """What each pattern asks of a bar, the one before and the one before that."""
     hammer = (x.body > 0) & (x.lower >= cfg.hammer_wick * x.body) & (x.upper <= cfg.hammer_upper * x.body)
     inverted = (x.body > 0) & (x.upper >= cfg.hammer_wick * x.body) & (x.lower <= cfg.hammer_upper * x.body)
     full = (x.span > 0) & (x.body >= cfg.marubozu_body * x.span)
     star = (p.span > 0) & (p.body <= cfg.star_middle * p.span)
     middle = (q.o + q.c) / 2
-    out = {
+    return {
         "doji": (x.span > 0) & (x.body <= cfg.doji_body * x.span),
         "hammer": hammer,
         "hanging_man": hammer,
@@ -60,7 +69,6 @@ def tests(c: Bars = Bars(), cfg: PatternConfig = PatternConfig()) -> dict[str, C
         "three_white_soldiers": q.bull & p.bull & x.bull & (p.c > q.c) & (x.c > p.c) & (p.o >= q.o) & (p.o <= q.c) & (x.o >= p.o) & (x.o <= p.c),
         "three_black_crows": q.bear & p.bear & x.bear & (p.c < q.c) & (x.c < p.c) & (p.o <= q.o) & (p.o >= q.c) & (x.o <= p.o) & (x.o >= p.c),
     }
-    return {k: F.coalesce(v, F.lit(False)) for k, v in out.items()}
 
 
 SINGLE = ("doji", "hammer", "hanging_man", "inverted_hammer", "shooting_star", "bullish_marubozu", "bearish_marubozu")
@@ -84,3 +92,11 @@ def scan(df: DataFrame, alias: str = "patterns", c: Bars = Bars(), cfg: PatternC
     t = tests(c, cfg)
     hits = F.array(*[F.when(t[n], F.struct(F.lit(n).alias("kind"), F.lit(b).alias("bias"))) for n, b in SCAN])
     return df.withColumn(alias, F.filter(hits, lambda x: x.isNotNull()))
+
+
+@dataclass(frozen=True)
+class LivePatterns(Indicator):
+    """The scan for streams: the kinds that end at the bar, in the scan's order, joined by commas."""
+
+    config: PatternConfig = PatternConfig()
+    types = ("string",)

@@ -101,10 +101,15 @@ class Divergence:
         if self.lookback < 1:
             raise ValueError("lookback must be at least 1")
 
-    def apply(self, df: DataFrame, price: str, osc: str, alias: str = "divergence", c: Bars = Bars()) -> DataFrame:
-        n, w = self.lookback, c.window()
-        least = self.min_distance if self.min_distance is not None else n + 1
-        keep = [x for x in df.columns if x != alias]
+    @property
+    def least_distance(self) -> int:
+        return self.lookback + 1 if self.min_distance is None else self.min_distance
+
+    def apply(self, df: DataFrame, price: str, osc: str, alias: str = "divergence", *, swings: bool = False, c: Bars = Bars()) -> DataFrame:
+        """Adds the event; with ``swings`` also ``alias_high_bar`` and ``alias_low_bar``, the numbers (from
+        0) of the last swing bars known at each bar."""
+        n, w, least = self.lookback, c.window(), self.least_distance
+        keep = [x for x in df.columns if x not in (alias, *([f"{alias}_high_bar", f"{alias}_low_bar"] if swings else []))]
         df = df.withColumns({"_c": F.lag(price, n).over(w), "_o": F.lag(osc, n).over(w), "_rn": F.row_number().over(w)})
         old, new = w.rowsBetween(-2 * n, -n - 1), w.rowsBetween(-n + 1, 0)
         x, full = F.col("_c"), F.col("_rn") > 2 * n
@@ -119,7 +124,23 @@ class Divergence:
         far = lambda p: F.col("_rn") - p["at"] >= least
         short = F.coalesce(F.col("_hi") & far(h) & (x > h["p"]) & (F.col("_o") < h["o"]), F.lit(False))
         long = F.coalesce(F.col("_lo") & far(l) & (x < l["p"]) & (F.col("_o") > l["o"]), F.lit(False))
-        return df.withColumn("_event", F.when(full, F.when(short, F.lit(SHORT)).when(long, F.lit(LONG)).otherwise(F.lit(HOLD)))).select(*keep, F.col("_event").alias(alias))
+        df = df.withColumn("_event", F.when(full, F.when(short, F.lit(SHORT)).when(long, F.lit(LONG)).otherwise(F.lit(HOLD))))
+        bar = lambda now, before: F.when(F.col(now), F.col("_rn")).otherwise(F.col(before)["at"]) - n - 1
+        more = [bar("_hi", "_ph").cast("long").alias(f"{alias}_high_bar"), bar("_lo", "_pl").cast("long").alias(f"{alias}_low_bar")] if swings else []
+        return df.select(*keep, F.col("_event").alias(alias), *more)
+
+
+@dataclass(frozen=True)
+class LiveDivergence(Indicator):
+    """``Divergence`` for streams. ``price`` and ``osc`` are bar fields or (indicator, output suffix);
+    bars before both have values do not count, as in a batch that starts there. Outputs are the event
+    and the numbers of the last swing bars."""
+
+    rule: Divergence
+    price: object = "close"
+    osc: object = None
+    outputs = ("", "high_bar", "low_bar")
+    types = ("string", "double", "double")
 
 
 @dataclass(frozen=True)

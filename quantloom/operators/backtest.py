@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quantloom.functions.indicator import Indicator
 from quantloom.operators.recurrence import whole_symbols
 from quantloom.schema import Bars
 
@@ -332,3 +333,14 @@ def sweep(bars: DataFrame, grid: list[dict], add_action, *, prepare=None, quanti
 def action_of(event: Column) -> Column:
     """LONG, SHORT and EXIT events as actions."""
     return F.when(event == "LONG", F.lit(ENTER_LONG)).when(event == "SHORT", F.lit(ENTER_SHORT)).when(event == "EXIT", F.lit(EXIT)).otherwise(F.lit(HOLD))
+
+
+@dataclass(frozen=True)
+class LiveBacktest(Indicator):
+    """A backtest for streams: acts on the events of ``signal`` at each bar's close. Outputs follow the
+    portfolio; ``realised`` is the profit of all closed trades so far."""
+
+    signal: Indicator
+    quantity: Quantity = Quantity()
+    config: Config = Config()
+    outputs = ("equity", "cash", "position", "trade_count", "realised")

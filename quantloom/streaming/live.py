@@ -1,5 +1,5 @@
-"""Indicators and signals on Structured Streaming, with the results of the batch form. Backtests and
-divergence have no streaming form."""
+"""Indicators, signals, divergence, pattern scans and backtests on Structured Streaming, with the results
+of the batch form."""
 
 from __future__ import annotations
 
@@ -27,6 +27,10 @@ def live_bars(ticks: DataFrame, *, symbol: Column, ts: str, width: str, price: C
     return bars.select(c.symbol, F.col("_w.start").alias(c.ts), F.lit(0).cast("long").alias(c.seq), c.open, c.high, c.low, c.close, c.volume)
 
 
+def _kinds(i: Indicator) -> tuple[str, ...]:
+    return i.types if len(i.types) == len(i.outputs) else i.types * len(i.outputs)
+
+
 class _Bundle(StatefulProcessor):
     """Keeps the steppers of one symbol and the place of its last bar; bars before it are dropped
     and counted in ``late``."""
@@ -69,8 +73,8 @@ class _Bundle(StatefulProcessor):
         names = [*self.columns, *[n for a, i in self.wanted.items() for n in i.names(a)], "late"]
         frame = pd.DataFrame(out, columns=names)
         for a, i in self.wanted.items():
-            for n in i.names(a):
-                frame[n] = frame[n].astype("Float64" if i.types[0] == "double" else "object")
+            for n, kind in zip(i.names(a), _kinds(i)):
+                frame[n] = frame[n].astype("Float64" if kind == "double" else "object")
         yield frame
 
     def close(self) -> None: ...
@@ -84,6 +88,6 @@ def live_indicators(bars: DataFrame, wanted: dict[str, Indicator], *, history: D
     frame of bars) warms the state up before the stream's first bar.
     """
     columns = list(c.names)
-    schema = StructType([*[bars.schema[x] for x in columns], *[StructField(n, DoubleType() if i.types[0] == "double" else StringType()) for a, i in wanted.items() for n in i.names(a)], StructField("late", LongType())])
+    schema = StructType([*[bars.schema[x] for x in columns], *[StructField(n, DoubleType() if kind == "double" else StringType()) for a, i in wanted.items() for n, kind in zip(i.names(a), _kinds(i))], StructField("late", LongType())])
     before = None if history is None else history.select(*columns).groupBy(c.symbol)
     return bars.select(*columns).groupBy(c.symbol).transformWithStateInPandas(_Bundle(wanted, c, columns, ttl_ms), schema, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None", initialState=before)

@@ -1,4 +1,4 @@
-"""Bar-by-bar form of every indicator: ``next(bar)`` returns the outputs or None during warm-up.
+"""Bar-by-bar form of every indicator, signal, pattern scan and backtest: ``next(bar)`` returns the outputs or None during warm-up.
 
 State is plain Python data, so it pickles into the state store. Results equal the batch form.
 """
@@ -13,7 +13,9 @@ from quantloom.functions import trend as T
 from quantloom.functions import volatility as V
 from quantloom.functions import volume as U
 from quantloom.functions.indicator import STEPPER
-from quantloom.functions.signals import LiveSignal
+from quantloom.functions.patterns import DOUBLE, SCAN, SINGLE, Candle, LivePatterns, rules
+from quantloom.functions.signals import LiveDivergence, LiveSignal
+from quantloom.operators.backtest import Action, LiveBacktest, Portfolio
 
 
 class Stepper:
@@ -455,6 +457,74 @@ class SignalStep(Stepper):
         return "EXIT" if "EXIT" in e else None if None in e else "HOLD"
 
 
+class DivergenceStep(Stepper):
+    """Keeps 2 L + 1 pairs and the last swing of either kind; None until a swing can be known."""
+
+    def clear(self):
+        self.inner = [x[0].start() for x in (self.spec.price, self.spec.osc) if not isinstance(x, str)]
+        self.kept: deque = deque(maxlen=2 * self.spec.rule.lookback + 1)
+        self.seen, self.high, self.low = 0, None, None
+
+    def step(self, bar):
+        inner, pair, s = iter(self.inner), [], self.spec
+        for source in (s.price, s.osc):
+            if isinstance(source, str):
+                pair.append(bar[source])
+            else:
+                got = next(inner).next(bar)
+                pair.append(None if got is None else got[source[1]])
+        if None in pair:
+            return None
+        self.kept.append(pair)
+        self.seen += 1
+        n = s.rule.lookback
+        if self.seen <= 2 * n:
+            return None
+        x, o = self.kept[n]
+        others = [p for i, (p, _) in enumerate(self.kept) if i != n]
+        at, event = self.seen - 1 - n, "HOLD"
+        if x > max(others):
+            old, self.high = self.high, (x, o, at)
+            if old and at - old[2] >= s.rule.least_distance and x > old[0] and o < old[1]:
+                event = "SHORT"
+        if x < min(others):
+            old, self.low = self.low, (x, o, at)
+            if old and at - old[2] >= s.rule.least_distance and x < old[0] and o > old[1]:
+                event = "LONG"
+        place = lambda swing: None if swing is None else float(swing[2])
+        return {"": event, "high_bar": place(self.high), "low_bar": place(self.low)}
+
+
+class PatternStep(Stepper):
+    def clear(self):
+        self.kept: deque = deque(maxlen=3)
+
+    def step(self, bar):
+        self.kept.append([bar[x] for x in ("open", "high", "low", "close")])
+        x, p, q = (Candle(*b) for b in [*reversed(self.kept), *[self.kept[0]] * 2][:3])  # what is missing is not asked
+        hit = rules(x, p, q, self.spec.config)
+        known = {1: SINGLE, 2: SINGLE + DOUBLE}.get(len(self.kept), tuple(hit))
+        return {"": ",".join(k for k, _ in SCAN if k in known and hit[k])}
+
+
+class BacktestStep(Stepper):
+    def clear(self):
+        self.inner = [self.spec.signal.start()]
+        self.cash, self.side, self.quantity, self.entry, self.entered = self.spec.config.cash, 0, 0.0, 0.0, None
+        self.trades, self.realised = 0, 0.0
+
+    def step(self, bar):
+        s, got = self.spec, self.inner[0].next(bar)
+        p = Portfolio(s.config)
+        p.cash, p.side, p.quantity, p.entry, p.entered = self.cash, self.side, self.quantity, self.entry, self.entered
+        event = None if got is None else got[""]
+        p.apply(Action({"LONG": "ENTER_LONG", "SHORT": "ENTER_SHORT", "EXIT": "EXIT"}.get(event, "HOLD"), s.quantity), bar["close"], self.bars - 1)
+        self.cash, self.side, self.quantity, self.entry, self.entered = p.cash, p.side, p.quantity, p.entry, p.entered
+        self.trades += len(p.trades)
+        self.realised += sum(t[6] for t in p.trades)
+        return {"equity": p.equity(bar["close"]), "cash": p.cash, "position": p.side * p.quantity, "trade_count": float(self.trades), "realised": self.realised}
+
+
 def stepper(spec) -> Stepper:
     n = getattr(spec, "n", 0)
     rolling = {
@@ -476,6 +546,7 @@ def stepper(spec) -> Stepper:
     single = {
         T.Ema: EmaStep, T.Dema: ChainStep, T.Tema: ChainStep, T.Macd: MacdStep, T.Adx: AdxStep, T.ParabolicSar: SarStep, T.HeikinAshi: HeikinAshiStep,
         M.Rsi: RsiStep, V.Atr: AtrStep, V.Keltner: KeltnerStep, V.KeltnerPrice: KeltnerPriceStep, U.Obv: ObvStep, U.Adl: AdlStep, U.Vwap: VwapStep, LiveSignal: SignalStep,
+        LiveDivergence: DivergenceStep, LivePatterns: PatternStep, LiveBacktest: BacktestStep,
     }
     if kind in single:
         return single[kind](spec)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import momentum as M
+from quantloom.functions import patterns as P
 from quantloom.functions import signals as S
 from quantloom.functions import trend as T
 from quantloom.functions import volatility as V
@@ -152,6 +153,10 @@ def test_true_range_column(spark):
     assert (g.tr - V.true_range(g.high.to_numpy(), g.low.to_numpy(), g.close.to_numpy())).abs().max() < 1e-12
 
 
+def df_close(rows, r):
+    return next(x[COLS.index("close")] for x in rows if x[:2] == (r.symbol, r.seq))
+
+
 LIVE = {
     "up": S.LiveSignal("cross_up", ((T.Sma(3), ""), (T.Sma(8), ""))), "down": S.LiveSignal("cross_down", ((T.Sma(3), ""), (T.Sma(8), ""))),
     "over": S.LiveSignal("threshold_above", ((M.Rsi(5), ""),), 60.0), "under": S.LiveSignal("threshold_below", ((M.Rsi(5), ""),), 40.0),
@@ -182,6 +187,62 @@ def test_live_signals_equal_batch(spark, tmp_path):
         S.LiveSignal("cross_up", ("close",))
 
 
+def test_live_divergence_patterns_and_backtest_equal_batch(spark, tmp_path):
+    rows = walk("a", 150, 21) + walk("b", 70, 22)
+    df = frame(spark, rows)
+    src = f"{tmp_path}/src"
+    for k in range(3):
+        df.where(f"ts BETWEEN {50 * k} AND {50 * k + 49}").coalesce(1).write.mode("append").parquet(src)
+    config = B.Config(fee=0.002, slippage=0.001)
+    rule = S.Divergence(2, 2)
+    wanted = {"div": S.LiveDivergence(rule, "close", "volume"), "lag": S.LiveDivergence(rule, "close", (M.Rsi(5), "")), "pat": P.LivePatterns(), "bt": B.LiveBacktest(LIVE["or"], config=config)}
+    q = live_indicators(spark.readStream.schema(df.schema).parquet(src), wanted).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(240)
+    got = {(r.symbol, r.ts): r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    batch = rule.apply(df, "close", "volume", "div", swings=True)
+    warm = rule.apply(add_indicators(df, {"r": M.Rsi(5)}).where("r IS NOT NULL"), "close", "r", "lag", swings=True)
+    scanned = P.scan(batch).withColumn("pat", F.array_join("patterns.kind", ","))
+    crossed = add_indicators(df, {"f": T.Sma(3), "s": T.Sma(8)}).withColumn("action", B.action_of(S.either(S.cross_up("f", "s"), S.cross_down("f", "s"))))
+    result = B.run(crossed.withColumn("seq", F.col("ts")), config=config)
+    none = lambda x: None if x is None or x != x else x
+    events = set()
+    for r in scanned.collect():
+        g = got[r.symbol, r.ts]
+        assert (g.div, none(g.div_high_bar), none(g.div_low_bar)) == (r.div, *((r.div_high_bar, r.div_low_bar) if r.div else (None, None))) and g.pat == r.pat
+        events |= {r.div, r.pat}
+    for r in warm.collect():
+        g = got[r.symbol, r.ts]
+        assert (g.lag, none(g.lag_high_bar), none(g.lag_low_bar)) == (r.lag, *((r.lag_high_bar, r.lag_low_bar) if r.lag else (None, None)))
+    assert len(got) == 220 and {"LONG", "SHORT", "HOLD", None} <= events and len(events) > 8
+    for r in result.equity.collect():
+        g = got[r.symbol, r.seq]
+        assert (g.bt_equity, g.bt_cash, g.bt_position) == (r.equity, r.cash, r.position)
+        assert (r.entry_price is None) == (r.position == 0) and (r.position == 0 or abs(r.unrealised - r.position * (df_close(rows, r) - r.entry_price)) < 1e-9)
+    for r in result.trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("p")).collect():
+        g = max((x for k, x in got.items() if k[0] == r.symbol), key=lambda x: x.ts)
+        assert g.bt_trade_count == r.n > 3 and abs(g.bt_realised - r.p) < 1e-9
+
+
+def test_sweep_equals_single_backtests(spark):
+    df = frame(spark, walk("a", 90, 31) + walk("b", 90, 32)).drop("seq").withColumn("seq", F.col("ts"))
+    grid = [{"f": f, "s": s} for f in (2, 3) for s in (5, 8, 13)]
+    act = lambda d, g: d.withColumn("action", B.action_of(S.either(S.cross_up(f"m{g['f']}", f"m{g['s']}"), S.cross_down(f"m{g['f']}", f"m{g['s']}"))))
+    ready = lambda d: add_indicators(d, {f"m{n}": T.Sma(n) for n in (2, 3, 5, 8, 13)})
+    for at_once in (4, 32):
+        swept = B.sweep(df, grid, act, prepare=ready, at_once=at_once)
+        got = {(r.symbol, r.param_id): tuple(r)[2:] for r in swept.collect()}
+        want = {(r.symbol, i): tuple(r)[1:] for i, g in enumerate(grid) for r in B.run(act(ready(df), g)).metrics.collect()}
+        assert got == want and len(got) == 12
+    plan = B.sweep(df, grid, act, prepare=ready)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
+def test_one_fold_for_metrics(spark):
+    df = frame(spark, walk("a", 60, 5)).withColumn("action", F.lit(H))
+    plan = B.run(df).metrics._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_live_bars_equal_resampled(spark, tmp_path):
     ev = spark.read.parquet(f"{SF}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id", "value")
     ev.coalesce(1).write.parquet(f"{tmp_path}/ev")
