@@ -6,6 +6,8 @@ to six places on both sides.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +24,7 @@ from quantloom.functions.indicator import Indicator
 from quantloom.operators import backtest as B
 from quantloom.plans.pipeline import add_indicators
 from quantloom.schema import Bars
-from quantloom.sources.bars import enriched, resample
+from quantloom.sources.bars import CsvLayout, enriched, read_csv, resample, write_csv
 
 C = Bars()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -325,7 +327,27 @@ def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     return B.sweep(bars, _GRID, crossing, prepare=averages, config=_CONFIG).select("symbol", "param_id", "trade_count", *map(_r, _METRICS))
 
 
-def _fold_sql(fast: int, slow: int) -> tuple[str, ...]:
+class _Crossing(B.Strategy):
+    """The crossover as a strategy object with averages of its own."""
+
+    def on_start(self, context: B.Context) -> None:
+        self.signal = S.LiveSignal("either", legs=tuple(S.LiveSignal(k, ((T.Sma(5), ""), (T.Sma(20), ""))) for k in ("cross_up", "cross_down"))).start()
+
+    def on_candle(self, bar: dict, context: B.Context) -> B.Action:
+        return B.Action({"LONG": B.ENTER_LONG, "SHORT": B.ENTER_SHORT}.get(self.signal.next(bar)[""], B.HOLD))
+
+
+def _strategy(spark: SparkSession, sf: str) -> DataFrame:
+    t = B.run(numbered(spark, sf).withColumn("seq", F.col("rn").cast("long")), _Crossing(), config=_CONFIG).trades
+    return t.select("symbol", F.col("exit_seq").cast("int").alias("rn"), "side", *[_r(c) for c in ("quantity", "entry_price", "exit_price", "pnl", "fees")])
+
+
+def _percent(spark: SparkSession, sf: str) -> DataFrame:
+    r = B.run(_acted(numbered(spark, sf), {"fast": 5, "slow": 20}).withColumn("seq", F.col("rn").cast("long")), quantity=B.Quantity("percent_cash", 0.25), config=_CONFIG)
+    return r.equity.select("symbol", F.col("seq").cast("int").alias("rn"), *[_r(c) for c in ("equity", "cash", "position", "entry_price")])
+
+
+def _fold_sql(fast: int, slow: int, share: str = "1.0") -> tuple[str, ...]:
     """The backtest as a recursion over bars: state is cash, side, quantity and entry price."""
     fee, slip = _CONFIG.fee, _CONFIG.slippage
     buy, sell = f"(close * {1 + slip!r})", f"(close * {1 - slip!r})"
@@ -337,11 +359,11 @@ def _fold_sql(fast: int, slow: int) -> tuple[str, ...]:
              UNION ALL
              SELECT symbol, rn, CASE WHEN opens THEN CASE WHEN act = 1 THEN c1 - units * {buy} * {1 + fee!r} ELSE c1 + units * {sell} * {1 - fee!r} END ELSE c1 END, CASE WHEN opens THEN act WHEN closes THEN 0 ELSE side END,
                CASE WHEN opens THEN units ELSE q END, CASE WHEN opens THEN CASE WHEN act = 1 THEN {buy} ELSE {sell} END ELSE entry END, close, closes, side, q, entry, ex
-             FROM (SELECT *, act <> 0 AND (side = 0 OR closes) AND c1 > 0 AS opens, c1 / (CASE WHEN act = 1 THEN {buy} ELSE {sell} END * {1 + fee!r}) AS units
+             FROM (SELECT *, act <> 0 AND (side = 0 OR closes) AND c1 > 0 AS opens, {share} * c1 / (CASE WHEN act = 1 THEN {buy} ELSE {sell} END * {1 + fee!r}) AS units
                FROM (SELECT *, CASE WHEN closes THEN cash + side * q * ex - q * ex * {fee!r} ELSE cash END AS c1
                  FROM (SELECT p.cash, p.side, p.q, p.entry, s.symbol, s.rn, s.close, s.act, s.act <> 0 AND p.side = -s.act AS closes, CASE WHEN p.side = 1 THEN s.close * {1 - slip!r} ELSE s.close * {1 + slip!r} END AS ex
                        FROM f p JOIN ac s ON s.symbol = p.symbol AND s.rn = p.rn + 1))))""",
-        f"""eq AS (SELECT symbol, rn, cash, side * q AS position, CASE WHEN side = 0 THEN cash ELSE cash + side * q * close END AS equity FROM f WHERE rn > 0)""",
+        f"""eq AS (SELECT symbol, rn, cash, side * q AS position, CASE WHEN side = 0 THEN cash ELSE cash + side * q * close END AS equity, CASE WHEN side <> 0 THEN entry END AS entry_price FROM f WHERE rn > 0)""",
         f"""tr AS (SELECT symbol, rn, CASE WHEN was = 1 THEN 'LONG' ELSE 'SHORT' END AS side, wq AS quantity, wentry AS entry_price, exit AS exit_price,
                was * wq * (exit - wentry) - (wentry + exit) * wq * {fee!r} AS pnl, (wentry + exit) * wq * {fee!r} AS fees FROM f WHERE closed)""",
     )
@@ -373,6 +395,57 @@ _CSV = sql(
 )
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and the executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{root or 'file://' + tempfile.gettempdir()}/quantloom-csv-{uuid.uuid4().hex}"
+
+
+def _csv_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of all events as CSV files, read by position with a date format, and averaged."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("ts", "event_id", "value")
+    bars = resample(e, symbol=F.lit("all"), bucket=F.date_trunc("hour", "ts"), price=F.col("value"), volume=F.lit(1), order=[F.col("ts"), F.col("event_id")])
+    path = _scratch(spark)
+    write_csv(enriched(bars.withColumn("date", F.date_format("ts", "yyyy-MM-dd HH")), {}), path)
+    df = add_indicators(read_csv(spark, path, CsvLayout(date_format="%Y-%m-%d %H"), symbol="all"), {"sma": T.Sma(5)})
+    return df.select("symbol", "date", F.date_format("ts", "yyyy-MM-dd HH").alias("parsed"), *[_r(x) for x in ("open", "high", "low", "close", "volume", "sma")])
+
+
+_CSV_READ = f"""WITH b AS (SELECT 'all' AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
+  CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM b)
+SELECT symbol, strftime(ts, '%Y-%m-%d %H') AS date, strftime(ts, '%Y-%m-%d %H') AS parsed, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume,
+  round(CASE WHEN rn >= 5 THEN avg(close) {_w(5)} END, 6) AS sma FROM x"""
+
+
+def _std_aggregate(spark: SparkSession, sf: str) -> DataFrame:
+    return numbered(spark, sf).groupBy("symbol").agg(_r(V.standard_deviation(F.col("close")), "std"))
+
+
+def _adx_flat(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars 1 to 9 and 40 to 52 of every symbol stand still."""
+    still = F.col("rn").between(1, 9) | F.col("rn").between(40, 52)
+    df = numbered(spark, sf).withColumns({x: F.when(still, F.lit(50.0)).otherwise(F.col(x)) for x in ("open", "high", "low", "close")})
+    return add_indicators(df, {"adx": T.Adx(4)}).select("symbol", "rn", *map(_r, ("adx_plus_di", "adx_minus_di", "adx_adx")))
+
+
+def _adx_flat_sql() -> str:
+    still = "rn BETWEEN 1 AND 9 OR rn BETWEEN 40 AND 52"
+    return sql(
+        _out({"adx_plus_di": "CASE WHEN t = 0 THEN 0 WHEN a.y IS NOT NULL THEN p END", "adx_minus_di": "CASE WHEN t = 0 THEN 0 WHEN a.y IS NOT NULL THEN m END", "adx_adx": "CASE WHEN t = 0 THEN 0 ELSE a.y END"},
+             "(SELECT w.symbol, w.rn, di.t, di.p, di.m, ks.k FROM w LEFT JOIN di USING (symbol, rn) LEFT JOIN ks USING (symbol, rn)) z LEFT JOIN (SELECT symbol, rn AS k, y FROM a) a USING (symbol, k)"),
+        f"w AS MATERIALIZED (SELECT symbol, rn, " + ", ".join(f"CASE WHEN {still} THEN 50.0 ELSE {x} END AS {x}" for x in ("high", "low", "close")) + " FROM x)",
+        f"""dm AS MATERIALIZED (SELECT symbol, rn, greatest(high - low, abs(high - {_lag('close')}), abs(low - {_lag('close')})) AS tr,
+          CASE WHEN high - {_lag('high')} > {_lag('low')} - low AND high > {_lag('high')} THEN high - {_lag('high')} ELSE 0.0 END AS pdm,
+          CASE WHEN {_lag('low')} - low > high - {_lag('high')} AND low < {_lag('low')} THEN {_lag('low')} - low ELSE 0.0 END AS mdm FROM w)""",
+        _wilder("st", "dm", "tr", 4, 2), _wilder("sp", "dm", "pdm", 4, 2), _wilder("sm", "dm", "mdm", 4, 2),
+        "di AS MATERIALIZED (SELECT symbol, rn, st.y AS t, 100 * sp.y / nullif(st.y, 0) AS p, 100 * sm.y / nullif(st.y, 0) AS m FROM st JOIN sp USING (symbol, rn) JOIN sm USING (symbol, rn))",
+        "ks AS MATERIALIZED (SELECT symbol, rn, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS k, CASE WHEN p + m = 0 THEN 0 ELSE 100 * abs(p - m) / (p + m) END AS dx FROM di WHERE t <> 0)",
+        "kx AS MATERIALIZED (SELECT symbol, CAST(k AS INTEGER) AS rn, dx FROM ks)", _wilder("a", "kx", "dx", 4),
+    )
+
+
 def _bars_query(spark: SparkSession, sf: str) -> DataFrame:
     return numbered(spark, sf).select("symbol", "rn", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), *[_r(x) for x in ("open", "high", "low", "close", "volume")])
 
@@ -394,7 +467,8 @@ def queries() -> dict[str, Query]:
     out |= {n: q for n, (q, _) in _SIGNALS.items()}
     out |= {"divergence": _divergence, "patterns_single": _patterns(P.SINGLE), "patterns_double": _patterns(P.DOUBLE), "patterns_triple": _patterns(P.TRIPLE), "pattern_scan": _scan}
     out |= {n: _sized(n) for n in _SIZES}
-    return out | {"backtest_equity": _equity, "backtest_trades": _trades, "backtest_metrics": _metrics, "backtest_sweep": _sweep, "csv_enrich": _csv}
+    return out | {"backtest_equity": _equity, "backtest_trades": _trades, "backtest_metrics": _metrics, "backtest_sweep": _sweep, "csv_enrich": _csv, "csv_read": _csv_read, "strategy_object": _strategy, "quantity_percent": _percent,
+                  "ema_initial": indicator_query("ema_initial", T.Ema(10, initial=100.0)), "adx_flat": _adx_flat, "std_aggregate": _std_aggregate}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -409,4 +483,8 @@ def oracle_sql() -> dict[str, str]:
     out["backtest_trades"] = sql("SELECT symbol, rn, side, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("quantity", "entry_price", "exit_price", "pnl", "fees")) + " FROM tr", *fold)
     out["backtest_metrics"] = sql(_metric_sql(), *fold)
     out["backtest_sweep"] = " UNION ALL ".join(f"SELECT * FROM ({sql(_metric_sql(f'{i} AS param_id,'), *_fold_sql(g['fast'], g['slow']))})" for i, g in enumerate(_GRID))
-    return out | {"csv_enrich": _CSV}
+    a = _ema(10)
+    out["ema_initial"] = sql(_out({"ema_initial": "y"}, "e"), _rec("e", "x", "close", a).replace("close AS y", f"{a!r} * close + {(1 - a) * 100!r} AS y", 1))
+    out["quantity_percent"] = sql("SELECT symbol, rn, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("equity", "cash", "position", "entry_price")) + " FROM eq", *_fold_sql(5, 20, "0.25"))
+    out["std_aggregate"] = sql("SELECT symbol, round(stddev_pop(close), 6) AS std FROM x GROUP BY symbol")
+    return out | {"csv_enrich": _CSV, "csv_read": _CSV_READ, "strategy_object": out["backtest_trades"], "adx_flat": _adx_flat_sql()}

@@ -263,7 +263,7 @@ def same(spark, names, q, o, con):
         a, b = q[n](spark, SF).toPandas(), con.sql(o[n]).df()
         cols = sorted(a.columns)
         assert cols == sorted(b.columns) and len(a) == len(b), n
-        key = [c for c in ("symbol", "rn", "param_id", "place", "Date", "Hour") if c in cols]
+        key = [c for c in ("symbol", "rn", "param_id", "place", "Date", "Hour", "date") if c in cols]
         a, b = a[cols].sort_values(key, ignore_index=True), b[cols].sort_values(key, ignore_index=True)
         for c in cols:
             x, y = a[c], b[c]
@@ -279,5 +279,5 @@ def test_queries_equal_sql(spark):
     assert set(q) == set(o) and set(q) <= set(entry.queries())
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS FROM '{SF}/events.parquet'")
-    same(spark, ["sma_crossover", "ohlcv_bars", "adx", "sar", "rsi", "cci", "mfi", "divergence", "pattern_scan", "backtest_trades", "backtest_metrics", "csv_enrich", "breakout", "signal_or"], q, o, con)
+    same(spark, ["sma_crossover", "ohlcv_bars", "adx", "sar", "rsi", "cci", "mfi", "divergence", "pattern_scan", "backtest_trades", "backtest_metrics", "csv_enrich", "breakout", "signal_or", "csv_read", "strategy_object", "quantity_percent", "ema_initial", "adx_flat", "std_aggregate", "backtest_sweep"], q, o, con)
     assert entry.entry(spark).count() > 0
