@@ -173,6 +173,101 @@ def test_pseudonyms(spark, docs, none):
     assert pii.pseudonymise(none, "k").count() == 0
 
 
+class PlainPseudonyms:
+    """The formats in plain Python: one value in, its pseudonym out, or the value where it is not valid."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def feistel(self, l, r, a, b, tweak):
+        for i in range(pii.ROUNDS):
+            digest = int(hashlib.sha256(f"{self.key}|{tweak}|{i}|{l if i % 2 else r}".encode()).hexdigest()[:15], 16)
+            l, r = (l, (r + digest) % b) if i % 2 else ((l + digest) % a, r)
+        return l, r
+
+    def number(self, v, a, b, tweak):
+        l, r = self.feistel(v // b, v % b, a, b, tweak)
+        return l * b + r
+
+    def digits(self, d, tweak):
+        u = len(d) // 2
+        l, r = self.feistel(int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u), f"{tweak}{len(d)}")
+        return str(l).zfill(u) + str(r).zfill(len(d) - u)
+
+    @staticmethod
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10
+
+    @staticmethod
+    def refill(m, d):
+        rest = iter(d)
+        return "".join(next(rest) if c.isdigit() else c for c in m)
+
+    def replace(self, m):
+        import datetime
+
+        d = re.sub(r"\D", "", m)
+        if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
+            area, group, serial = map(int, m.split("-"))
+            if area in (0, 666) or area >= 900 or not group or not serial:
+                return m
+            v = self.number(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, "social")
+            area = v // (99 * 9999) + 1
+            return f"{area + (area >= 666):03d}-{v // 9999 % 99 + 1:02d}-{v % 9999 + 1:04d}"
+        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", m):
+            try:
+                n = (datetime.date.fromisoformat(m) - datetime.date(1900, 1, 1)).days
+            except ValueError:
+                return m
+            return str(datetime.date(1900, 1, 1) + datetime.timedelta(self.number(n, 300, 300, "date"))) if 0 <= n < 90_000 else m
+        if re.fullmatch(r"\d+(\.\d+){3}", m):
+            o = [int(x) for x in m.split(".")]
+            if max(o) > 255:
+                return m
+            v = self.number(o[0] << 24 | o[1] << 16 | o[2] << 8 | o[3], 65536, 65536, "address")
+            return ".".join(str(v >> k & 255) for k in (24, 16, 8, 0))
+        if re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}", m):
+            v = self.number(((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10_000 + int(d[6:]), 80_000, 80_000, "phone")
+            return self.refill(m, f"{v // 8_000_000 + 200}{v // 10_000 % 800 + 200}{v % 10_000:04d}")
+        if re.fullmatch(r"\d{4}([ -]\d{4}){3}", m) and not self.luhn(d):
+            body = self.digits(d[:-1], "card")
+            return self.refill(m, body + str(-self.luhn(body + "0") % 10))
+        return m
+
+
+def test_pseudonyms_equal_plain_python(spark):
+    rng = np.random.default_rng(12)
+    n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    card = lambda by: by.join(re.findall("....", (lambda b: b + str(-PlainPseudonyms.luhn(b + "0") % 10))(str(rng.integers(3, 7)) + n(14))))
+    make = [
+        lambda: f"{n(3)}-{n(2)}-{n(4)}", lambda: f"{rng.integers(1890, 2200)}-{rng.integers(1, 14):02d}-{rng.integers(1, 32):02d}", lambda: ".".join(str(rng.integers(0, 300)) for _ in range(4)),
+        lambda: f"({rng.integers(150, 999)}) {rng.integers(200, 999)}-{n(4)}", lambda: card(" "), lambda: card("-"), lambda: "-".join(n(4) for _ in range(4)),
+    ]
+    plain, rows, want = PlainPseudonyms("secret"), [], []
+    for i in range(400):
+        values = [make[j]() for j in rng.integers(0, len(make), rng.integers(1, 6))]
+        fill = [" ".join(rng.choice(["word", "of", "the", "text,"], rng.integers(1, 5))) for _ in range(len(values) + 1)]
+        text = lambda x: fill[0] + "".join(f" {v} {f}" for v, f in zip(x, fill[1:]))
+        rows.append((i, text(values)))
+        want.append(text([plain.replace(v) for v in values]))
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "secret").collect()}
+    wrong = [(rows[i][1], got[i], w) for i, w in enumerate(want) if got[i] != w]
+    assert not wrong, wrong[:3]
+    assert sum(r[1] != w for r, w in zip(rows, want)) > 250
+
+
+LONG = 1_000_000
+NEARLY = ["x@" + "a." * 5000 + "com", "x@" + "ab." * (LONG // 3), "a@b." * (LONG // 4), "password=" + "aB3" * (LONG // 3), "1234 " * (LONG // 5), "1234-" * (LONG // 5), "1234567" * (LONG // 7), "1 " * (LONG // 2), "1.1.1.1." * (LONG // 8), "+49 1 " * (LONG // 6), "DE89 3704 " * (LONG // 10), "AKIA" * (LONG // 4), "token = " * (LONG // 8)]
+
+
+def test_pseudonyms_in_very_long_texts(spark):
+    """Texts that almost match, a million characters each, and many dates in one text."""
+    rows = [(i, t) for i, t in enumerate(NEARLY)] + [(100, "2024-01-02 " * 20_000)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "k").collect()}
+    assert [got[i].n_pseudonyms for i in (0, 1, 3)] == [1, 1, 1] and all(got[i].text == NEARLY[i] for i in (2, 4, 5, 6, 7, 8, 9, 10, 11, 12))
+    assert got[100].n_pseudonyms == 20_000 and len(set(got[100].text.split())) == 1 and len(got[100].text) == len(rows[-1][1])
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(2000).select("id", pii.permute_number(F.col("id"), 50, 40, "k", "t", False).alias("p"))
     df = df.withColumn("back", pii.permute_number(F.col("p"), 50, 40, "k", "t", True))
