@@ -40,6 +40,8 @@ REGISTERS, ROWS, MANTISSA = 128, 4, 10
 _LAST = 2**63 - 1  # in place of a null id
 #: Most members on either side of a comparison cell.
 CELL_MINOR, CELL_ALL = 1024, 1024
+#: Pairs of members whose bands and estimates are worked out together.
+PAIRS_AT_ONCE = 1 << 15
 #: Most shingle hashes that one part of a cell holds for verification (a larger pair is a part of its own).
 PART_HASHES = 4_000_000
 STAR_ROUNDS = 3
@@ -218,8 +220,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         new = ws.save(beside(pairs, sets).select("a", "b", "words_a", "words_b").mapInArrow(lean(verify), "a long, b long"), "links")
         if links is not None and new.isEmpty():
             break  # the cells take it from here
-        links = new if links is None else links.unionAll(new)
-        comp = components(ws, links)
+        if links is None:  # a link goes to a smaller hash, so two steps along them lead most of the way
+            links, on = new, new.select(F.col("a").alias("component"), F.col("b").alias("further"))
+            step = new.select(F.col("a").alias("id"), F.col("b").alias("component")).join(on, "component", "left")
+            comp = ws.save(step.select("id", F.coalesce("further", "component").alias("component")), "labels")
+        else:
+            links = links.unionAll(new)
+            comp = components(ws, links)
     links = links.unionAll(_cells(ws, members, comp, small, sets, num, den))
     comp = components(ws, links)
     rooted = classes.select("id", "d1", "d2", "class_id").join(comp, "id", "left").select("d1", "d2", "class_id", F.coalesce("component", "id").alias("group"))
@@ -321,26 +328,24 @@ def _cells(ws: Workspace, members: DataFrame, comp: DataFrame, small: DataFrame,
                 continue
             ids, com, n = (t.column(c).to_numpy() for c in ("id", "component", "n"))
             sig = _sig(t.column("sig").combine_chunks())
-            right = np.flatnonzero(~left)
-            rest = right
-            rk, _ = band_keys(sig[rest])
-            g = t.column("g")[0].as_py()
+            minor, rest = np.flatnonzero(left), np.flatnonzero(~left)
+            g, (rk, _) = t.column("g")[0].as_py(), band_keys(sig[rest])
             who, partners = [], []
-            for x in np.flatnonzero(left):
-                cand = com[rest] != com[x]
-                xk, there = band_keys(sig[x : x + 1])
-                both = (rk == xk) & there
-                cand &= both.any(1)
-                cand &= np.take_along_axis(rk, both.argmax(1)[:, None], 1)[:, 0] == g  # a pair counts in its first common band
-                if not cand.any():
-                    continue
-                c = rest[cand]
-                nx = np.full(len(c), n[x])
-                est, used = estimate(sig[x][None, :], sig[c], nx, n[c])
-                c = c[passes(est, used, nx, n[c], num, den)]
-                if len(c):
-                    who.append(int(ids[x]))
-                    partners.append(np.unique(ids[c]).tolist())
+            each = max(1, PAIRS_AT_ONCE // len(rest))
+            for at in range(0, len(minor), each):
+                some = minor[at : at + each]
+                xk, there = band_keys(sig[some])
+                both = (rk[None, :, :] == xk[:, None, :]) & there[:, None, :]
+                i, j = np.nonzero(both.any(2) & (com[rest][None, :] != com[some][:, None]))
+                first = xk[i, both[i, j].argmax(1)] == g  # a pair counts in its first common band
+                i, j = i[first], j[first]
+                x, y = some[i], rest[j]
+                ok = passes(*estimate(sig[x], sig[y], n[x], n[y]), n[x], n[y], num, den)
+                i, y = i[ok], y[ok]
+                edge = np.searchsorted(i, np.arange(len(some) + 1))
+                for k in np.flatnonzero(np.diff(edge)):
+                    who.append(int(ids[some[k]]))
+                    partners.append(np.unique(ids[y[edge[k] : edge[k + 1]]]).tolist())
             back, weight = dict(zip(ids.tolist(), com.tolist())), dict(zip(ids.tolist(), n.tolist()))
             k = [t.column(c)[0].as_py() for c in key]
             for no, of in enumerate(_parts(who, partners, weight)):
