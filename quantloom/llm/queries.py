@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import fingerprints, langid, mixing, nearduplicates, neighbours, packing, pii, substrings, tokens, urls
+from quantloom.llm import alignment, fingerprints, langid, mixing, nearduplicates, neighbours, packing, pii, substrings, tokens, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_substring_dedup": substrings.op8_substring_dedup,
         "op9_packing": packing.op9_packing,
         "op10_url_filters": urls.op10_url_filters,
+        "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
     }
 
 
