@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm.textnp import Powers, chunks, give_back, lean, strings, word_hashes
+from quantloom.llm.tokens import _ODD, _rank_encoder
 from quantloom.llm.workspace import Workspace
 
 #: Bytes of text that share a dictionary; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Distinct segments of one task.
 SEGMENTS_PER_TASK = 100_000
 #: A table of id pairs up to this many rows is broadcast; a larger one is joined with salted keys.
@@ -57,6 +58,10 @@ def _crosses(token: bytes) -> bool:
     return False
 
 
+def id_type(*sizes: int) -> str:
+    return "<u2" if max(sizes) <= 1 << 16 else "<u4"
+
+
 class Pair:
     """A byte-level BPE file (A, with a blank before the text) and a sentencepiece file (B, which adds it)."""
 
@@ -78,7 +83,10 @@ class Pair:
         for t, i in vocab.items():
             self.bytes_a[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_BLANK, " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
+        self.size_a, self.size_b = (np.array([len(t) for t in x]) for x in (self.bytes_a, self.bytes_b))
+        self.kind = id_type(len(self.bytes_a), len(self.bytes_b))
         self.splits = self.can_split()
+        self.quick = _rank_encoder(self.spec, path_a)  # for segments without unusual white space
 
     def can_split(self) -> bool:
         """Whether no token of either side can reach from a character that is not white space to a blank
@@ -91,29 +99,41 @@ class Pair:
         kept = b"".join(self.bytes_b[i] for i in self.b.encode(probe)) == f" {probe}".encode()
         return bool(plain and kept and not any(map(_crosses, self.bytes_a)) and not any(map(_crosses, self.bytes_b)))
 
-    def align(self, segments: list[str]) -> list[tuple]:
-        """Of each segment (its first blank included): whether the joined tokens give it back, numbers of
-        tokens of A and B, groups and links, the groups as text, its distinct id pairs and their links."""
-        out = []
-        encoded = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        for s, x, b in zip(segments, encoded, self.b.encode([s[1:] for s in segments], num_threads=1)):
-            a, raw = x.ids, s.encode()
-            pa_, pb = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(pa_) != raw or b"".join(pb) != raw:
-                out.append((False, 0, 0, 0, 0, "", [], []))
-                continue
-            ends_a, ends_b = np.cumsum([len(t) for t in pa_]), np.cumsum([len(t) for t in pb])
-            both = np.intersect1d(ends_a, ends_b, assume_unique=True)  # no token is empty, so ends differ
-            ia, ib = [0, *(np.searchsorted(ends_a, both) + 1).tolist()], [0, *(np.searchsorted(ends_b, both) + 1).tolist()]
-            groups, pairs, links = [], {}, 0
-            for i, j, k, m in zip(ia, ia[1:], ib, ib[1:]):
-                groups.append(",".join(map(str, a[i:j])) + "|" + ",".join(map(str, b[k:m])))
-                links += (j - i) * (m - k)
-                for p in a[i:j]:
-                    for q in b[k:m]:
-                        pairs[p << 32 | q] = pairs.get(p << 32 | q, 0) + 1
-            out.append((True, len(a), len(b), len(both), links, ";".join(groups), list(pairs), list(pairs.values())))
-        return out
+    def _ids(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        odd = [i for i, s in enumerate(segments) if _ODD.search(s)] if self.quick else range(len(segments))
+        a = [self.quick(s) for s in segments] if self.quick else [[]] * len(segments)
+        for i, x in zip(odd, self.a.encode_batch_fast([segments[i] for i in odd], add_special_tokens=False)):
+            a[i] = x.ids
+        return a, self.b.encode([s[1:] for s in segments], num_threads=1)
+
+    def align(self, segments: list[str]) -> list[bytes]:
+        """The alignment of each segment (its first blank included), packed: the ids group by group, A
+        before B, then a bit per id that says B. Empty where the joined tokens do not give the segment back."""
+        a, b = self._ids(segments)
+        raw = [s.encode() for s in segments]
+        good = [b"".join([self.bytes_a[i] for i in x]) == r == b"".join([self.bytes_b[i] for i in y]) for x, y, r in zip(a, b, raw)]
+        if not all(good):
+            some = iter(self.align([s for s, g in zip(segments, good) if g]))
+            return [next(some) if g else b"" for g in good]
+        if not segments:
+            return []
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        flat_a, flat_b = (np.fromiter((i for x in y for i in x), np.int64) for y in (a, b))
+        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        shut_a, shut_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)  # no token is empty, so ends differ
+        group_a, group_b = np.cumsum(shut_a) - shut_a, np.cumsum(shut_b) - shut_b
+        many_a, many_b = np.bincount(group_a), np.bincount(group_b)
+        at_a = np.arange(len(flat_a)) + (np.cumsum(many_b) - many_b)[group_a]
+        at_b = np.arange(len(flat_b)) + np.cumsum(many_a)[group_b]
+        ids, side = np.empty(len(at_a) + len(at_b), self.kind), np.zeros(len(at_a) + len(at_b), np.uint8)
+        ids[at_a], ids[at_b], side[at_b] = flat_a, flat_b, 1
+        edge = np.append(0, np.cumsum(n_a + n_b))
+        n = np.diff(edge)
+        room = np.append(0, np.cumsum(-(-n // 8) * 8))
+        bits = np.zeros(room[-1], np.uint8)
+        bits[np.arange(len(side)) + np.repeat(room[:-1] - edge[:-1], n)] = side
+        left, right, w = ids.tobytes(), np.packbits(bits, bitorder="little").tobytes(), ids.itemsize
+        return [left[x * w : y * w] + right[p // 8 : q // 8] for x, y, p, q in zip(edge.tolist(), edge[1:].tolist(), room.tolist(), room[1:].tolist())]
 
 
 def pair(path_a: str, path_b: str) -> Pair:
@@ -140,31 +160,73 @@ def _starts(off: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.union1d(at[good], off[:-1])
 
 
-_CUT = "block long, doc_id long, wide boolean, codes binary, code int, segment string"
+def packed(codes: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """The codes edge[i] to edge[i + 1] of every document, seven bits a byte, the lowest first."""
+    size = np.ones(len(codes), np.int64)
+    for k in range(1, 5):
+        size += codes >= 1 << 7 * k
+    upto = np.append(0, np.cumsum(size))
+    out = np.zeros(upto[-1], np.uint8)
+    for k in range(5):
+        some = size > k
+        out[upto[:-1][some] + k] = (codes[some] >> 7 * k & 127) | ((size[some] > k + 1) << 7)
+    raw, at = out.tobytes(), upto[edge].tolist()
+    return [raw[x:y] for x, y in zip(at, at[1:])]
+
+
+def unpacked(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes of all documents in a row, where each begins and the total)."""
+    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    last = data < 128
+    number = np.cumsum(last) - last
+    count = int(last.sum())
+    begin = np.append(0, np.flatnonzero(last) + 1)[:count]
+    codes = np.zeros(count, np.int64)
+    within = np.arange(len(data)) - begin[number]
+    for k in range(int(within.max(initial=0)) + 1):
+        some = within == k
+        codes[number[some]] |= (data[some] & 127) << 7 * k
+    sums = np.append(0, np.cumsum(last))
+    return codes, sums[np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)]
+
+
+_CUT = "ref long, doc_id long, codes binary, segment string"
+#: Entries of a block have numbers below this; a ``ref`` is the block times it plus the number.
+ROOM = 1 << 28
 
 
 def _cut(path_a: str, path_b: str):
     """Documents as codes into block dictionaries: rows with ``codes`` are documents, rows with a
-    ``segment`` are dictionary entries."""
+    ``segment`` are dictionary entries, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splits, pows = pair(path_a, path_b).splits, Powers()
-        block, size = TaskContext.get().partitionId() << 32, 0
-        known: dict[tuple[int, int], int] = {}
-        texts: list[pa.Array] = []
-        ids, codes = [], []
+        block, size = TaskContext.get().partitionId() << 14, 0
+        held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, size
-            wide = len(known) > 65535
-            n, m = len(ids), len(known)
-            if n:
-                seg = pa.concat_arrays([*texts, pa.array([], pa.string())])
-                packed = [c.astype("<u4" if wide else "<u2").tobytes() for c in codes]
+            if held:
+                ids, edges, codes, hs, gs, texts = zip(*held)
+                h, g = np.concatenate(hs), np.concatenate(gs)
+                _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+                if (g[first][inverse] != g).any():  # the first hash does not tell all segments apart
+                    _, first, inverse = np.unique(np.stack([h, g], 1), axis=0, return_index=True, return_inverse=True)
+                shift = np.cumsum([0, *map(len, hs[:-1])])
+                all_codes = np.concatenate([inverse.ravel()[c + x] for c, x in zip(codes, shift)])
+                order = np.argsort(-np.bincount(all_codes, minlength=len(first)), kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                upto = np.cumsum([0, *map(len, codes[:-1])])
+                edge = np.concatenate([*(e[:-1] + x for e, x in zip(edges, upto)), [len(all_codes)]])
+                segments = pa.concat_arrays(texts).take(pa.array(first[order]))
+                n, m = len(edge) - 1, len(order)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n + m, block)), pa.array(ids + [None] * m, pa.int64()), pa.array([wide] * (n + m)), pa.array(packed + [None] * m, pa.binary()),
-                    pa.array([None] * n + list(range(m)), pa.int32()), pa.concat_arrays([pa.nulls(n, pa.string()), seg])], names=["block", "doc_id", "wide", "codes", "code", "segment"])
-            known.clear(), texts.clear(), ids.clear(), codes.clear()
+                    pa.array(block * ROOM + np.arange(n)), pa.array([i for x in ids for i in x], pa.int64()), pa.array(packed(place[all_codes], edge), pa.binary()), pa.nulls(n, pa.string())], names=["ref", "doc_id", "codes", "segment"])
+                for at in range(0, m, 50_000):
+                    some = segments.slice(at, 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(block * ROOM + np.arange(at, at + len(some))), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), some], names=["ref", "doc_id", "codes", "segment"])
+            held.clear()
             block, size = block + 1, 0
 
         for b in chunks(batches, "text", 2 << 20):
@@ -176,23 +238,14 @@ def _cut(path_a: str, path_b: str):
             begin = _starts(off[np.append(length > 0, True)], data) if splits else np.unique(off[:-1][length > 0])
             end = np.append(begin[1:], len(data))[: len(begin)]
             h, g = (word_hashes(data, begin, end, pows, False, other) for other in (False, True))
-            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            if (g[first][inverse] != g).any():  # the first hash does not tell all segments apart
-                _, first, inverse = np.unique(np.stack([h, g], 1), axis=0, return_index=True, return_inverse=True)
-            key = list(zip(h[first].tolist(), g[first].tolist()))
-            new = np.array([k not in known for k in key], bool)
-            for i in np.flatnonzero(new).tolist():
-                known[key[i]] = len(known)
-            if new.any():
-                s, e = begin[first][new], end[first][new]
-                width = e - s
-                edge = np.append(0, np.cumsum(width))
-                take = np.repeat(s - edge[:-1], width) + np.arange(edge[-1])
-                texts.append(pa.StringArray.from_buffers(len(s), pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data[take].tobytes())))
-            code = np.array([known[k] for k in key], np.int64)[inverse.ravel()] if len(key) else np.zeros(0, np.int64)
-            cut = np.searchsorted(begin, off)
-            ids.extend(b.column("doc_id").to_pylist())
-            codes.extend(code[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()))
+            _, first, code = np.unique(h, return_index=True, return_inverse=True)
+            if (g[first][code] != g).any():
+                _, first, code = np.unique(np.stack([h, g], 1), axis=0, return_index=True, return_inverse=True)
+            s, width = begin[first], (end - begin)[first]
+            edge = np.append(0, np.cumsum(width))
+            take = np.repeat(s - edge[:-1], width) + np.arange(edge[-1])
+            texts = pa.StringArray.from_buffers(len(s), pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data[take].tobytes()))
+            held.append((b.column("doc_id").to_pylist(), np.searchsorted(begin, off), code.ravel().astype(np.int32), h[first], g[first], texts))
             size += len(data)
             if size >= BLOCK_BYTES:
                 yield from flush()
@@ -201,97 +254,150 @@ def _cut(path_a: str, path_b: str):
     return run
 
 
-_ALIGNED = "segment string, ok boolean, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, links array<long>"
-
-
 def _aligner(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(path_a, path_b)
-        for b in chunks(batches, "segment", 1 << 20, 10_000):
-            got = list(zip(*p.align(b.column("segment").to_pylist())))
-            kinds = [pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("segment"), *(pa.array(x, k) for x, k in zip(got, kinds))], names=[f.split()[0] for f in _ALIGNED.split(", ")])
+        for b in chunks(batches, "segment", 1 << 20, 20_000):
+            yield pa.RecordBatch.from_arrays([b.column("segment"), pa.array(p.align(b.column("segment").to_pylist()), pa.binary())], names=["segment", "aligned"])
 
     return run
 
 
-def _decoded(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(codes of all documents of a block in a row, the document of each)."""
-    wide = docs.column("wide")[0].as_py()
-    packed = docs.column("codes").to_pylist()
-    codes = np.frombuffer(b"".join(packed), "<u4" if wide else "<u2").astype(np.int64)
-    return codes, np.repeat(np.arange(len(packed)), [len(c) // (4 if wide else 2) for c in packed])
+class Alignments:
+    """Packed alignments as flat arrays: ids and sides of all tokens, groups and links by entry."""
+
+    def __init__(self, column: pa.Array, kind: str):
+        off, data = strings(column.cast(pa.large_binary()))
+        w = np.dtype(kind).itemsize
+        n = np.diff(off) * 8 // (8 * w + 1)
+        self.ok = n > 0
+        self.edge = np.append(0, np.cumsum(n))
+        within = np.arange(self.edge[-1]) - np.repeat(self.edge[:-1], n)
+        at = np.repeat(off[:-1], n)
+        self.ids = sum(data[at + w * within + k].astype(np.int64) << 8 * k for k in range(w)) if len(data) else np.zeros(0, np.int64)
+        self.side = (data[at + np.repeat(w * n, n) + within // 8] >> (within % 8) & 1).astype(bool) if len(data) else np.zeros(0, bool)
+        self.n, self.n_b = n, self._sums(self.side)
+        opens = ~self.side
+        opens[1:] &= self.side[:-1]
+        self.group = np.cumsum(opens) - 1
+        self.n_groups = self._sums(opens)
+        at_group = np.flatnonzero(opens)
+        many = np.diff(np.append(at_group, len(self.ids)))
+        self.many_b = np.bincount(self.group, self.side).astype(np.int64) if len(self.group) else np.zeros(0, np.int64)
+        self.first_b = at_group + many - self.many_b
+        links = np.where(self.side, 0, self.many_b[self.group]) if len(self.group) else np.zeros(0, np.int64)
+        self.links = links
+        self.n_links = self._sums(links)
+        self.last = np.append(opens[1:], True)[: len(opens)]
+
+    def _sums(self, x: np.ndarray) -> np.ndarray:
+        upto = np.append(0, np.cumsum(x, dtype=np.int64))
+        return upto[self.edge[1:]] - upto[self.edge[:-1]]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(A id << 32 | B id of every link, where the links of each entry begin and the total)."""
+        upto = np.append(0, np.cumsum(self.links))
+        token = np.repeat(np.arange(len(self.ids)), self.links)
+        b = self.first_b[self.group[token]] + np.arange(upto[-1]) - upto[token] if len(token) else token
+        return self.ids[token] << 32 | self.ids[b], upto[self.edge]
+
+    def texts(self) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` of every entry."""
+        mark = np.where(self.last, 3, np.where(np.append(self.side[1:], False)[: len(self.side)] & ~self.side, 2, 1))  # ; | ,
+        known, which = np.unique(self.ids << 2 | mark, return_inverse=True)
+        table = [b"%d%s" % (k >> 2, b" ,|;"[k & 3 : (k & 3) + 1]) for k in known.tolist()]
+        out, edge = [], self.edge.tolist()
+        for at in range(0, len(edge) - 1, 50_000):
+            own = edge[at : at + 50_001]
+            parts = [table[i] for i in which[own[0] : own[-1]].tolist()]
+            out.extend(b"".join(parts[x - own[0] : y - own[0]])[:-1] for x, y in zip(own, own[1:]))
+        return out
 
 
-def _by_code(entries: pa.Table, names: list[str]) -> list:
-    """Columns of a block's dictionary in the order of its codes."""
-    entries = entries.take(pc.sort_indices(entries.column("code")))
+def _entries(entries: pa.Table, names: list[str]) -> list[pa.Array]:
+    """Columns of a block's dictionary in the order of its numbers."""
+    entries = entries.take(pc.sort_indices(entries.column("entry")))
     return [entries.column(n).combine_chunks() for n in names]
 
 
-def _pair_documents(docs: pa.Table, entries: pa.Table) -> pa.Table:
-    """(pair, documents of the block that hold it)."""
-    empty = pa.table({"pair": pa.array([], pa.int64()), "docs": pa.array([], pa.int64())})
-    if not docs.num_rows or not entries.num_rows:
-        return empty
-    codes, doc = _decoded(docs)
-    pairs, ok = _by_code(entries, ["pairs", "ok"])
-    bad = np.zeros(docs.num_rows, bool)
-    bad[doc[~ok.to_numpy(zero_copy_only=False)[codes]]] = True
-    off, flat = pairs.offsets.to_numpy().astype(np.int64), pairs.values.to_numpy()
-    own, flat = np.unique(flat[off[0] : off[-1]], return_inverse=True)
-    off = off - off[0]
-    if not len(own):
-        return empty
-    total = np.zeros(len(own), np.int64)
-    seen = np.unique(doc * len(off) + codes)  # a segment counts once in a document
-    doc, codes = seen // len(off), seen % len(off)
-    edges = np.searchsorted(doc, np.arange(docs.num_rows + 1))
-    at = 0
-    while at < docs.num_rows:  # some documents at a time, so that arrays stay small
-        end = max(at + 1, int(np.searchsorted(edges, edges[at] + 500_000, "right")) - 1)
-        d, c = doc[edges[at] : edges[end]], codes[edges[at] : edges[end]]
+def _summed(codes: np.ndarray, edge: np.ndarray, values: np.ndarray) -> np.ndarray:
+    upto = np.append(0, np.cumsum(values[codes]))
+    return upto[edge[1:]] - upto[edge[:-1]]
+
+
+_FIRST = "ref long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair long, docs long"
+
+
+def _compose(kind: str):
+    """The rows of a block's documents, as far as the block knows them, and how many of its documents
+    hold each id pair (rows with ``pair``)."""
+
+    def run(docs: pa.Table, entries: pa.Table) -> pa.Table:
+        n = docs.num_rows
+        numbers = {x: np.zeros(n, np.int64) for x in ("n_a", "n_b", "n_groups", "n_links")}
+        digest, pairs, held = [""] * n, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if n and entries.num_rows:
+            codes, edge = unpacked(docs.column("codes").to_pylist())
+            al = Alignments(*_entries(entries, ["aligned"]), kind)
+            good = (_summed(codes, edge, ~al.ok) == 0) & (edge[1:] > edge[:-1])
+            for x, v in (("n_a", al.n - al.n_b), ("n_b", al.n_b), ("n_groups", al.n_groups), ("n_links", al.n_links)):
+                numbers[x] = np.where(good, _summed(codes, edge, v), 0)
+            links, off = al.pairs()
+            pairs, links = np.unique(links, return_inverse=True)
+            held = _holders(codes, edge, good, links, off, len(pairs))
+            text = al.texts()
+            del al
+            for i in np.flatnonzero(good).tolist():
+                h = hashlib.sha256()
+                for at in range(edge[i], edge[i + 1], 100_000):
+                    h.update((b";" if at > edge[i] else b"") + b";".join([text[c] for c in codes[at : min(at + 100_000, edge[i + 1])].tolist()]))
+                digest[i] = h.hexdigest()
+        some = held > 0
+        m = int(some.sum())
+        left = [docs.column("ref").combine_chunks(), docs.column("doc_id").combine_chunks(), *map(pa.array, numbers.values()), pa.array(digest, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+        right = [*[pa.nulls(m, pa.int64())] * 6, pa.nulls(m, pa.string()), pa.array(pairs[some]), pa.array(held[some])]
+        names = [f.split()[0] for f in _FIRST.split(", ")]
+        return pa.concat_tables([pa.table(dict(zip(names, left))), pa.table(dict(zip(names, right)))])
+
+    return run
+
+
+def _holders(codes: np.ndarray, edge: np.ndarray, good: np.ndarray, links: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
+    """In how many good documents each of the n pairs is, some documents at a time."""
+    total, at = np.zeros(n, np.int64), 0
+    while at < len(good):
+        end = max(at + 1, int(np.searchsorted(edge, edge[at] + 250_000, "right")) - 1)
+        doc = np.repeat(np.arange(end - at), np.diff(edge[at : end + 1]))
+        seen = np.unique(doc[good[at:end][doc]] * len(off) + codes[edge[at] : edge[end]][good[at:end][doc]])  # a segment counts once in a document
+        doc, c = seen // len(off), seen % len(off)
         width = off[c + 1] - off[c]
         upto = np.append(0, np.cumsum(width))
-        held = flat[np.repeat(off[c] - upto[:-1], width) + np.arange(upto[-1])]
-        d = np.repeat(d, width)[: len(held)]
-        keep = ~bad[d]
-        total += np.bincount(np.unique(d[keep] * len(own) + held[keep]) % len(own), minlength=len(own))
+        here = links[np.repeat(off[c] - upto[:-1], width) + np.arange(upto[-1])]
+        total += np.bincount(np.unique(np.repeat(doc, width) * n + here) % n, minlength=n) if len(here) else 0
         at = end
-    some = total > 0
-    return pa.table({"pair": pa.array(own[some]), "docs": pa.array(total[some])})
-
-
-_NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-
-
-def _composed(docs: pa.Table, entries: pa.Table) -> pa.Table:
-    """The rows of a block's documents."""
-    n = docs.num_rows
-    cols = {x: np.zeros(n, np.int64) for x in _NUMBERS}
-    digest = [""] * n
-    if n and entries.num_rows:
-        codes, doc = _decoded(docs)
-        ok, groups, *numbers = _by_code(entries, ["ok", "groups", *_NUMBERS])
-        bad = np.zeros(n, bool)
-        bad[doc[~ok.to_numpy(zero_copy_only=False)[codes]]] = True
-        edge = np.searchsorted(doc, np.arange(n + 1))
-        for x, v in zip(_NUMBERS, numbers):
-            upto = np.append(0, np.cumsum(v.to_numpy(zero_copy_only=False)[codes]))
-            cols[x] = np.where(bad, 0, upto[edge[1:]] - upto[edge[:-1]])
-        text = [g.encode() for g in groups.to_pylist()]
-        for i in np.flatnonzero(~bad & (edge[1:] > edge[:-1])).tolist():
-            h, own = hashlib.sha256(), codes[edge[i] : edge[i + 1]].tolist()
-            for at in range(0, len(own), 100_000):
-                h.update((b";" if at else b"") + b";".join([text[c] for c in own[at : at + 100_000]]))
-            digest[i] = h.hexdigest()
-    return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), **cols, "groups_sha256": pa.array(digest, pa.string())}) if n else pa.table(
-        {"doc_id": pa.array([], pa.int64()), **{x: pa.array([], pa.int64()) for x in _NUMBERS}, "groups_sha256": pa.array([], pa.string())})
-
-
-def aligned_segments(segments: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """One row per row of ``segments`` (a string column ``segment`` that begins with a blank): see ``Pair.align``."""
-    return segments.select("segment").mapInArrow(lean(_aligner(path_a, path_b)), _ALIGNED)
+    return total
+
+
+def _count(docs: pa.Table, entries: pa.Table) -> pa.Table:
+    """ref, n_best and count_sum of a block's documents."""
+    sums = {x: np.zeros(docs.num_rows, np.int64) for x in ("n_best", "count_sum")}
+    if docs.num_rows and entries.num_rows:
+        codes, edge = unpacked(docs.column("codes").to_pylist())
+        for x, v in zip(sums, _entries(entries, list(sums))):
+            sums[x] = _summed(codes, edge, v.to_numpy(zero_copy_only=False))
+    return pa.table({"ref": docs.column("ref"), **{x: pa.array(v) for x, v in sums.items()}})
+
+
+def _links(kind: str):
+    """(segment, pair, links) of aligned segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "segment", 1 << 20, 20_000):
+            pairs, off = Alignments(b.column("aligned"), kind).pairs()
+            at = np.repeat(np.arange(b.num_rows), np.diff(off))
+            yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(at)), pa.array(pairs)], names=["sid", "pair"])
+
+    return run
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -304,32 +410,37 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, doc_id: str =
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "alignment")
+    p = pair(path_a, path_b)
+    kind = p.kind
     cut = ws.save(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(_cut(path_a, path_b)), _CUT), "blocks")
-    held = cut.where("codes IS NOT NULL").select("block", "doc_id", "wide", "codes")
-    entries = cut.where("segment IS NOT NULL").select(F.col("block").alias("of"), "code", "segment")
-    distinct = ws.save(entries.select("segment").distinct(), "segments")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-distinct.count() // SEGMENTS_PER_TASK))
-    made = ws.save(aligned_segments(distinct.repartition(tasks), path_a, path_b).withColumn("sid", F.monotonically_increasing_id()), "aligned")
+    held = cut.where("codes IS NOT NULL").select(F.shiftright("ref", 28).alias("block"), "ref", "doc_id", "codes")
+    entries = cut.where("segment IS NOT NULL").select("ref", "segment")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-entries.count() // SEGMENTS_PER_TASK))
+    made = entries.select("segment").distinct().repartition(tasks).mapInArrow(lean(_aligner(path_a, path_b)), "segment string, aligned binary")
+    made = ws.save(made.withColumn("sid", F.monotonically_increasing_id()), "aligned")
 
     def per_block(wanted: DataFrame, each, schema: str) -> DataFrame:
-        joined = entries.join(wanted, "segment").drop("segment")
+        joined = entries.join(wanted, "segment").drop("segment").withColumns({"of": F.shiftright("ref", 28), "entry": F.col("ref")}).drop("ref")
         return held.groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(lambda a, b: each(a, b), schema)
 
-    partial = per_block(made.select("segment", "ok", "pairs"), _pair_documents, "pair long, docs long")
-    counts = ws.save(partial.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32)), "counts")
+    first = ws.save(per_block(made.select("segment", "aligned"), _compose(kind), _FIRST), "composed")
+    counts = first.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32))
+    counts = ws.save(counts, "counts")
     most = counts.groupBy("a").agg(F.max("docs").alias("most"))
     table = ws.save(counts.join(most, "a").select("pair", "a", F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"), "docs", (F.col("docs") == F.col("most")).alias("best")), "pairs")
-    links = made.select("sid", F.explode(F.arrays_zip("pairs", "links")).alias("x")).select("sid", F.col("x.pairs").alias("pair"), F.col("x.links").alias("links"))
+    links = made.mapInArrow(lean(_links(kind)), "sid long, pair long")
     small = table.select("pair", "docs", "best")
     if table.count() <= BROADCAST_PAIRS:
         met = links.join(F.broadcast(small), "pair")
     else:
         small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = links.withColumn("salt", F.pmod(F.col("sid"), F.lit(SALTS)).cast("int")).join(small, ["pair", "salt"])
-    sums = met.groupBy("sid").agg(F.sum(F.col("links") * F.col("docs")).alias("count_sum"), F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"))
-    numbered = made.join(sums, "sid", "left").select("segment", "ok", "groups", "n_a", "n_b", "n_groups", "n_links", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n_best", "count_sum")])
-    numbered = ws.save(numbered, "numbered")
-    out = per_block(numbered, _composed, "doc_id long, " + ", ".join(f"{x} long" for x in _NUMBERS) + ", groups_sha256 string")
+    sums = met.groupBy("sid").agg(F.sum("docs").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"))
+    sums = made.select("sid", "segment").join(sums, "sid", "left").select("segment", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n_best", "count_sum")])
+    second = per_block(sums, _count, "ref long, n_best long, count_sum long")
+    rows = first.where("ref IS NOT NULL").drop("pair", "docs")
+    mine = lambda x: F.when(F.col("n_a") > 0, F.col(x)).otherwise(F.lit(0).cast("long")).alias(x)
+    out = rows.join(second, "ref").select("doc_id", "n_a", "n_b", "n_groups", "n_links", mine("n_best"), mine("count_sum"), "groups_sha256")
     return out, table.drop("pair")
 
 
