@@ -106,12 +106,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             at = end
 
 
-def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, byte after, index of the first word of each text and the total) of every word."""
+def words(off: np.ndarray, data: np.ndarray, space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, byte after, index of the first word of each text and the total) of every word.
+    ``space`` says of each byte whether it separates words."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    solid = ~_IS_SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     inner = off[(off > 0) & (off < len(data))]
