@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import alignment, contamination, fingerprints, langid, mixing, nearduplicates, neighbours, packing, pii, substrings, tokens, urls
+from quantloom.llm import alignment, collocations, contamination, fingerprints, langid, mixing, nearduplicates, neighbours, packing, pii, substrings, tokens, urls
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_url_filters": urls.op10_url_filters,
         "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
+        "op12_collocations": collocations.op12_collocations,
         "op13_decontamination": contamination.op13_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": urls.SQL, "op13_decontamination": contamination.SQL}
+    return {"op10_url_filters": urls.SQL, "op12_collocations": collocations.SQL, "op13_decontamination": contamination.SQL}
