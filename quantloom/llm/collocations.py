@@ -7,7 +7,7 @@ mapper counts its share of the corpus into a numpy array by slot (a key that is
 candidates from other phrases), the arrays are summed as a tree, and the counts of both sides of every cut
 are read by slot.
 
-Bounds: a level is known to the mappers by a bitmap of 2^27 bits, at any size; one pass over the corpus
+Bounds: a level is known to the mappers by a bitmap of at most 2^27 bits, at any size; one pass over the corpus
 counts ``SLOTS`` candidates, more candidates take more passes; arrays, keys and bitmaps never grow with the
 corpus. Buckets and exact candidates of any number stay in Spark tables.
 
@@ -36,7 +36,7 @@ from quantloom.llm.workspace import Workspace
 LONGEST = 5
 #: Candidates that one pass counts, and slots of one row on the way to their sum.
 SLOTS, ROW_SLOTS = 2_000_000, 1 << 16
-#: Bits of a level's bitmap; positions a mapper holds before it emits their buckets; mappers' sums per first node of the tree.
+#: Most bits of a level's bitmap (as a power of two); positions a mapper holds before it emits their buckets; mappers' sums per first node of the tree.
 MAP_BITS, HELD, FAN = 27, 2_000_000, 16
 CHUNK = 2 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -133,7 +133,7 @@ def _words(b: pa.RecordBatch, pows: Powers) -> Iterator[tuple[str, np.ndarray, n
 
 
 def _in_map(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    fold = h >> U(32) & U((1 << MAP_BITS) - 1)
+    fold = h >> U(32) & U(64 * len(bitmap) - 1)
     return (bitmap[(fold >> U(6)).astype(np.int64)] >> (fold & U(63)) & U(1)).astype(bool)
 
 
@@ -328,10 +328,12 @@ def _read_cuts(table: PerfectHash, counts: np.ndarray):
 
 
 def _bitmap(heavy: DataFrame) -> np.ndarray:
-    """The buckets of a level folded to 2^MAP_BITS bits; at most 2^(MAP_BITS - 6) words reach the driver."""
-    fold = F.col("bucket").cast("long").bitwiseAND((1 << MAP_BITS) - 1)
-    got = heavy.select(F.shiftright(fold, 6).alias("word"), F.expr(f"shiftleft(1L, cast(bucket & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << MAP_BITS - 6, U)
+    """The buckets of a level folded to 16 bits a bucket or so, a power of two of at most 2^MAP_BITS: at
+    most 2^(MAP_BITS - 6) words reach the driver and the mappers."""
+    bits = min(MAP_BITS, max(10, (16 * heavy.count()).bit_length()))
+    fold = F.col("bucket").cast("long").bitwiseAND((1 << bits) - 1)
+    got = heavy.select(F.shiftright(fold, 6).alias("word"), F.expr("shiftleft(1L, cast(bucket & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << bits - 6, U)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(U)
     return out
 
