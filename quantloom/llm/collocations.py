@@ -37,8 +37,9 @@ LONGEST = 5
 #: Candidates that one pass counts, and slots of one row on the way to their sum.
 SLOTS, ROW_SLOTS = 2_000_000, 1 << 16
 #: Most bits of a level's bitmap (as a power of two); positions a mapper holds before it emits their buckets; mappers' sums per first node of the tree.
-MAP_BITS, HELD, FAN = 27, 2_000_000, 16
-CHUNK = 2 << 20
+MAP_BITS, HELD, FAN = 27, 500_000, 16
+#: Bytes of text read at a time, words of a row of the corpus, rows of an emitted batch.
+CHUNK, ROW_WORDS, BATCH = 2 << 20, 2048, 50_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BREAK = np.zeros(256, bool)  # . , ; : ! ? and the line ends
@@ -149,9 +150,11 @@ def _frequent(w: np.ndarray, k: int, lang: np.uint64, bitmap: np.ndarray) -> np.
     return whole
 
 
-def _emitted(h: np.ndarray) -> pa.RecordBatch:
-    bucket, n = np.unique((h >> U(32)).astype(np.uint32), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), pa.array(bucket.view(np.int32)), pa.array(n)], names=["lang", "bucket", "n"])
+def _emitted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    bucket, n = np.unique((np.concatenate([*held, np.zeros(0, U)]) >> U(32)).astype(np.uint32), return_counts=True)
+    for i in range(0, len(n), BATCH):
+        some = n[i : i + BATCH]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.string()), pa.array(bucket[i : i + BATCH].view(np.int32)), pa.array(some)], names=["lang", "bucket", "n"])
 
 
 _BUCKETS = "lang string, bucket int, n long"
@@ -167,10 +170,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(first_hashes(w, 1, language_hash(lang)))
             n += len(w)
         if n > HELD:
-            yield _emitted(np.concatenate(held))
+            yield from _emitted(held)
             held, n = [], 0
-    if held:
-        yield _emitted(np.concatenate(held))
+    yield from _emitted(held)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.int32()), pa.array(list(total.values()), pa.int64())], names=["lang", "bucket", "n"])
 
 
@@ -184,17 +186,22 @@ def _write_words(bitmap: np.ndarray):
             for lang, w, *_ in _words(b, pows):
                 w = np.where(_frequent(w, 1, language_hash(lang), bitmap), w, U(0))
                 w = w[(w != 0) | np.append(True, w[:-1] != 0)]
-                langs.append(lang)
-                rows.append(w.tobytes())
+                ends = np.flatnonzero(w == 0)  # rows begin where a piece does
+                cuts = np.unique(np.append(ends[np.minimum(np.searchsorted(ends, np.arange(0, len(w), ROW_WORDS)), len(ends) - 1)], len(w)))
+                rows.extend(w[x:y].tobytes() for x, y in zip(cuts.tolist(), cuts[1:].tolist()))
+                langs.extend([lang] * (len(cuts) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], names=["lang", "words"])
 
     return run
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.uint64, np.ndarray]]:
+    """Words of the rows of a batch, one language after the other."""
     for b in batches:
-        for lang, raw in zip(b.column("lang").to_pylist(), b.column("words")):
-            yield language_hash(lang), np.frombuffer(raw.as_buffer(), U)
+        langs = np.array(b.column("lang").to_pylist(), object)
+        for lang in sorted(set(langs)):
+            own = b.column("words").filter(pa.array(langs == lang))
+            yield language_hash(lang), np.append(np.frombuffer(b"".join(own.to_pylist()), U), U(0))
 
 
 def _count_level(k: int, bitmap: np.ndarray):
@@ -208,10 +215,9 @@ def _count_level(k: int, bitmap: np.ndarray):
             held.append(first_hashes(w, k, lang)[at])
             n += len(at)
             if n > HELD:
-                yield _emitted(np.concatenate(held))
+                yield from _emitted(held)
                 held, n = [], 0
-        if held:
-            yield _emitted(np.concatenate(held))
+        yield from _emitted(held)
 
     return run
 
