@@ -209,22 +209,32 @@ class Adx(SeriesIndicator):
     def least_bars(self):
         return 2 * self.n
 
+    @staticmethod
+    def movement(h: np.ndarray, l: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """True range and directional movements of all bars but the first."""
+        up, down = h[1:] - h[:-1], l[:-1] - l[1:]
+        plus = np.where((up > down) & (up > 0), up, 0.0)
+        minus = np.where((down > up) & (down > 0), down, 0.0)
+        return np.maximum(h[1:] - l[1:], np.maximum(np.abs(h[1:] - c[:-1]), np.abs(l[1:] - c[:-1]))), plus, minus
+
+    @staticmethod
+    def index(tr: np.ndarray, plus: np.ndarray, minus: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, plus line, minus line, directional index) of smoothed ranges and movements."""
+        flat = tr == 0
+        some = np.where(flat, 1.0, tr)
+        p, m = 100 * plus / some, 100 * minus / some
+        total = p + m
+        return flat, p, m, np.where(total == 0, 0.0, 100 * np.abs(p - m) / np.where(total == 0, 1.0, total))
+
     def series(self, bars):
         h, l, c = bars["high"], bars["low"], bars["close"]
         n, size = self.n, len(c)
         out = {k: np.full(size, np.nan) for k in self.outputs}
         if size <= n:
             return out
-        up, down = h[1:] - h[:-1], l[:-1] - l[1:]
-        plus = np.where((up > down) & (up > 0), up, 0.0)
-        minus = np.where((down > up) & (down > 0), down, 0.0)
-        tr = np.maximum(h[1:] - l[1:], np.maximum(np.abs(h[1:] - c[:-1]), np.abs(l[1:] - c[:-1])))
+        tr, plus, minus = self.movement(h, l, c)
         s = {k: wilder_mean(x, n)[n - 1 :] for k, x in (("tr", tr), ("p", plus), ("m", minus))}  # sums are n times these means
-        flat = s["tr"] == 0
-        some = np.where(flat, 1.0, s["tr"])
-        p, m = 100 * s["p"] / some, 100 * s["m"] / some
-        total = p + m
-        dx = np.where(total == 0, 0.0, 100 * np.abs(p - m) / np.where(total == 0, 1.0, total))
+        flat, p, m, dx = self.index(s["tr"], s["p"], s["m"])
         fed = np.flatnonzero(~flat)
         adx = np.full(len(p), np.nan)
         if len(fed) >= n:
