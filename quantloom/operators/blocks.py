@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quantloom.functions import kernels
@@ -36,6 +36,7 @@ from quantloom.functions import trend as T
 from quantloom.functions import volatility as V
 from quantloom.functions import volume as U
 from quantloom.functions.indicator import Indicator
+from quantloom.functions.signals import EXIT, HOLD, LONG, SHORT, LiveSignal
 from quantloom.operators.recurrence import ema, linear, whole_symbols, wilder_mean
 from quantloom.schema import Bars
 from quantloom.sources.scratch import saved, shared_folder
@@ -59,6 +60,8 @@ def with_blocks(bars: DataFrame, folder: str, block_bars: int = BLOCK_BARS, c: B
 
     Counts per time bucket (``BUCKETS`` a block) are summed up to blocks of at least ``block_bars``; times that
     crowd into one bucket stay one block. Bars of one time stay together."""
+    if _BLOCK in bars.columns:
+        return bars
     key, at = c.symbol, _clock(bars, c)
     least = 3 * block_bars // 2
     long = bars.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__low"), F.max(at).alias("__high")).where(F.col("__n") > least)
@@ -267,16 +270,63 @@ def index_lines(i: T.Adx, size: int, traces: list[np.ndarray], state: tuple[int,
 
 def sar_fold(i: T.ParabolicSar, b: dict[str, np.ndarray], state: dict | None) -> tuple[np.ndarray, dict]:
     """(stops shown, state after the last bar), from a frozen state or the beginning."""
-    from quantloom.streaming.steppers import freeze, thaw
-
-    live = i.start() if state is None else thaw(i.start(), state)
+    live = i.start()
+    if state is not None:
+        live.__dict__.update(state)
     out = np.full(len(b["close"]), np.nan)
     for k, (h, l, c) in enumerate(zip(b["high"].tolist(), b["low"].tolist(), b["close"].tolist())):
         got = live.next({"high": h, "low": l, "close": c})
         if got is not None:
             out[k] = got[""]
     live.bars = min(live.bars, 3)  # beyond two bars their number does not matter, and states can be compared
-    return out, freeze(live)
+    return out, {k: v for k, v in live.__dict__.items() if k != "spec"}
+
+
+_EVENTS = np.array([None, HOLD, LONG, SHORT, EXIT], object)
+
+
+def signal_events(s: LiveSignal, values: Callable) -> np.ndarray:
+    """Events as numbers (0 while there is not enough data, then HOLD, LONG, SHORT, EXIT) of a signal
+    whose ``values(source)`` are (at the bar before, at the bar), NaN where null."""
+    if s.legs:
+        legs = [signal_events(x, values) for x in s.legs]
+        if s.kind == "inverse":
+            return np.array([0, 1, 3, 2, 4])[legs[0]]
+        a, b = legs
+        if s.kind == "either":
+            out = np.zeros(len(a), np.int64)
+            for event in (1, 4, 3, 2):
+                out[(a == event) | (b == event)] = event
+            return out
+        out = np.where((a > 0) & (b > 0), 1, 0)
+        out[(a == 4) | (b == 4)] = 4
+        for event in (3, 2):
+            out[(a == event) & (b == event)] = event
+        return out
+    was, now = zip(*map(values, s.sources))
+    ready = ~np.isnan(np.array([*was, *now])).any(0)
+    if s.kind == "breakout":
+        inside = (was[0] >= was[2]) & (was[0] <= was[1])
+        return np.where(ready, np.where(inside & (now[0] > now[1]), 2, np.where(inside & (now[0] < now[2]), 3, 1)), 0)
+    if s.kind.startswith("threshold"):
+        was, now = (was[0], np.full(len(was[0]), s.level)), (now[0], np.full(len(now[0]), s.level))
+    if s.kind in ("cross_up", "threshold_above"):
+        return np.where(ready, np.where((was[0] <= was[1]) & (now[0] > now[1]), 2, 1), 0)
+    return np.where(ready, np.where((was[0] >= was[1]) & (now[0] < now[1]), 3, 1), 0)
+
+
+def _parts(i: Indicator) -> list[tuple[Indicator, int]]:
+    """The indicators that a signal looks at and how many bars of each before the block."""
+    if not isinstance(i, LiveSignal):
+        return [(i, 0)]
+    own = [(x[0], 1 + (x[2] if len(x) > 2 else 0)) for x in i.sources if not isinstance(x, str)]
+    return own + [p for leg in i.legs for p in _parts(leg)]
+
+
+def _fields_of(i: Indicator) -> set[str]:
+    if not isinstance(i, LiveSignal):
+        return set()
+    return {x for x in i.sources if isinstance(x, str)} | {f for leg in i.legs for f in _fields_of(leg)}
 
 
 # --- passes ---------------------------------------------------------------------------------
@@ -328,25 +378,34 @@ def _in_order(summaries: DataFrame, each: Callable[[list[tuple[int, object]]], l
     return summaries.groupBy(symbol).applyInArrow(lambda t: run(t), summaries.schema)
 
 
-def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Bars = Bars(), block_bars: int = BLOCK_BARS) -> DataFrame:
-    """As ``add_indicators``, with long symbols in time blocks.
+def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Bars = Bars(), block_bars: int = BLOCK_BARS, keep_blocks: bool = False) -> DataFrame:
+    """As ``add_indicators``, with long symbols in time blocks; ``LiveSignal`` makes columns of events.
 
-    All indicators work this way but displaced lines and smoothing that restarts at every bar (windowed
-    Keltner bands), which are refused. Missing prices are left out of windows and carried on by recurrences.
+    Everything works this way but displaced lines, smoothing that restarts at every bar (windowed Keltner
+    bands), flows that skip bars (``on_invalid='null'`` of a running sum) and delayed recurrences within
+    signals, which are refused. Missing prices are left out of windows and carried on by recurrences.
+    ``keep_blocks`` leaves the block column for a later call or ``run_blocked``.
     """
     c.check(df)
     new = [n for alias, i in wanted.items() for n in i.names(alias)]
     if len(set(new)) != len(new) or set(new) & set(c.names):
         raise ValueError("output names must differ from each other and from the bar columns")
-    rolling = {a: i for a, i in wanted.items() if kernels.has_kernel(i)}
-    chains = {a: _chain(i) for a, i in wanted.items() if a not in rolling and _chain(i)}
-    stops = {a: i for a, i in wanted.items() if isinstance(i, T.ParabolicSar)}
-    if other := [a for a in wanted if a not in rolling and a not in chains and a not in stops]:
+    if not wanted:
+        return df
+    parts: dict[Indicator, int] = {}
+    for i in wanted.values():
+        for p, before in _parts(i):
+            parts[p] = max(before, parts.get(p, 0))
+    rolling = [i for i in parts if kernels.has_kernel(i)]
+    chains = {i: _chain(i) for i in parts if i not in rolling and _chain(i)}
+    stops = [i for i in parts if isinstance(i, T.ParabolicSar) and not parts[i]]
+    indexes = [i for i in chains if isinstance(i, T.Adx)]
+    if other := [i.name for i in parts if i not in rolling and i not in stops and (i not in chains or parts[i] > (0 if i in indexes else 1))]:
         raise ValueError(f"not known in time blocks: {', '.join(other)}")
-    indexes = {a: i for a, i in wanted.items() if isinstance(i, T.Adx)}
-    halo = max([1, *(kernels.lookback(i) for i in rolling.values()), *(RUN_IN for _ in stops)])
-    block_bars = max(block_bars, 4 * max(halo, *(i.least_bars for i in wanted.values())))
-    needs = sorted({x for i in rolling.values() for x in kernels.reads(i)} | {x for k in chains.values() for x in k.needs} | ({"high", "low", "close"} if stops else set()))
+    fields = set().union(*map(_fields_of, wanted.values()))
+    halo = max([1, *(kernels.lookback(i) + parts[i] for i in rolling), *(RUN_IN for _ in stops)])
+    block_bars = max(block_bars, 4 * max(halo, *(i.least_bars for i in [*parts, *wanted.values()])))
+    needs = sorted(fields | {x for i in rolling for x in kernels.reads(i)} | {x for k in chains.values() for x in k.needs} | ({"high", "low", "close"} if stops else set()))
     source = {x: getattr(c, x, x) for x in needs}
     folder = shared_folder(df.sparkSession, "blocks")
     base = df.drop(*new)
@@ -355,6 +414,7 @@ def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Ba
     summary_schema = StructType([*key.fields, *StructType.fromDDL(f"`{_KIND}` int, `{_CARRY}` binary").fields])
     thin = bars.select(*dict.fromkeys([c.symbol, c.ts, c.seq, *source.values()]), _BLOCK)
     steps = {a: k.step() for a, k in chains.items()}
+    number = {i: k for k, i in enumerate(parts)}  # states travel by number
 
     def row(b: pa.RecordBatch, items: list[tuple[int, int, object]]) -> pa.RecordBatch:
         n = len(items)
@@ -370,10 +430,10 @@ def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Ba
             maps = {}
             for a, k in chains.items():
                 if b.column(_BLOCK)[0].as_py() == 0:
-                    maps[a] = [float(t[-1]) for t in k.first(k.inputs(x, None))]
+                    maps[number[a]] = [float(t[-1]) for t in k.first(k.inputs(x, None))]
                 else:
                     rest = {y: v[1:] for y, v in x.items()}
-                    maps[a] = [float(t[-1]) for t in k.run(k.inputs(rest, first), [0.0] * k.size)] if b.num_rows > 1 else [0.0] * k.size
+                    maps[number[a]] = [float(t[-1]) for t in k.run(k.inputs(rest, first), [0.0] * k.size)] if b.num_rows > 1 else [0.0] * k.size
             yield row(b, [(1, 0, {"halo": {k: v[-halo:].copy() for k, v in x.items()}}), (0, 1, (b.num_rows, first, last, maps))])
 
     def compose(blocks: list) -> list:
@@ -385,8 +445,8 @@ def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Ba
             else:
                 out.append((block, 0, {"state": {a: s.tolist() for a, s in state.items()}}))
                 for a, k in chains.items():
-                    one = k.run(k.inputs({x: np.array([v]) for x, v in first.items()}, was), state[a])
-                    state[a] = np.linalg.matrix_power(steps[a], n - 1) @ np.array([t[-1] for t in one]) + np.array(maps[a])
+                    one = k.run(k.inputs({x: np.array([v]) for x, v in first.items()}, was), state[number[a]])
+                    state[number[a]] = np.linalg.matrix_power(steps[a], n - 1) @ np.array([t[-1] for t in one]) + np.array(maps[number[a]])
             was = last
         return out
 
@@ -395,11 +455,11 @@ def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Ba
     if chains:
         carry = carry.unionAll(_in_order(looked.where(F.col(_KIND) == 1), compose, c))
 
-    def traces(x: dict, carried: dict, a: str) -> list[np.ndarray]:
+    def traces(x: dict, carried: dict, a: Indicator) -> list[np.ndarray]:
         k = chains[a]
         if "state" not in carried:
             return k.first(k.inputs(x, None))
-        return k.run(k.inputs(x, {y: float(v[-1]) for y, v in carried["halo"].items()}), carried["state"][a])
+        return k.run(k.inputs(x, {y: float(v[-1]) for y, v in carried["halo"].items()}), carried["state"][number[a]])
 
     if indexes:
 
@@ -408,52 +468,77 @@ def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Ba
                 carried, own = _joined(b)
                 if own.num_rows:
                     x = _numbers(own, source)
-                    yield row(own, [(0, 1, {a: index_summary(i, traces(x, carried, a)) for a, i in indexes.items()})])
+                    yield row(own, [(0, 1, {number[i]: index_summary(i, traces(x, carried, i)) for i in indexes})])
 
         def compose_index(blocks: list) -> list:
-            out, state = [], {a: (0, 0.0) for a in indexes}
+            out, state = [], {number[i]: (0, 0.0) for i in indexes}
             for block, summary in blocks:
                 out.append((block, 0, {"index": dict(state)}))
-                state = {a: index_step(indexes[a], state[a], s) for a, s in summary.items()}
+                state = {number[i]: index_step(i, state[number[i]], summary[number[i]]) for i in indexes}
             return out
 
         carry = saved(carry, f"{folder}/carried")
         again = saved(_stream(_with_carry(thin, carry, c), c, (_KIND,)).mapInArrow(second_look, summary_schema), f"{folder}/indexed")
         carry = carry.unionAll(_in_order(again, compose_index, c))
     if stops:
-        carry = carry.unionAll(_stop_states(thin, carry.where(F.col(_KIND) == 0), stops, source, summary_schema, folder, row, c))
+        carry = carry.unionAll(_stop_states(thin, carry.where(F.col(_KIND) == 0), {number[i]: i for i in stops}, source, summary_schema, folder, row, c))
     carry = saved(carry, f"{folder}/carry")
-    fields = StructType([*base.schema.fields, *[StructField(n, DoubleType()) for n in new]])
-
-    kept = base.columns
+    kept = [*base.columns, *([_BLOCK] if keep_blocks and _BLOCK not in base.columns else [])]
+    kinds = [(n, pa.string() if isinstance(i, LiveSignal) else pa.float64()) for a, i in wanted.items() for n in i.names(a)]
+    schema = StructType([*[bars.schema[x] for x in kept], *[StructField(n, StringType() if k == pa.string() else DoubleType()) for n, k in kinds]])
+
+    def results(x: dict, size: int, carried: dict) -> dict:
+        """Of every indicator: its outputs (values, not null) over the block, after as many bars before it
+        as a signal looks at."""
+        before = carried.get("halo", {})
+        ahead = len(next(iter(before.values()))) if before else 0
+        whole = {k: np.append(before[k], v) for k, v in x.items()} if ahead else x
+        out = {}
+        for i, back in parts.items():
+            pad = max(0, back - ahead)
+            if i in rolling:
+                got = {o: (np.append(np.full(pad, np.nan), v[max(0, ahead - back) :]), np.append(np.zeros(pad, bool), ok[max(0, ahead - back) :])) for o, (v, ok) in kernels.arrays(i, whole).items()}
+            else:
+                if i in stops:
+                    values = {"": sar_fold(i, x, carried.get("stop", {}).get(number[i]))[0]}
+                elif i in indexes:
+                    values = index_lines(i, size, traces(x, carried, i), carried["index"][number[i]])
+                else:
+                    values = chains[i].shown(x, traces(x, carried, i))
+                    if "state" not in carried:  # warm-up of the first block
+                        values = {o: np.where(np.arange(size) >= _shown_from(i), v, np.nan) for o, v in values.items()}
+                    if back:  # the bar before the block, from the state there
+                        last = chains[i].shown({k: v[-1:] for k, v in before.items()}, [np.array([y]) for y in carried["state"][number[i]]]) if "state" in carried else {o: [np.nan] for o in values}
+                        values = {o: np.append(last[o], v) for o, v in values.items()}
+                got = {o: (v, ~np.isnan(v)) for o, v in values.items()}
+            out[i] = got
+        return out
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _groups(batches):
             carried, own = _joined(b)
             if not own.num_rows:
                 continue
-            x = _numbers(own, source)
-            before = carried.get("halo", {})
-            ahead = len(next(iter(before.values()))) if before else 0
-            whole = {k: np.append(before[k], v) for k, v in x.items()} if ahead else x
+            x, size = _numbers(own, source), own.num_rows
+            got = results(x, size, carried)
+
+            def values(at, x=x, size=size, got=got, carried=carried) -> tuple[np.ndarray, np.ndarray]:
+                if isinstance(at, str):
+                    return np.append(carried["halo"][at][-1] if "halo" in carried else np.nan, x[at][:-1]), x[at]
+                late = at[2] if len(at) > 2 else 0
+                v, ok = got[at[0]][at[1]]
+                v = np.where(ok, v, np.nan)
+                return v[len(v) - size - late - 1 : len(v) - late - 1], v[len(v) - size - late : len(v) - late]
+
             made = []
-            for a, i in wanted.items():
-                if a in rolling:
-                    got = {o: (v[ahead:], ok[ahead:]) for o, (v, ok) in kernels.arrays(i, whole).items()}
+            for i in wanted.values():
+                if isinstance(i, LiveSignal):
+                    made.append(pa.array(_EVENTS[signal_events(i, values)], pa.string()))
                 else:
-                    if a in stops:
-                        values = {"": sar_fold(i, x, carried.get("stop", {}).get(a))[0]}
-                    elif a in indexes:
-                        values = index_lines(i, own.num_rows, traces(x, carried, a), carried["index"][a])
-                    else:
-                        values = chains[a].shown(x, traces(x, carried, a))
-                        if "state" not in carried:  # warm-up of the first block
-                            values = {o: np.where(np.arange(own.num_rows) >= _shown_from(i), v, np.nan) for o, v in values.items()}
-                    got = {o: (v, ~np.isnan(v)) for o, v in values.items()}
-                made.extend(pa.array(got[o][0], pa.float64(), mask=~got[o][1]) for o in i.outputs)
-            yield pa.RecordBatch.from_arrays([*(own.column(n) for n in kept), *made], names=[*kept, *new])
+                    made.extend(pa.array(v[len(v) - size :], pa.float64(), mask=~ok[len(v) - size :]) for v, ok in (got[i][o] for o in i.outputs))
+            yield pa.RecordBatch.from_arrays([*(own.column(n) for n in kept), *made], names=[*kept, *[n for n, _ in kinds]])
 
-    return _stream(_with_carry(bars, carry, c), c, (_KIND,)).mapInArrow(outputs, fields).select(*kept, *new)
+    return _stream(_with_carry(bars, carry, c), c, (_KIND,)).mapInArrow(outputs, schema).select(*kept, *new)
 
 
 def _shown_from(i: Indicator) -> int:
@@ -461,7 +546,7 @@ def _shown_from(i: Indicator) -> int:
     return i.least_bars - 1 if isinstance(i, (T.Dema, T.Tema, V.Keltner, V.KeltnerPrice)) else 0
 
 
-def _stop_states(thin: DataFrame, carry: DataFrame, stops: dict[str, T.ParabolicSar], source: dict[str, str], schema: StructType, folder: str, row, c: Bars) -> DataFrame:
+def _stop_states(thin: DataFrame, carry: DataFrame, stops: dict[int, T.ParabolicSar], source: dict[str, str], schema: StructType, folder: str, row, c: Bars) -> DataFrame:
     """The state of every stop and reverse before each block: guessed from the halo, then repeated for
     blocks that began from another state than the one the block before ended in, until there are none."""
 
@@ -471,12 +556,12 @@ def _stop_states(thin: DataFrame, carry: DataFrame, stops: dict[str, T.Parabolic
             if not own.num_rows:
                 continue
             x, began, ended = _numbers(own, source), {}, {}
-            for a, i in stops.items():
+            for k, i in stops.items():
                 if "true" in carried:
-                    began[a] = carried["true"][a]
+                    began[k] = carried["true"][k]
                 else:
-                    began[a] = sar_fold(i, carried["halo"], None)[1] if "halo" in carried else None
-                ended[a] = sar_fold(i, x, began[a])[1]
+                    began[k] = sar_fold(i, carried["halo"], None)[1] if "halo" in carried else None
+                ended[k] = sar_fold(i, x, began[k])[1]
             yield row(own, [(0, 1, (began, ended))])
 
     def check(blocks: list) -> list:
