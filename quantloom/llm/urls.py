@@ -2,13 +2,13 @@
 
 Every URL is expanded into (host suffix, path prefix) expressions; these meet the rules in an
 equi-join on the first ``prefix_bytes`` bytes of a SHA-256 digest, and a match counts only if the
-full digests agree. Host suffixes are cut at dots. Path prefixes are cut at exactly those lengths
+full digests agree. Host suffixes are cut at dots and have no more labels than some rule's host. Path prefixes are cut at exactly those lengths
 that some rule's path has, so a rule path need not end at a slash and no expression is made that
 no rule could have.
 
 Defined results: a null URL or one without ``://`` has empty host and path and fits no rule; an
 URL that fits no rule gets ``default``; among fitting rules the longest host plus path wins, then
-the longer host, then ``block``; repeated pages are judged alike; other columns of the page table
+the longer host, then ``block``; hosts and paths may be of any length; repeated pages are judged alike; other columns of the page table
 are ignored.
 """
 
@@ -38,10 +38,9 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(low, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _suffixes(host: Column, most: int) -> Column:
+    """What follows the last dots of a host, up to ``most`` labels; the whole host if it has fewer."""
+    return F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in range(1, most + 1)]))
 
 
 def _digest(host: Column, path: Column) -> Column:
@@ -71,6 +70,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", def
         raise ValueError(f"the table has {', '.join(sorted(clash))} already; rename them first")
     spark = pages.sparkSession
     lengths = sorted({len(p) for _, _, p in rules})
+    most = max((h.count(".") + 1 for _, h, _ in rules), default=0)
     table = rule_table(spark, rules, prefix_bytes)
     host, path = split_url(F.col("u"))
     distinct = pages.select(F.col(url).alias("u")).where(F.locate("://", "u") > 0).distinct().select("u", host.alias("h"), path.alias("p"))
@@ -78,7 +78,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", def
     if not lengths:
         hits = small_table(spark, [], pa.schema([(c, pa.string()) for c in ("u", "rule", "rule_verdict")]))
     else:
-        grid = distinct.select("u", F.explode(_suffixes(F.col("h"))).alias("h"), prefixes.alias("ps")).select("u", "h", F.explode("ps").alias("p"))
+        grid = distinct.select("u", F.explode(_suffixes(F.col("h"), most)).alias("h"), prefixes.alias("ps")).select("u", "h", F.explode("ps").alias("p"))
         grid = grid.select("u", _digest(F.col("h"), F.col("p")).alias("own")).withColumn("short", F.substring("own", 1, prefix_bytes))
         if len(rules) <= MAX_BROADCAST_RULES:
             table = F.broadcast(table)
