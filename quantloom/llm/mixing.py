@@ -140,7 +140,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "mixing")
     skey = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    base = docs.select(F.col(doc_id).alias("doc_id"), skey.alias("skey"), size.alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    base = docs.select(F.col(doc_id).alias("doc_id"), skey.alias("skey"), size.alias("size"), *([F.struct(*docs.columns).alias("row")] if carry else []), F.monotonically_increasing_id().alias("place"))
     if not carry:
         base = ws.save(base, "sizes")
     hist = ws.save(base.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
@@ -165,7 +165,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         fitted = F.broadcast(fitted)
     own = F.xxhash64(F.lit(seed), F.col("doc_id"), *([F.to_json("row", {"ignoreNullFields": "false"})] if carry else []))
     order = [own, F.col("doc_id")]
-    ranked = rank_within(base.join(fitted, ["skey", "size"]), ["skey", "size"], "n", order, split_rows=split_rows)
+    ranked = rank_within(base.join(fitted, ["skey", "size"]), ["skey", "size"], "n", order, split_rows=split_rows, place="place")
     taken = (F.floor(F.col("copies") / F.col("n")) + (F.col("rank") < F.col("copies") % F.col("n")).cast("long")) * F.col("size")
     return ranked.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["row"] if carry else []))
 
