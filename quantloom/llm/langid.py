@@ -146,19 +146,34 @@ def fit(own: np.ndarray, size: np.ndarray, centroids: int = 4, rounds: int = 12,
 
 
 def sample(docs: DataFrame, ws: Workspace, *, use: Column, doc_id: str, text: str, lang: str, sample_per_lang: int) -> DataFrame:
-    """(lang, doc_id, text) of the ``sample_per_lang`` labelled rows of each language with the smallest id hashes.
+    """(lang, doc_id, text) of the ``sample_per_lang`` labelled rows of each language, with a letter in their
+    text, that have the smallest hashes of id and text.
 
     Counts come first; then only rows below a hash threshold that leaves about twice the sample are
-    shuffled and ranked, so a task gets the same number of rows at any size of the corpus."""
-    keyed = docs.where(use & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    counts = ws.save(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "counts")
-    if counts.count() <= BROADCAST_LANGS:
-        counts = F.broadcast(counts)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = keyed.join(counts, "lang").where(share * F.col("n") <= 2 * sample_per_lang + 50)
-    near = few.withColumn("share", share)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("share", "doc_id", F.xxhash64("text")))
-    return near.withColumn("r", rank).where(F.col("r") <= sample_per_lang).select("lang", "doc_id", "text")
+    shuffled and ranked, so a task gets the same number of rows at any size of the corpus. Equal rows share
+    a hash: the threshold of a language that has too few rows below it is raised until it has enough, so
+    none is lost, and rows are ranked in 64 parts first, so that many equal rows are not one task's."""
+    keyed = docs.where(use & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    counts = ws.save(keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("below", F.lit(2.0 * sample_per_lang + 50)), "counts")
+    hint = F.broadcast if counts.count() <= BROADCAST_LANGS else lambda x: x
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    hashed = keyed.withColumn("share", share)
+
+    def near(counts: DataFrame) -> DataFrame:
+        return hashed.join(hint(counts), "lang").where(F.col("share") * F.col("n") <= F.col("below"))
+
+    while True:
+        have = near(counts).groupBy("lang").agg(F.count(F.lit(1)).alias("have"))
+        short = F.coalesce("have", F.lit(0)) < F.least("n", F.lit(sample_per_lang))
+        seen = ws.save(counts.join(have, "lang", "left").withColumn("short", short), "near")
+        if seen.where("short").isEmpty():
+            break
+        counts = seen.select("lang", "n", F.when(F.col("short"), F.col("below") * 16).otherwise(F.col("below")).alias("below"))
+    order = ["share", "doc_id", F.xxhash64("text")]
+    some = near(counts).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= sample_per_lang)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    return some.withColumn("r", rank).where(F.col("r") <= sample_per_lang).select("lang", "doc_id", "text")
 
 
 def train(docs: DataFrame, *, use: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, dims: int = DIMS) -> Model | None:
