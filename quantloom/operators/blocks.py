@@ -56,26 +56,33 @@ def _clock(df: DataFrame, c: Bars) -> Column:
 
 
 def with_blocks(bars: DataFrame, folder: str, block_bars: int = BLOCK_BARS, c: Bars = Bars()) -> DataFrame:
-    """Adds the block of every bar, 0 for symbols of up to one and a half blocks.
+    """Adds the block of every bar, see ``cut``."""
+    return cut(bars, folder, block_bars, c)[0]
+
+
+def cut(bars: DataFrame, folder: str, block_bars: int = BLOCK_BARS, c: Bars = Bars()) -> tuple[DataFrame, bool]:
+    """(the bars with their block, 0 for symbols of up to one and a half blocks; whether any symbol is longer).
 
     Counts per time bucket (``BUCKETS`` a block) are summed up to blocks of at least ``block_bars``; times that
     crowd into one bucket stay one block. Bars of one time stay together."""
+    if c.session:
+        raise ValueError("sessions are keys of their own; blocks are for symbols without them")
     if _BLOCK in bars.columns:
-        return bars
+        return bars, True
     key, at = c.symbol, _clock(bars, c)
     least = 3 * block_bars // 2
     long = bars.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__low"), F.max(at).alias("__high")).where(F.col("__n") > least)
     long = saved(long, f"{folder}/long")
     many = long.count()
     if not many:
-        return bars.withColumn(_BLOCK, F.lit(0))
+        return bars.withColumn(_BLOCK, F.lit(0)), False
     hint = F.broadcast if many <= BROADCAST_ROWS else lambda x: x
     long = long.withColumn("__m", (F.ceil(F.col("__n") / block_bars) * BUCKETS).cast("int"))
     low, high, m = (F.col(x) for x in ("__low", "__high", "__m"))
     bucket = F.when(high > low, F.least(F.floor((F.coalesce(at, low) - low) / (high - low) * m).cast("int"), m - 1)).otherwise(F.lit(0))
     counts = bars.join(hint(long), key).groupBy(key, "__m", bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros(int(pdf["__m"].iloc[0]), np.int64)
         held[pdf["__b"]] = pdf["__n"]
         blocks, block, size = np.zeros(len(held), np.int32), 0, 0
@@ -87,10 +94,10 @@ def with_blocks(bars: DataFrame, folder: str, block_bars: int = BLOCK_BARS, c: B
             blocks[blocks == block] = max(block - 1, 0)
         return pd.DataFrame({key: [pdf[key].iloc[0]], "__blocks": [blocks]})
 
-    cuts = counts.groupBy(key).applyInPandas(cut, StructType([bars.schema[key], *StructType.fromDDL("`__blocks` array<int>").fields]))
+    cuts = counts.groupBy(key).applyInPandas(grouped, StructType([bars.schema[key], *StructType.fromDDL("`__blocks` array<int>").fields]))
     table = saved(long.join(cuts, key).select(key, "__low", "__high", "__m", "__blocks"), f"{folder}/cuts")
     joined = bars.join(hint(table), key, "left").withColumn(_BLOCK, F.coalesce(F.element_at("__blocks", bucket + 1), F.lit(0)))
-    return joined.select(*bars.columns, _BLOCK)
+    return joined.select(*bars.columns, _BLOCK), True
 
 
 # --- recurrences ----------------------------------------------------------------------------

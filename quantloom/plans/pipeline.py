@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from quantloom.functions import kernels
 from quantloom.functions.indicator import ColumnIndicator, Indicator, SeriesIndicator
 from quantloom.operators.recurrence import whole_symbols
 from quantloom.schema import Bars
@@ -25,15 +26,20 @@ from quantloom.streaming import steppers  # noqa: F401  registers the bar-by-bar
 def _require_bars(df: DataFrame, c: Bars, wanted: dict[str, Indicator]) -> DataFrame:
     """Fails the query for symbols that are too short for some indicator."""
     least = max(i.least_bars for i in wanted.values())
-    n = F.count(F.lit(1)).over(Window.partitionBy(c.symbol))
+    n = F.count(F.lit(1)).over(Window.partitionBy(c.symbol, *c.session_key))
     message = F.concat(F.lit("a symbol has fewer than "), F.lit(str(least)), F.lit(" bars: "), F.col(c.symbol).cast("string"))
     return df.withColumn(c.close, F.when(n < least, F.raise_error(message).cast("double")).otherwise(F.col(c.close)))
 
 
-def add_indicators(df: DataFrame, wanted: dict[str, Indicator], *, c: Bars = Bars(), on_short: str = "null") -> DataFrame:
+#: Rolling indicators of at least this lookback run as array kernels, whose cost does not grow with it.
+WIDE = 48
+
+
+def add_indicators(df: DataFrame, wanted: dict[str, Indicator], *, c: Bars = Bars(), on_short: str = "null", wide: int = WIDE) -> DataFrame:
     """Adds the outputs of every indicator under its alias (``alias`` or ``alias_suffix``).
 
-    One row per bar, null during warm-up. Symbols shorter than an indicator needs have nulls, or
+    Rolling indicators that look back ``wide`` bars or more join the recurrences in their Arrow pass; the
+    others are columns. One row per bar, null during warm-up. Symbols shorter than an indicator needs have nulls, or
     fail the query with ``on_short='raise'``. Null prices are NaN to a recurrence and carried on.
     """
     c.check(df)
@@ -48,17 +54,18 @@ def add_indicators(df: DataFrame, wanted: dict[str, Indicator], *, c: Bars = Bar
     if on_short == "raise":
         base = _require_bars(base, c, wanted)
     out = base
+    arrays = [a for a, i in wanted.items() if isinstance(i, SeriesIndicator) or (kernels.has_kernel(i) and kernels.lookback(i) >= wide)]
     for alias, i in wanted.items():
-        if isinstance(i, ColumnIndicator):
+        if isinstance(i, ColumnIndicator) and alias not in arrays:
             out = i.apply(out, alias, c)
-    series = {a: i for a, i in wanted.items() if isinstance(i, SeriesIndicator)}
+    series = {a: wanted[a] for a in arrays}
     if series:
         out = _grouped(out, series, c)
     return out.select(*base.columns, *new)
 
 
-def _grouped(df: DataFrame, wanted: dict[str, SeriesIndicator], c: Bars) -> DataFrame:
-    """All recurrences in one pass over Arrow batches that hold many symbols.
+def _grouped(df: DataFrame, wanted: dict[str, Indicator], c: Bars) -> DataFrame:
+    """All recurrences and kernels in one pass over Arrow batches that hold many symbols.
 
     The bar number is a window over the shared specification: it makes Spark cluster and sort the
     rows (or reuse what column indicators already need), it marks where symbols begin, and it
@@ -66,19 +73,21 @@ def _grouped(df: DataFrame, wanted: dict[str, SeriesIndicator], c: Bars) -> Data
     """
     added = [n for a, i in wanted.items() for n in i.names(a)]
     schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in added]])
-    source = {x: getattr(c, x, x) for x in sorted({x for i in wanted.values() for x in i.needs})}
+    source = {x: getattr(c, x, x) for x in sorted({x for i in wanted.values() for x in (i.needs if isinstance(i, SeriesIndicator) else kernels.reads(i))})}
 
     def extended(b: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         columns = {x: b.column(s).cast(pa.float64()).to_numpy(zero_copy_only=False) for x, s in source.items()}
         new: dict[str, list[np.ndarray]] = {n: [] for n in added}
+        known: dict[str, list[np.ndarray]] = {n: [] for n in added}
         for s, e in zip(starts, [*starts[1:], b.num_rows]):
             bars = {x: v[s:e] for x, v in columns.items()}
             for alias, i in wanted.items():
-                got = i.series(bars)
+                got = {o: (y, ~np.isnan(y)) for o, y in i.series(bars).items()} if isinstance(i, SeriesIndicator) else kernels.arrays(i, bars)
                 for suffix, name in zip(i.outputs, i.names(alias)):
-                    new[name].append(got[suffix])
-        arrays = [np.concatenate(new[n]) for n in added]
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(y, pa.float64(), mask=np.isnan(y)) for y in arrays]], names=[*b.schema.names[:-1], *added])
+                    new[name].append(got[suffix][0])
+                    known[name].append(got[suffix][1])
+        arrays = [pa.array(np.concatenate(new[n]), pa.float64(), mask=~np.concatenate(known[n])) for n in added]
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, starts in whole_symbols(batches):

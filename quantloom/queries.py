@@ -6,8 +6,6 @@ to six places on both sides.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +23,7 @@ from quantloom.operators import backtest as B
 from quantloom.plans.pipeline import add_indicators
 from quantloom.schema import Bars
 from quantloom.sources.bars import CsvLayout, enriched, read_csv, resample, write_csv
+from quantloom.sources.scratch import shared_folder
 
 C = Bars()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,28 +394,19 @@ _CSV = sql(
 )
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{root or 'file://' + tempfile.gettempdir()}/quantloom-csv-{uuid.uuid4().hex}"
-
-
 def _csv_read(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars of all events as CSV files, read by position with a date format, and averaged."""
-    e = spark.read.parquet(f"{sf}/events.parquet").select("ts", "event_id", "value")
-    bars = resample(e, symbol=F.lit("all"), bucket=F.date_trunc("hour", "ts"), price=F.col("value"), volume=F.lit(1), order=[F.col("ts"), F.col("event_id")])
-    path = _scratch(spark)
-    write_csv(enriched(bars.withColumn("date", F.date_format("ts", "yyyy-MM-dd HH")), {}), path)
-    df = add_indicators(read_csv(spark, path, CsvLayout(date_format="%Y-%m-%d %H"), symbol="all"), {"sma": T.Sma(5)})
+    """Bars of each event type as CSV files, read by position with a date format, and averaged."""
+    bars, folder = hourly_bars(spark, sf).withColumn("date", F.date_format("ts", "yyyy-MM-dd HH")), shared_folder(spark, "csv")
+    read = None
+    for name in sorted(r["symbol"] for r in bars.select("symbol").distinct().collect()):
+        write_csv(enriched(bars.where(F.col("symbol") == name), {}), f"{folder}/{name}")
+        one = read_csv(spark, f"{folder}/{name}", CsvLayout(date_format="%Y-%m-%d %H"), symbol=name)
+        read = one if read is None else read.unionAll(one)
+    df = add_indicators(read, {"sma": T.Sma(5)})
     return df.select("symbol", "date", F.date_format("ts", "yyyy-MM-dd HH").alias("parsed"), *[_r(x) for x in ("open", "high", "low", "close", "volume", "sma")])
 
 
-_CSV_READ = f"""WITH b AS (SELECT 'all' AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
-  CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM b)
-SELECT symbol, strftime(ts, '%Y-%m-%d %H') AS date, strftime(ts, '%Y-%m-%d %H') AS parsed, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume,
-  round(CASE WHEN rn >= 5 THEN avg(close) {_w(5)} END, 6) AS sma FROM x"""
+_CSV_READ = sql("SELECT symbol, strftime(ts, '%Y-%m-%d %H') AS date, strftime(ts, '%Y-%m-%d %H') AS parsed, " + ", ".join(f"round({x}, 6) AS {x}" for x in ("open", "high", "low", "close", "volume")) + f", round(CASE WHEN rn >= 5 THEN avg(close) {_w(5)} END, 6) AS sma FROM x")
 
 
 def _std_aggregate(spark: SparkSession, sf: str) -> DataFrame:

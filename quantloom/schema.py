@@ -11,7 +11,8 @@ from pyspark.sql.window import Window, WindowSpec
 
 @dataclass(frozen=True)
 class Bars:
-    """Names of the bar columns; bars of a symbol are ordered by (ts, seq)."""
+    """Names of the bar columns; bars of a symbol are ordered by (ts, seq). With ``session``, a further
+    column, everything starts afresh in every session of a symbol."""
 
     symbol: str = "symbol"
     ts: str = "ts"
@@ -21,6 +22,7 @@ class Bars:
     low: str = "low"
     close: str = "close"
     volume: str = "volume"
+    session: str | None = None
 
     def __post_init__(self):
         if len(set(self.names)) != len(self.names):
@@ -31,13 +33,17 @@ class Bars:
         return (self.symbol, self.ts, self.seq, self.open, self.high, self.low, self.close, self.volume)
 
     def check(self, df: DataFrame) -> None:
-        missing = [c for c in self.names if c not in df.columns]
+        missing = [c for c in (*self.names, *self.session_key) if c not in df.columns]
         if missing:
             raise ValueError(f"bar columns are missing: {', '.join(missing)}")
 
+    @property
+    def session_key(self) -> tuple[str, ...]:
+        return (self.session,) if self.session else ()
+
     def window(self) -> WindowSpec:
         """All operators use this partitioning and order, so Spark plans one exchange and one sort."""
-        return Window.partitionBy(self.symbol).orderBy(self.ts, self.seq)
+        return Window.partitionBy(self.symbol, *self.session_key).orderBy(self.ts, self.seq)
 
     def last(self, n: int) -> WindowSpec:
         return self.window().rowsBetween(-(n - 1), 0)
