@@ -169,7 +169,7 @@ def test_calendar_and_gap_sessions(spark):
     day = with_sessions(df, Calendar(24)).orderBy("ts").collect()
     assert [r["session"].day for r in day] == [1, 1, 1, 1, 1, 2, 2, 2, 3, 3]
     shifted = with_sessions(df, Calendar(24, 23)).orderBy("ts").collect()
-    assert len({r["session"] for r in shifted}) == 4 and shifted[3]["session"].hour == 23
+    assert len({r["session"] for r in shifted}) == 3 and shifted[4]["session"].hour == 23
     rule = Gap(240)
     begun = [r["session"] for r in with_sessions(df, rule).orderBy("ts").collect()]
     assert [b.timestamp() // 3600 for b in begun] == [0, 0, 0, 22, 22, 22, 22, 30, 49, 60]
