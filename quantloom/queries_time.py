@@ -3,6 +3,7 @@ each with its SQL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,13 @@ from quantloom.functions import signals as S
 from quantloom.functions import trend as T
 from quantloom.functions import volatility as V
 from quantloom.functions import volume as U
+from quantloom.functions.registry import register
 from quantloom.functions.sessions import Calendar, Gap, gap_session_bars, session_pivots, with_sessions
 from quantloom.operators import backtest as B
 from quantloom.operators.asof import asof
 from quantloom.operators.block_backtest import run_blocked
 from quantloom.operators.blocks import add_indicators_blocked
+from quantloom.operators.grid import sweep_grid
 from quantloom.plans.pipeline import add_indicators
 from quantloom.plans.resumable import advance
 from quantloom.queries import _AVERAGES, _BARS, _CONFIG, _METRICS, INDICATORS, _acted, _ema, _fold_sql, _lag, _metric_sql, _out, _r, _rec, _sql_indicators, _w, hourly_bars, numbered, sql
@@ -228,6 +231,24 @@ def _exchange(spark: SparkSession, sf: str) -> DataFrame:
 _EXCHANGE = sql("SELECT symbol, strftime(ts, '%Y-%m-%d %H') AS hour, " + ", ".join(f"round({x}, 6) AS {x}" for x in ("open", "high", "low", "close", "volume")) + f", round(CASE WHEN rn >= 5 THEN avg(close) {_w(5)} END, 6) AS sma FROM x")
 
 
+# --- grids and SQL --------------------------------------------------------------------------
+
+_GRID = [(f, s) for f in (3, 5) for s in (10, 20)]
+
+
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    out = sweep_grid(hourly_bars(spark, sf), [(T.Sma(f), T.Sma(s)) for f, s in _GRID], config=_CONFIG)
+    return out.select("symbol", "param_id", "trade_count", *map(_r, _METRICS))
+
+
+def _sql_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The relative strength of all bars by the table function."""
+    register(spark)
+    view = f"sql_table_{uuid.uuid4().hex}"
+    numbered(spark, sf).createOrReplaceTempView(view)
+    return spark.sql(f"""SELECT symbol, rn, round(value, 6) AS rsi FROM indicator(TABLE({view}) PARTITION BY symbol ORDER BY (ts, seq), 'rsi', '{{"n": 14}}')""")
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"blocked_{n}": _blocked(n) for n in _BLOCKED}
     return out | {
@@ -236,6 +257,7 @@ def queries() -> dict[str, Query]:
         "session_vwap": _session_vwap, "session_pivots": _session_pivots, "gap_sessions": _gap_sessions, "gap_session_vwap": _gap_vwap,
         "asof_last": _asof((), None, True), "asof_by_user": _asof(("user_id",), None, True), "asof_tolerance": _asof((), 600, False),
         "resumed_indicators": _resumed, "quantity_fixed": _fixed, "short_reference": _short_reference, "error_policies": _policies, "csv_exchange": _exchange,
+        "grid_sweep": _grid, "sql_table_function": _sql_table,
     }
 
 
@@ -254,5 +276,6 @@ def oracle_sql() -> dict[str, str]:
         "gap_sessions": f"{_GAPS} SELECT symbol, strftime(begun, '%Y-%m-%d %H') AS session, count(*) AS bars, round(arg_min(open, ts), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(close, ts), 6) AS close, round(sum(volume), 6) AS volume FROM e GROUP BY symbol, begun",
         "gap_session_vwap": f"{_GAPS} SELECT symbol, strftime(ts, '%Y-%m-%d %H') AS hour, strftime(begun, '%Y-%m-%d %H') AS session, round(sum((high + low + close) / 3 * volume) OVER w / sum(volume) OVER w, 6) AS vwap FROM e WINDOW w AS (PARTITION BY symbol, begun ORDER BY ts ROWS UNBOUNDED PRECEDING)",
         "asof_last": _asof_sql(False, None, True), "asof_by_user": _asof_sql(True, None, True), "asof_tolerance": _asof_sql(False, 600, False),
-        "resumed_indicators": _RESUMED, "error_policies": _POLICIES, "csv_exchange": _EXCHANGE,
+        "resumed_indicators": _RESUMED, "error_policies": _POLICIES, "csv_exchange": _EXCHANGE, "sql_table_function": plain["rsi"],
+        "grid_sweep": " UNION ALL ".join(f"SELECT * FROM ({sql(_metric_sql(f'{i} AS param_id,'), *_fold_sql(f, s))})" for i, (f, s) in enumerate(_GRID)),
     }
