@@ -33,8 +33,8 @@ from quantloom.llm.workspace import Workspace
 
 #: Bytes of text that share a dictionary; a longer text is a block of its own.
 BLOCK_BYTES = 32 << 20
-#: Distinct segments of one task.
-SEGMENTS_PER_TASK = 100_000
+#: Dictionary entries of one task that aligns, and those of a block that are unpacked at a time.
+ENTRIES_PER_TASK, UNPACKED = 400_000, 50_000
 #: A table of id pairs up to this many rows is broadcast; a larger one is joined with salted keys.
 BROADCAST_PAIRS = 2_000_000
 SALTS = 16
@@ -255,10 +255,12 @@ def _cut(path_a: str, path_b: str):
 
 
 def _aligner(path_a: str, path_b: str):
+    """Aligns segments; their places (``refs``) go along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(path_a, path_b)
         for b in chunks(batches, "segment", 1 << 20, 20_000):
-            yield pa.RecordBatch.from_arrays([b.column("segment"), pa.array(p.align(b.column("segment").to_pylist()), pa.binary())], names=["segment", "aligned"])
+            yield pa.RecordBatch.from_arrays([b.column("refs"), pa.array(p.align(b.column("segment").to_pylist()), pa.binary())], names=["refs", "aligned"])
 
     return run
 
@@ -306,12 +308,9 @@ class Alignments:
         mark = np.where(self.last, 3, np.where(np.append(self.side[1:], False)[: len(self.side)] & ~self.side, 2, 1))  # ; | ,
         known, which = np.unique(self.ids << 2 | mark, return_inverse=True)
         table = [b"%d%s" % (k >> 2, b" ,|;"[k & 3 : (k & 3) + 1]) for k in known.tolist()]
-        out, edge = [], self.edge.tolist()
-        for at in range(0, len(edge) - 1, 50_000):
-            own = edge[at : at + 50_001]
-            parts = [table[i] for i in which[own[0] : own[-1]].tolist()]
-            out.extend(b"".join(parts[x - own[0] : y - own[0]])[:-1] for x, y in zip(own, own[1:]))
-        return out
+        edge = self.edge.tolist()
+        parts = [table[i] for i in which.tolist()]
+        return [b"".join(parts[x:y])[:-1] for x, y in zip(edge, edge[1:])]
 
 
 def _entries(entries: pa.Table, names: list[str]) -> list[pa.Array]:
@@ -338,15 +337,29 @@ def _compose(kind: str):
         digest, pairs, held = [""] * n, np.zeros(0, np.int64), np.zeros(0, np.int64)
         if n and entries.num_rows:
             codes, edge = unpacked(docs.column("codes").to_pylist())
-            al = Alignments(*_entries(entries, ["aligned"]), kind)
-            good = (_summed(codes, edge, ~al.ok) == 0) & (edge[1:] > edge[:-1])
-            for x, v in (("n_a", al.n - al.n_b), ("n_b", al.n_b), ("n_groups", al.n_groups), ("n_links", al.n_links)):
+            column = _entries(entries, ["aligned"])[0]
+            m = len(column)
+            ok, text, own, links, off = np.zeros(m, bool), [], [], [], [np.zeros(1, np.int64)]
+            counts = {x: np.zeros(m, np.int64) for x in numbers}
+            for at in range(0, m, UNPACKED):  # a part of the dictionary at a time, so that arrays stay small
+                al = Alignments(column.slice(at, UNPACKED), kind)
+                some = slice(at, at + UNPACKED)
+                ok[some] = al.ok
+                for x, v in (("n_a", al.n - al.n_b), ("n_b", al.n_b), ("n_groups", al.n_groups), ("n_links", al.n_links)):
+                    counts[x][some] = v
+                held_pairs, edges = al.pairs()
+                held_pairs, index = np.unique(held_pairs, return_inverse=True)
+                own.append(held_pairs)
+                links.append(index.astype(np.int32))
+                off.append(edges[1:] + off[-1][-1])
+                text.extend(al.texts())
+            del al, column
+            pairs = np.unique(np.concatenate(own))
+            links = np.concatenate([np.searchsorted(pairs, x).astype(np.int32)[i] for x, i in zip(own, links)])
+            good = (_summed(codes, edge, ~ok) == 0) & (edge[1:] > edge[:-1])
+            for x, v in counts.items():
                 numbers[x] = np.where(good, _summed(codes, edge, v), 0)
-            links, off = al.pairs()
-            pairs, links = np.unique(links, return_inverse=True)
-            held = _holders(codes, edge, good, links, off, len(pairs))
-            text = al.texts()
-            del al
+            held = _holders(codes, edge, good, links, np.concatenate(off), len(pairs))
             for i in np.flatnonzero(good).tolist():
                 h = hashlib.sha256()
                 for at in range(edge[i], edge[i + 1], 100_000):
@@ -389,10 +402,10 @@ def _count(docs: pa.Table, entries: pa.Table) -> pa.Table:
 
 
 def _links(kind: str):
-    """(segment, pair, links) of aligned segments."""
+    """(sid, pair) of every link of aligned segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "segment", 1 << 20, 20_000):
+        for b in chunks(batches, "aligned", 1 << 20, 20_000):
             pairs, off = Alignments(b.column("aligned"), kind).pairs()
             at = np.repeat(np.arange(b.num_rows), np.diff(off))
             yield pa.RecordBatch.from_arrays([b.column("sid").take(pa.array(at)), pa.array(pairs)], names=["sid", "pair"])
@@ -415,15 +428,18 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, doc_id: str =
     cut = ws.save(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(_cut(path_a, path_b)), _CUT), "blocks")
     held = cut.where("codes IS NOT NULL").select(F.shiftright("ref", 28).alias("block"), "ref", "doc_id", "codes")
     entries = cut.where("segment IS NOT NULL").select("ref", "segment")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-entries.count() // SEGMENTS_PER_TASK))
-    made = entries.select("segment").distinct().repartition(tasks).mapInArrow(lean(_aligner(path_a, path_b)), "segment string, aligned binary")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-entries.count() // ENTRIES_PER_TASK))
+    # a segment comes once a block, so its list has one number for every 32 MB of the corpus at most
+    grouped = entries.repartition(tasks, "segment").groupBy("segment").agg(F.collect_list("ref").alias("refs"))
+    made = grouped.mapInArrow(lean(_aligner(path_a, path_b)), "refs array<long>, aligned binary")
     made = ws.save(made.withColumn("sid", F.monotonically_increasing_id()), "aligned")
 
     def per_block(wanted: DataFrame, each, schema: str) -> DataFrame:
-        joined = entries.join(wanted, "segment").drop("segment").withColumns({"of": F.shiftright("ref", 28), "entry": F.col("ref")}).drop("ref")
-        return held.groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(lambda a, b: each(a, b), schema)
+        at = wanted.withColumn("ref", F.explode("refs")).drop("refs")
+        at = at.withColumns({"of": F.shiftright("ref", 28), "entry": F.col("ref").bitwiseAND(ROOM - 1).cast("int")}).drop("ref")
+        return held.groupBy("block").cogroup(at.groupBy("of")).applyInArrow(lambda a, b: each(a, b), schema)
 
-    first = ws.save(per_block(made.select("segment", "aligned"), _compose(kind), _FIRST), "composed")
+    first = ws.save(per_block(made.select("refs", "aligned"), _compose(kind), _FIRST), "composed")
     counts = first.where("pair IS NOT NULL").groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a", F.shiftright("pair", 32))
     counts = ws.save(counts, "counts")
     most = counts.groupBy("a").agg(F.max("docs").alias("most"))
@@ -436,7 +452,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, doc_id: str =
         small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = links.withColumn("salt", F.pmod(F.col("sid"), F.lit(SALTS)).cast("int")).join(small, ["pair", "salt"])
     sums = met.groupBy("sid").agg(F.sum("docs").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"))
-    sums = made.select("sid", "segment").join(sums, "sid", "left").select("segment", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n_best", "count_sum")])
+    sums = made.select("sid", "refs").join(sums, "sid", "left").select("refs", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("n_best", "count_sum")])
     second = per_block(sums, _count, "ref long, n_best long, count_sum long")
     rows = first.where("ref IS NOT NULL").drop("pair", "docs")
     mine = lambda x: F.when(F.col("n_a") > 0, F.col(x)).otherwise(F.lit(0).cast("long")).alias(x)
