@@ -87,6 +87,7 @@ class Pair:
         self.kind = id_type(len(self.bytes_a), len(self.bytes_b))
         self.splits = self.can_split()
         self.quick = _rank_encoder(self.spec, path_a)  # for segments without unusual white space
+        del self.spec
 
     def can_split(self) -> bool:
         """Whether no token of either side can reach from a character that is not white space to a blank
@@ -162,10 +163,10 @@ def _starts(off: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 def packed(codes: np.ndarray, edge: np.ndarray) -> list[bytes]:
     """The codes edge[i] to edge[i + 1] of every document, seven bits a byte, the lowest first."""
-    size = np.ones(len(codes), np.int64)
+    size = np.ones(len(codes), np.int8)
     for k in range(1, 5):
         size += codes >= 1 << 7 * k
-    upto = np.append(0, np.cumsum(size))
+    upto = np.append(0, np.cumsum(size, dtype=np.int64))
     out = np.zeros(upto[-1], np.uint8)
     for k in range(5):
         some = size > k
@@ -176,18 +177,24 @@ def packed(codes: np.ndarray, edge: np.ndarray) -> list[bytes]:
 
 def unpacked(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(codes of all documents in a row, where each begins and the total)."""
-    data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-    last = data < 128
-    number = np.cumsum(last) - last
-    count = int(last.sum())
-    begin = np.append(0, np.flatnonzero(last) + 1)[:count]
-    codes = np.zeros(count, np.int64)
-    within = np.arange(len(data)) - begin[number]
-    for k in range(int(within.max(initial=0)) + 1):
-        some = within == k
-        codes[number[some]] |= (data[some] & 127) << 7 * k
-    sums = np.append(0, np.cumsum(last))
-    return codes, sums[np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64)]
+    codes, many = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    size = np.append(0, np.cumsum([len(p) for p in parts]))
+    at = 0
+    while at < len(parts):  # about a megabyte at a time
+        end = max(at + 1, int(np.searchsorted(size, size[at] + (1 << 20), "right")) - 1)
+        data = np.frombuffer(b"".join(parts[at:end]), np.uint8)
+        last = data < 128
+        number = np.cumsum(last) - last
+        begin = np.append(0, np.flatnonzero(last) + 1)[: int(last.sum())]
+        own, within = np.zeros(len(begin), np.int32), np.arange(len(data)) - begin[number]
+        for k in range(int(within.max(initial=0)) + 1):
+            some = within == k
+            own[number[some]] |= (data[some] & 127).astype(np.int32) << 7 * k
+        codes.append(own)
+        sums = np.append(0, np.cumsum(last))
+        many.append(np.diff(sums[size[at : end + 1] - size[at]]))
+        at = end
+    return np.concatenate(codes), np.cumsum(np.concatenate(many))
 
 
 _CUT = "ref long, doc_id long, codes binary, segment string"
@@ -195,35 +202,37 @@ _CUT = "ref long, doc_id long, codes binary, segment string"
 ROOM = 1 << 28
 
 
-def _cut(path_a: str, path_b: str):
+def _cut(splits: bool):
     """Documents as codes into block dictionaries: rows with ``codes`` are documents, rows with a
     ``segment`` are dictionary entries, the most frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splits, pows = pair(path_a, path_b).splits, Powers()
+        pows = Powers()
         block, size = TaskContext.get().partitionId() << 14, 0
         held: list[tuple] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, size
             if held:
-                ids, edges, codes, hs, gs, texts = zip(*held)
-                h, g = np.concatenate(hs), np.concatenate(gs)
+                h, g = (np.concatenate([x[i] for x in held]) for i in (3, 4))
                 _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
                 if (g[first][inverse] != g).any():  # the first hash does not tell all segments apart
                     _, first, inverse = np.unique(np.stack([h, g], 1), axis=0, return_index=True, return_inverse=True)
-                shift = np.cumsum([0, *map(len, hs[:-1])])
-                all_codes = np.concatenate([inverse.ravel()[c + x] for c, x in zip(codes, shift)])
-                order = np.argsort(-np.bincount(all_codes, minlength=len(first)), kind="stable")
+                del h, g
+                inverse = np.split(inverse.ravel().astype(np.int32), np.cumsum([len(x[3]) for x in held])[:-1])
+                many = np.zeros(len(first), np.int64)
+                for x, own in zip(held, inverse):
+                    many += np.bincount(own[x[2]], minlength=len(first))
+                order = np.argsort(-many, kind="stable")
                 place = np.empty(len(order), np.int64)
                 place[order] = np.arange(len(order))
-                upto = np.cumsum([0, *map(len, codes[:-1])])
-                edge = np.concatenate([*(e[:-1] + x for e, x in zip(edges, upto)), [len(all_codes)]])
-                segments = pa.concat_arrays(texts).take(pa.array(first[order]))
-                n, m = len(edge) - 1, len(order)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(block * ROOM + np.arange(n)), pa.array([i for x in ids for i in x], pa.int64()), pa.array(packed(place[all_codes], edge), pa.binary()), pa.nulls(n, pa.string())], names=["ref", "doc_id", "codes", "segment"])
-                for at in range(0, m, 50_000):
+                segments = pa.concat_arrays([x[5] for x in held]).take(pa.array(first[order]))
+                n = 0
+                for (ids, edge, code, *_), own in zip(held, inverse):
+                    yield pa.RecordBatch.from_arrays([pa.array(block * ROOM + n + np.arange(len(ids))), ids, pa.array(packed(place[own[code]], edge), pa.binary()), pa.nulls(len(ids), pa.string())], names=["ref", "doc_id", "codes", "segment"])
+                    n += len(ids)
+                held.clear()
+                for at in range(0, len(order), 50_000):
                     some = segments.slice(at, 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(block * ROOM + np.arange(at, at + len(some))), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), some], names=["ref", "doc_id", "codes", "segment"])
             held.clear()
@@ -245,7 +254,7 @@ def _cut(path_a: str, path_b: str):
             edge = np.append(0, np.cumsum(width))
             take = np.repeat(s - edge[:-1], width) + np.arange(edge[-1])
             texts = pa.StringArray.from_buffers(len(s), pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(data[take].tobytes()))
-            held.append((b.column("doc_id").to_pylist(), np.searchsorted(begin, off), code.ravel().astype(np.int32), h[first], g[first], texts))
+            held.append((b.column("doc_id"), np.searchsorted(begin, off), code.ravel().astype(np.int32), h[first], g[first], texts))
             size += len(data)
             if size >= BLOCK_BYTES:
                 yield from flush()
@@ -425,7 +434,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, doc_id: str =
     ws = Workspace(spark, "alignment")
     p = pair(path_a, path_b)
     kind = p.kind
-    cut = ws.save(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(_cut(path_a, path_b)), _CUT), "blocks")
+    cut = ws.save(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(_cut(p.splits)), _CUT), "blocks")
     held = cut.where("codes IS NOT NULL").select(F.shiftright("ref", 28).alias("block"), "ref", "doc_id", "codes")
     entries = cut.where("segment IS NOT NULL").select("ref", "segment")
     tasks = max(spark.sparkContext.defaultParallelism, -(-entries.count() // ENTRIES_PER_TASK))
