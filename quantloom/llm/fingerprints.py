@@ -99,25 +99,26 @@ def edit(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
-#: Text bytes of a block, about; there are no fewer blocks than shuffle partitions.
-BLOCK_BYTES = 128 << 20
+#: Text bytes of a block, about; there are no fewer blocks than shuffle partitions, and no more than
+#: MOST_BLOCKS: a task reads its block in order and holds one batch of it, so blocks may be of any size.
+BLOCK_BYTES, MOST_BLOCKS = 128 << 20, 20_000
 
 
 def fingerprint_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", blocks: int | None = None, k: int = K, size: int = SIZE, l: int = TUPLE) -> DataFrame:
     """Fingerprints of every text and of its edited text, compared with each other and the next text's.
 
     Texts move once, into blocks of neighbouring ids, each of which is one task. The number of blocks
-    follows the bytes; an id that holds more than a block is cut by its texts' hashes. The first
+    follows the bytes up to ``MOST_BLOCKS``; an id that holds more than a block is cut by its texts' hashes. The first
     document of each block is also sent to the block before as its look-ahead, so neighbours meet
-    without a global order in one task. The driver sees three numbers per block; a task holds one
-    batch of texts.
+    without a global order in one task. The driver sees three numbers per block, so a bounded table; a task
+    holds one batch of texts.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LEAST)).alias("key"), F.shiftrightunsigned(F.xxhash64(body), 32).alias("th"), body.alias("text"))
     if blocks is None:
         volume = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // BLOCK_BYTES))
+        blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-volume // BLOCK_BYTES), MOST_BLOCKS))
     cuts = rows.select(F.percentile_approx("key", [i / blocks for i in range(1, blocks)] or [0.5], max(10_000, 4 * blocks))).first()[0] or []
     cuts = np.sort(np.array(cuts, np.int64))
 

@@ -13,7 +13,8 @@ its bucket's score exceeds (d / w)^2 times a quantile of chi-squared with chance
 table. The query stops there, and at its ``probes`` first buckets in any case. Where neighbours are
 much nearer than other points few buckets are left; without such structure the budget decides.
 
-Only points of visited buckets are multiplied with the query, each once: what an earlier table or
+Within a region a query names its perturbed buckets in success order and looks them up, so what it costs
+there does not grow with the number of buckets. Only points of visited buckets are multiplied with the query, each once: what an earlier table or
 the first look has met is left out by its buckets there, before any product.
 
 Work is dealt by region, the first two hash values of a table, so a query goes to at most nine
@@ -85,6 +86,63 @@ def costs(names: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.where(step == -1, f[:, None, :] ** 2, np.where(step == 1, (1 - f[:, None, :]) ** 2, np.where(step == 0, 0.0, np.inf))).sum(2)
 
 
+class Buckets:
+    """The buckets of a part of a region, found by their coordinates: points of a bucket are in a row.
+
+    A query's perturbed buckets are named in success order and looked up, at most 3^(hashes - 2) of them in
+    a region, so a query costs the same whatever the number of buckets; where there are fewer buckets than
+    that, these are scored instead."""
+
+    def __init__(self, z: np.ndarray):
+        names, which = np.unique(z, axis=0, return_inverse=True)
+        self.order = np.argsort(which.ravel(), kind="stable")
+        self.edge = np.searchsorted(which.ravel()[self.order], np.arange(len(names) + 1))
+        self.steps = np.array(list(itertools.product((-1, 0, 1), repeat=z.shape[1] - 2)), np.int32)
+        self.low, self.high = (self.steps == -1).astype(float), (self.steps == 1).astype(float)
+        self.names = names
+        code = self._code(names[:, 2:])
+        self.by = np.argsort(code)
+        self.codes = code[self.by]
+
+    @staticmethod
+    def _code(x: np.ndarray) -> np.ndarray:
+        """Coordinates as a number; different ones may share it, so names are compared."""
+        out = np.zeros(len(x), np.uint64)
+        for j in range(x.shape[1]):
+            out = (out ^ x[:, j].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def scores(self, z: np.ndarray) -> np.ndarray:
+        """Perturbation scores of queries: of their possible buckets here, or of all buckets."""
+        if len(self.names) <= len(self.steps):
+            return costs(self.names, z)
+        base = np.floor(z)
+        f = z - base
+        first = self.names[0, :2] - base[:, :2]
+        start = np.where(first == -1, f[:, :2] ** 2, np.where(first == 1, (1 - f[:, :2]) ** 2, np.where(first == 0, 0.0, np.inf))).sum(1)
+        return start[:, None] + f[:, 2:] ** 2 @ self.low.T + (1 - f[:, 2:]) ** 2 @ self.high.T
+
+    def points(self, z: np.ndarray, score: np.ndarray, most: float, seen: float) -> np.ndarray:
+        """The points of a query's buckets with scores above ``seen`` up to ``most``, in success order."""
+        at = np.flatnonzero((score <= most + SLACK) & (score > seen - SLACK))
+        at = at[np.argsort(score[at], kind="stable")]
+        if len(self.names) > len(self.steps):
+            wanted = np.floor(z[2:]).astype(np.int32) + self.steps[at]
+            code = self._code(wanted)
+            place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            here = np.flatnonzero(self.codes[place] == code)
+            at = self.by[place[here]]
+            at = at[(self.names[at, 2:] == wanted[here]).all(1)]
+        many = self.edge[at + 1] - self.edge[at]
+        upto = np.cumsum(many) - many
+        return self.order[np.repeat(self.edge[at] - upto, many) + np.arange(many.sum())]
+
+
+#: Scores are worked out in two ways; buckets at a bound by so little are visited rather than left out.
+SLACK = 1e-9
+
+
 def chi_squared(dof: int, tail: float) -> float:
     """The value that chi-squared exceeds with chance ``tail`` (Wilson and Hilferty)."""
     z = NormalDist().inv_cdf(1 - tail)
@@ -95,7 +153,8 @@ def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "v
             probes: int = PROBES, first: int = FIRST, miss: float = MISS, region_rows: int = REGION_ROWS, seed: int = 11, with_work: bool = False) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found for every row where ``is_query``.
 
-    With ``with_work`` instead: qid, looked (inner products worked out), one row per distinct query."""
+    With ``with_work`` instead: qid, looked (inner products worked out), scored (bucket scores worked out),
+    one row per distinct query."""
     spark = table.sparkSession
     ws = Workspace(spark, "neighbours")
     v = F.col(vector).cast("array<double>")
@@ -164,9 +223,8 @@ def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "v
         def build(t: int) -> tuple:
             vec = np.concatenate([_matrix(b.column("v")) for b in pend])
             z = np.stack([np.frombuffer(x, np.int32) for b in pend for x in b.column("buckets").to_pylist()]).reshape(len(vec), tables, hashes)
-            names, inverse = np.unique(z[:, t], axis=0, return_inverse=True)
             ids = [x for b in pend for x in b.column("ids").to_pylist()]
-            return vec, names, inverse.ravel(), z, ids, np.array([x[0] for x in ids])
+            return vec, Buckets(z[:, t]), z, ids, np.array([x[0] for x in ids])
 
         for b in batches:
             if not b.num_rows:
@@ -184,25 +242,25 @@ def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "v
                     continue
                 t = int(key[1])
                 index = index or build(t)
-                vec, names, which, z, ids, least = index
-                each = max(1, min(128, 200_000 // len(names)))
+                vec, buckets, z, ids, least = index
+                each = 128
                 for at in range(0, run.num_rows, each):
                     part = run.slice(at, each)
                     q, seen = _matrix(part.column("v")), part.column("seen").to_numpy()
                     most = [np.frombuffer(x, float) for x in part.column("most").to_pylist()]
                     own = [hashed(unit(part.column("v"))[0], j, hashes, width, seed) for j in range(t + 1)]
-                    cost = costs(names, own[t])
-                    qs, found, scores, looked = [], [], [], []
+                    cost = buckets.scores(own[t])
+                    qs, found, scores, looked, scored = [], [], [], [], []
                     for i, qid in enumerate(part.column("qid").to_pylist()):
-                        visit = (cost[i] <= most[i][t]) & ~((cost[i] <= seen[i]) if t == 0 else False)
-                        c = np.flatnonzero(visit[which])
+                        c = buckets.points(own[t][i], cost[i], most[i][t], seen[i] if t == 0 else -np.inf)
                         for j in range(t):  # met in an earlier table, or in the first look
-                            c = c[costs(z[c, j], own[j][i : i + 1])[0] > max(most[i][j], seen[i] if j == 0 else -1.0)]
+                            c = c[costs(z[c, j], own[j][i : i + 1])[0] > max(most[i][j], seen[i] if j == 0 else -1.0) - SLACK]
                         if with_work:
                             qs.append(qid)
                             found.append([])
                             scores.append(None)
                             looked.append(len(c))
+                            scored.append(cost.shape[1])
                         if not len(c):
                             continue
                         dots = vec[c] @ q[i]
@@ -215,7 +273,8 @@ def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "v
                             found.append(ids[c[j]])
                             scores.append(float(exact[j]))
                             looked.append(0)
-                    yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.float64()), pa.array(looked, pa.int64())], names=["qid", "ids", "score", "looked"])
+                            scored.append(0)
+                    yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.float64()), pa.array(looked, pa.int64()), pa.array(scored, pa.int64())], names=["qid", "ids", "score", "looked", "scored"])
 
     def look(queries: DataFrame, own: DataFrame, name: str) -> DataFrame:
         routed = queries.select("dim", "v", "qid", "kth", "again").mapInArrow(lean(route), "dim int, t int, c0 int, c1 int, qid long, v array<double>, most binary, seen double")
@@ -223,14 +282,14 @@ def nearest(table: DataFrame, *, is_query: Column, k: int = 20, vec_id: str = "v
         right = routed.join(parts, region).select(*region, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("buckets"), F.lit(None).cast("array<long>").alias("ids"), "qid", "most", "seen", "v")
         cols = [*cell, "kind", "buckets", "ids", "qid", "most", "seen", "v"]
         dealt = left.select(*cols).unionAll(right.select(*cols)).repartition(*cell).sortWithinPartitions(*cell, "kind")
-        return ws.save(dealt.mapInArrow(lean(search), "qid long, ids array<long>, score double, looked long"), name)
+        return ws.save(dealt.mapInArrow(lean(search), "qid long, ids array<long>, score double, looked long, scored long"), name)
 
     start = look(asked.withColumns({"kth": F.lit(None).cast("double"), "again": F.lit(False)}), placed.where("t = 0"), "first-look")
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
     kth = start.where("score IS NOT NULL").withColumn("r", order).where(F.col("r") == k + 1).select("qid", F.col("score").alias("kth"))  # the query's own vector is among them
     got = start.unionAll(look(asked.join(kth, "qid", "left").withColumn("again", F.lit(True)), placed, "found"))
     if with_work:
-        return got.groupBy("qid").agg(F.sum("looked").alias("looked"))
+        return got.groupBy("qid").agg(F.sum("looked").alias("looked"), F.sum("scored").alias("scored"))
     got = got.groupBy("qid", F.col("ids")[0].alias("pid")).agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))
     top = got.withColumn("r", best).where(F.col("r") <= k + 1).select("qid", "score", F.explode("ids").alias("vec_id"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.llm import alignment, collocations, contamination, langid, mixing, ranking, urls
+from quantloom.llm import alignment, collocations, contamination, fingerprints, langid, mixing, neighbours, ranking, urls
 from tests.llm.test_operators import SCHEMA, make_docs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -334,3 +334,53 @@ def test_a_hot_group_without_ids_is_split(spark):
     text = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("s").alias("source"))
     mixed = mixing.mix_sources(text, split_rows=100).agg(F.sum("taken"), F.max("taken")).first()
     assert mixed == (22_500, 6)
+
+
+def test_blocks_of_fingerprints_are_bounded(docs, monkeypatch):
+    want = sorted(map(str, fingerprints.fingerprint_with_next(docs).collect()))
+    monkeypatch.setattr(fingerprints, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(fingerprints, "MOST_BLOCKS", 7)
+    got = fingerprints.fingerprint_with_next(docs)
+    assert got.rdd.getNumPartitions() <= 7 and sorted(map(str, got.collect())) == want
+
+
+def test_work_per_query_does_not_grow_with_the_points_of_clusters(spark):
+    """Ten times the points in ten times the clusters: less than ten times the work, and a small part of brute force."""
+    work = {}
+    for n in (3_000, 30_000):
+        rng = np.random.default_rng(4)
+        groups = n // 50
+        centres = rng.normal(size=(groups, 64)) * 3
+        v = (centres[rng.integers(0, groups, n)] + 0.05 * rng.normal(size=(n, 64))).astype(np.float32)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(8).cache()
+        asked = F.col("vec_id") % (n // 60) == 0
+        rows = neighbours.nearest(df, is_query=asked, k=10, width=1.0, with_work=True).agg(F.avg("looked"), F.avg("scored")).first()
+        work[n] = tuple(rows)
+        x = v.astype(np.float64)
+        found = total = 0
+        for r in neighbours.nearest(df, is_query=asked, k=10, width=1.0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect():
+            dots = x @ x[r["query_id"]]
+            dots[r["query_id"]] = -np.inf
+            found += len(set(np.argsort(-dots)[:10].tolist()) & set(r["ids"]))
+            total += 10
+        assert total == 600 and found >= 0.9 * total
+    (few, few_scored), (many, many_scored) = work[3_000], work[30_000]
+    assert many < 10 * few and many_scored <= 2 * 9 * 3**6  # scores are bounded whatever the number of buckets
+    assert few + few_scored < 3_000 / 5 and many + many_scored < 30_000 / 5 and many + many_scored < 10 * (few + few_scored), work
+
+
+def test_buckets_are_found_by_name():
+    rng = np.random.default_rng(0)
+    for n in (5, 5_000):
+        z = rng.integers(-6, 7, (n, 8)).astype(np.int32)
+        z[:, :2] = (1, -2)
+        index = neighbours.Buckets(z)
+        assert (len(index.names) > len(index.steps)) == (n == 5_000)
+        q = np.array([1.3, -1.7, *rng.uniform(-5, 5, 6)])
+        score = index.scores(q[None])[0]
+        want = neighbours.costs(z, q[None])[0]
+        for most, seen in ((1.5, -np.inf), (2.5, 1.0), (np.inf, -np.inf)):
+            got = index.points(q, score, min(most, 1e6), seen)
+            near = np.flatnonzero((want <= min(most, 1e6)) & (want > seen))
+            assert sorted(got.tolist()) == near.tolist()
+            assert (np.diff(want[got]) > -1e-9).all()
