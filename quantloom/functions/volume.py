@@ -122,7 +122,7 @@ class Mfi(ColumnIndicator):
 
 @dataclass(frozen=True)
 class Vwap(ColumnIndicator):
-    """Cumulative from the symbol's first bar; put the session into the symbol to start afresh."""
+    """Cumulative from the symbol's first bar, or the session's with ``Bars(session=...)``."""
 
     def stages(self, c):
         yield {"_pv": F.sum(c.typical() * c.col("volume")).over(c.so_far()), "_v": F.sum(c.col("volume")).over(c.so_far())}

@@ -32,6 +32,8 @@ C = Bars()
 Query = Callable[[SparkSession, str], DataFrame]
 #: Bars of a block in these queries; what an indicator looks back on makes blocks longer.
 BLOCK = 64
+#: Units of fixed entries; a fraction without end, so that no amount is half of the last digit shown.
+UNITS = 250 / 3
 
 # --- time blocks ----------------------------------------------------------------------------
 
@@ -177,7 +179,7 @@ _RESUMED = sql(
 
 
 def _fixed(spark: SparkSession, sf: str) -> DataFrame:
-    r = B.run(_acted(numbered(spark, sf), {"fast": 5, "slow": 20}).withColumn("seq", F.col("rn").cast("long")), quantity=B.Quantity("fixed", 90.0), config=_CONFIG)
+    r = B.run(_acted(numbered(spark, sf), {"fast": 5, "slow": 20}).withColumn("seq", F.col("rn").cast("long")), quantity=B.Quantity("fixed", UNITS), config=_CONFIG)
     return _equity_rows(r)
 
 
@@ -189,11 +191,11 @@ def _short_reference(spark: SparkSession, sf: str) -> DataFrame:
 def _fixed_fold(units: float) -> tuple[str, ...]:
     """The fold with fixed units: a long entry whose cost is above the cash is refused."""
     fee, slip = _CONFIG.fee, _CONFIG.slippage
-    head, fold, *rest = _fold_sql(5, 20)[0], _fold_sql(5, 20)[1], *_fold_sql(5, 20)[2:]
-    body = rest[0].replace("act <> 0 AND (side = 0 OR closes) AND c1 > 0 AS opens", f"act <> 0 AND (side = 0 OR closes) AND (act = -1 OR {units!r} * (close * {1 + slip!r}) * {1 + fee!r} <= c1 * (1 + 1e-12)) AS opens")
-    share = f"1.0 * c1 / (CASE WHEN act = 1 THEN (close * {1 + slip!r}) ELSE (close * {1 - slip!r}) END * {1 + fee!r}) AS units"
-    assert share in body
-    return head, fold, body.replace(share, f"{units!r} AS units"), *rest[1:]
+    head, fold, body, *rest = _fold_sql(5, 20)
+    opens, share = "act <> 0 AND (side = 0 OR closes) AND c1 > 0 AS opens", f"1.0 * c1 / (CASE WHEN act = 1 THEN (close * {1 + slip!r}) ELSE (close * {1 - slip!r}) END * {1 + fee!r}) AS units"
+    assert opens in body and share in body
+    fits = f"act <> 0 AND (side = 0 OR closes) AND (act = -1 OR {units!r} * (close * {1 + slip!r}) * {1 + fee!r} <= c1 * (1 + 1e-12)) AS opens"
+    return head, fold, body.replace(opens, fits).replace(share, f"{units!r} AS units"), *rest
 
 
 def _policies(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,7 +255,7 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {f"blocked_{n}": _blocked(n) for n in _BLOCKED}
     return out | {
         "blocked_signal": _blocked_signal, "blocked_backtest_equity": lambda s, d: _equity_rows(_blocked_run(s, d)), "blocked_backtest_trades": lambda s, d: _trade_rows(_blocked_run(s, d)), "blocked_backtest_metrics": _blocked_metrics,
-        "blocked_quantity_fixed": lambda s, d: _equity_rows(_blocked_run(s, d, B.Quantity("fixed", 90.0))), "wide_windows": _wide,
+        "blocked_quantity_fixed": lambda s, d: _equity_rows(_blocked_run(s, d, B.Quantity("fixed", UNITS))), "wide_windows": _wide,
         "session_vwap": _session_vwap, "session_pivots": _session_pivots, "gap_sessions": _gap_sessions, "gap_session_vwap": _gap_vwap,
         "asof_last": _asof((), None, True), "asof_by_user": _asof(("user_id",), None, True), "asof_tolerance": _asof((), 600, False),
         "resumed_indicators": _resumed, "quantity_fixed": _fixed, "short_reference": _short_reference, "error_policies": _policies, "csv_exchange": _exchange,
@@ -265,7 +267,7 @@ def oracle_sql() -> dict[str, str]:
     plain = _sql_indicators()
     fold = _fold_sql(5, 20)
     equity = "SELECT symbol, rn, round(equity, 6) AS equity, round(cash, 6) AS cash, round(position, 6) AS position FROM eq"
-    fixed = sql(equity, *_fixed_fold(90.0))
+    fixed = sql(equity, *_fixed_fold(UNITS))
     reference = [x.replace("CASE WHEN side = 0 THEN cash ELSE cash + side * q * close END AS equity", "CASE WHEN side = 0 THEN cash WHEN side = -1 THEN cash + q * (2 * entry - close) ELSE cash + side * q * close END AS equity") for x in fold]
     return {f"blocked_{n}": plain[n] for n in _BLOCKED} | {
         "blocked_signal": sql("SELECT symbol, rn, CASE WHEN cu = 'LONG' THEN 'LONG' WHEN cd = 'SHORT' THEN 'SHORT' WHEN cu = 'HOLD' OR cd = 'HOLD' THEN 'HOLD' END AS event FROM v", _AVERAGES),
