@@ -32,8 +32,8 @@ C = Bars()
 Query = Callable[[SparkSession, str], DataFrame]
 #: Bars of a block in these queries; what an indicator looks back on makes blocks longer.
 BLOCK = 64
-#: Units of fixed entries; a fraction without end, so that no amount is half of the last digit shown.
-UNITS = 250 / 3
+#: Units of fixed entries, with so many digits that no amount is half of the last digit shown.
+UNITS = 83.7654321
 
 # --- time blocks ----------------------------------------------------------------------------
 
