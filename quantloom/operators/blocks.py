@@ -42,7 +42,7 @@ from quantloom.schema import Bars
 from quantloom.sources.scratch import saved, shared_folder
 
 #: Bars of a block, time buckets per block from which blocks are made, and tables that may be broadcast.
-BLOCK_BARS, BUCKETS, BROADCAST_ROWS = 250_000, 32, 1_000_000
+BLOCK_BARS, BUCKETS, BROADCAST_ROWS = 100_000, 32, 1_000_000
 #: Bars before a block from which the state of stop and reverse is guessed.
 RUN_IN = 2_000
 _BLOCK, _KIND, _CARRY = "__block", "__kind", "__carry"
@@ -340,9 +340,12 @@ def _fields_of(i: Indicator) -> set[str]:
 
 
 def _stream(df: DataFrame, c: Bars, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of a block in order, numbered from 1 in the last column."""
-    w = Window.partitionBy(c.symbol, _BLOCK).orderBy(*[F.col(x) for x in (*extra, c.ts, c.seq)])
-    return df.withColumn("_bar", F.row_number().over(w))
+    """Rows of a block in order, numbered from 1 in the last column. Blocks are dealt to a number of tasks
+    that Spark does not lower: a few long symbols are few bytes, but much work."""
+    spark, by = df.sparkSession, [c.symbol, _BLOCK]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    w = Window.partitionBy(*by).orderBy(*[F.col(x) for x in (*extra, c.ts, c.seq)])
+    return df.repartition(tasks, *by).withColumn("_bar", F.row_number().over(w))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
