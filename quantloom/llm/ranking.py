@@ -18,12 +18,12 @@ def rank_within(df: DataFrame, keys: list[str], count: str, order: list[Column],
     above twice its size, since its rows agree in ``order``, is cut further by it.
     """
     parts = F.ceil(F.col(count) / F.lit(split_rows)).cast("int")
-    df = df.withColumn("_part", F.when(F.col(count) > split_rows, F.pmod(F.xxhash64(F.lit("part"), *order), parts)).otherwise(F.lit(0)).cast("long"))
+    df = df.withColumn("_part", F.when(F.col(count) > split_rows, F.pmod(F.xxhash64(F.lit("part"), *order), parts)).otherwise(F.lit(0)).cast("int"))
     if place:
         whole = df.where(F.col(count) > split_rows).groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_whole")).where(F.col("_whole") > 2 * split_rows)
         cut = F.pmod(F.xxhash64(F.lit("place"), place), F.ceil(F.col("_whole") / F.lit(split_rows)).cast("int"))
         # parts of parts follow one another: a part's number is multiplied by more than any number of cuts
-        df = df.join(whole, [*keys, "_part"], "left").withColumn("_part", F.col("_part") * F.lit(1 << 31) + F.coalesce(cut, F.lit(0))).drop("_whole")
+        df = df.join(whole, [*keys, "_part"], "left").withColumn("_part", F.col("_part").cast("long") * F.lit(1 << 31) + F.coalesce(cut, F.lit(0))).drop("_whole")
     sizes = df.where(F.col(count) > split_rows).groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
