@@ -188,5 +188,5 @@ def test_hot_groups_are_dealt_by_their_parts(spark):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 11)} and set(Q.queries()) | {"pipeline"} <= set(names)
+    assert {n.split("_")[0] for n in Q.queries()} == {f"op{i}" for i in range(1, 14)} and set(Q.queries()) | {"pipeline"} <= set(names)
     assert set(entry.oracle_sql()) <= set(names)
