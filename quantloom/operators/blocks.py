@@ -3,7 +3,8 @@
 A symbol with many bars is cut into blocks of consecutive times. Each block gets what it needs of the
 blocks before it:
 
-* finite lookback: the last bars of the block before (a halo);
+* finite lookback: the last bars of the block before (a halo), and the number of bars before it, since sums
+  are added from the same bars on wherever a block begins;
 * exponential and Wilder smoothing, running sums: the smoothed values at its first bar. A block's effect on
   them is an affine map, which it returns from a start at zero; the maps of a symbol are composed in order,
   and a second pass starts from the values so found;
@@ -415,6 +416,8 @@ def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Ba
     fields = set().union(*map(_fields_of, wanted.values()))
     halo = max([1, *(kernels.lookback(i) + parts[i] for i in rolling), *(RUN_IN for _ in stops)])
     block_bars = max(block_bars, 4 * max(halo, *(i.least_bars for i in [*parts, *wanted.values()])))
+    halo = max([halo, *(kernels.lookback(i) + parts[i] + kernels.grid(i) - 1 for i in rolling)])
+    block_bars = max(block_bars, halo)
     needs = sorted(fields | {x for i in rolling for x in kernels.reads(i)} | {x for k in chains.values() for x in k.needs} | ({"high", "low", "close"} if stops else set()))
     source = {x: getattr(c, x, x) for x in needs}
     folder = shared_folder(df.sparkSession, "blocks")
@@ -447,22 +450,22 @@ def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Ba
             yield row(b, [(1, 0, {"halo": {k: v[-halo:].copy() for k, v in x.items()}}), (0, 1, (b.num_rows, first, last, maps))])
 
     def compose(blocks: list) -> list:
-        """The values of every recurrence before each block."""
-        out, state, was = [], {}, None
+        """How many bars and which values of every recurrence are before each block."""
+        out, state, was, bars_before = [], {}, None, 0
         for block, (n, first, last, maps) in blocks:
             if block == 0:
                 state = {a: np.array(m) for a, m in maps.items()}
             else:
-                out.append((block, 0, {"state": {a: s.tolist() for a, s in state.items()}}))
+                out.append((block, 0, {"state": {a: s.tolist() for a, s in state.items()}, "bars": bars_before}))
                 for a, k in chains.items():
                     one = k.run(k.inputs({x: np.array([v]) for x, v in first.items()}, was), state[number[a]])
                     state[number[a]] = np.linalg.matrix_power(steps[a], n - 1) @ np.array([t[-1] for t in one]) + np.array(maps[number[a]])
-            was = last
+            was, bars_before = last, bars_before + n
         return out
 
     looked = saved(_stream(thin, c).mapInArrow(first_look, summary_schema), f"{folder}/looked")
     carry = looked.where(F.col(_KIND) == 0)
-    if chains:
+    if chains or any(kernels.grid(i) > 1 for i in rolling):
         carry = carry.unionAll(_in_order(looked.where(F.col(_KIND) == 1), compose, c))
 
     def traces(x: dict, carried: dict, a: Indicator) -> list[np.ndarray]:
@@ -505,9 +508,13 @@ def add_indicators_blocked(df: DataFrame, wanted: dict[str, Indicator], *, c: Ba
         whole = {k: np.append(before[k], v) for k, v in x.items()} if ahead else x
         out = {}
         for i, back in parts.items():
-            pad = max(0, back - ahead)
             if i in rolling:
-                got = {o: (np.append(np.full(pad, np.nan), v[max(0, ahead - back) :]), np.append(np.zeros(pad, bool), ok[max(0, ahead - back) :])) for o, (v, ok) in kernels.arrays(i, whole).items()}
+                skip = (ahead - carried.get("bars", 0)) % kernels.grid(i)  # sums begin where those of the whole symbol do
+                held = ahead - skip
+                if held < min(ahead, kernels.lookback(i) + back):
+                    skip, held = 0, ahead
+                pad, late = max(0, back - held), max(0, held - back)
+                got = {o: (np.append(np.full(pad, np.nan), v[late:]), np.append(np.zeros(pad, bool), ok[late:])) for o, (v, ok) in kernels.arrays(i, {k: v[skip:] for k, v in whole.items()}).items()}
             else:
                 if i in stops:
                     values = {"": sar_fold(i, x, carried.get("stop", {}).get(number[i]))[0]}

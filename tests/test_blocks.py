@@ -81,6 +81,14 @@ def test_signals_in_blocks(bars):
     same(q.select(*bars.columns, *sig), X.add_indicators_blocked(bars, sig, block_bars=500), ["symbol", "ts"])
 
 
+def test_sums_do_not_depend_on_the_blocks(bars):
+    """To the last bit: what is equal in one block must not cross in another."""
+    wanted = {x: WANTED[x] for x in ("sma", "wma", "wma2", "st", "cmf", "mfi")} | {"sma2": T.Sma(60), "sma3": T.Sma(1), "cmf2": U.Cmf(70)}
+    names = [n for a, i in wanted.items() for n in i.names(a)]
+    runs = [X.add_indicators_blocked(bars, wanted, block_bars=n).orderBy("symbol", "ts").select(*names).collect() for n in (400, 701, 10_000)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 @pytest.mark.parametrize(("quantity", "config"), [
     (B.Quantity(), B.Config(fee=0.001, slippage=0.0005)), (B.Quantity("percent_cash", 0.3), B.Config(fee=0.001, short_mtm="reference")),
     (B.Quantity("fixed", 40.0), B.Config(fee=0.001)), (B.Quantity(), B.Config(affordability="strict")), (B.Quantity(), B.Config(cash=0.0)),

@@ -35,6 +35,24 @@ def test_kernels_equal_their_definition_at_every_length(n):
             assert np.allclose(got[n - 1 :], [np.abs(v - v.mean()).mean() for v in w[n - 1 :]], atol=1e-9)
 
 
+@pytest.mark.parametrize("n", (2, 5, 16, 20, 31, 32, 48))
+def test_narrow_sums_add_whole_stretches_as_one_number(n):
+    x = np.random.default_rng(n).normal(100, 30, 203).round(2)
+    for size in (n - 1, n, 203):
+        got = K.rolling_sum(x[:size], n)
+        for i in range(n - 1, size):
+            at, want = i - n + 1, 0.0
+            while at <= i:
+                step = K.STRETCH if at % K.STRETCH == 0 and at + K.STRETCH <= i + 1 else 1
+                part = 0.0
+                for v in x[at : at + step].tolist():
+                    part += v
+                want, at = want + part, at + step
+            assert got[i] == want
+    cut = 5 * K.STRETCH
+    assert (K.rolling_sum(x[cut:], n)[n - 1 :] == K.rolling_sum(x, n)[cut + n - 1 :]).all()
+
+
 @pytest.mark.parametrize("n", (4, 60))
 def test_windows_of_equal_values_and_with_gaps(n):
     x = np.full(300, 33.3333333333)
